@@ -183,8 +183,7 @@ def concentration_band(hhi: Column) -> Column:
 
 def vulnerability_band(cvs: Column) -> Column:
     """Band of a composite score in [0, 1], cut at 20, 40, 60 and 80 percent."""
-    points = cvs * 100
     return (
-        F.when(points < 20, "low").when(points < 40, "moderate").when(points < 60, "elevated")
-        .when(points < 80, "high").when(points >= 80, "critical")
+        F.when(cvs < 0.2, "low").when(cvs < 0.4, "moderate").when(cvs < 0.6, "elevated")
+        .when(cvs < 0.8, "high").when(cvs >= 0.8, "critical")
     )

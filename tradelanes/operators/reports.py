@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tradelanes.functions import formulas, text
 from tradelanes.functions.guards import ratio_nonzero, stable, total
 
-VALUE, WEIGHT = F.col("primaryValue"), F.col("netWgt")
+VALUE, WEIGHT = "primaryValue", "netWgt"
 TOP_N = 15
 TOP_ROUTES = 10
 #: Largest top set that is joined by broadcast.
@@ -31,7 +31,7 @@ def with_route(trade: DataFrame) -> DataFrame:
 def _sums(trade: DataFrame, *keys: str) -> DataFrame:
     """Value, weight and number of valued rows by the keys; rows with a missing key are left out."""
     return trade.dropna(subset=list(keys)).groupBy(*keys).agg(
-        total(VALUE).alias("value_usd"), total(WEIGHT).alias("weight_kg"), F.count(VALUE).alias("n_transactions")
+        total(F.col(VALUE)).alias("value_usd"), total(F.col(WEIGHT)).alias("weight_kg"), F.count(VALUE).alias("n_transactions")
     )
 
 
@@ -68,8 +68,8 @@ def top_routes(trade: DataFrame, n: int = TOP_N) -> DataFrame:
     routes = trade.groupBy(_route().alias("route")).agg(
         F.min("reporterDesc").alias("reporterDesc"),
         F.min("partnerDesc").alias("partnerDesc"),
-        total(VALUE).alias("total_value_usd"),
-        total(WEIGHT).alias("total_weight_kg"),
+        total(F.col(VALUE)).alias("total_value_usd"),
+        total(F.col(WEIGHT)).alias("total_weight_kg"),
         F.count(VALUE).alias("n_transactions"),
     )
     # the routes number at most the countries squared; their total is one value
@@ -244,7 +244,7 @@ def route_commodity_mix(
 def top_commodities_overall(trade: DataFrame, n: int = TOP_N) -> DataFrame:
     """Largest commodities; distinct reporters are counted on sums by reporter."""
     by_reporter = trade.dropna(subset=["cmdCode", "cmdDesc"]).groupBy("cmdCode", "cmdDesc", "reporterDesc").agg(
-        total(VALUE).alias("value_usd"), total(WEIGHT).alias("weight_kg"), F.count(VALUE).alias("n_transactions")
+        total(F.col(VALUE)).alias("value_usd"), total(F.col(WEIGHT)).alias("weight_kg"), F.count(VALUE).alias("n_transactions")
     )
     sums = by_reporter.groupBy("cmdCode", "cmdDesc").agg(
         F.sum("value_usd").alias("total_value_usd"),

@@ -113,16 +113,18 @@ def corridor_full_profile(
 
 
 def cvs_band(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("cvs_band", vulnerability_band(F.col("cvs")))
+    return scored.withColumn("cvs_band", vulnerability_band(stable(F.col("cvs"))))
 
 
 def alert_corridors(scored: DataFrame, least: float = 0.6) -> DataFrame:
-    return scored.where(F.col("cvs") >= least)
+    return scored.where(stable(F.col("cvs")) >= least)
 
 
-def structural_scan(structure: DataFrame, events: DataFrame, least: float = 0.5) -> DataFrame:
+def structural_scan(
+    structure: DataFrame, events: DataFrame, least_sci: float = 0.5, least_crs: float = 0.5
+) -> DataFrame:
     """Lanes high in criticality and demand that no notification ever named."""
-    high = structure.where((F.col("sci_half") >= least) & (F.col("crs") >= least))
+    high = structure.where((stable(F.col("sci_half")) >= least_sci) & (stable(F.col("crs")) >= least_crs))
     return high.join(events.select(CORRIDOR).distinct(), CORRIDOR, "left_anti")
 
 

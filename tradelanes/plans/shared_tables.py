@@ -267,13 +267,15 @@ class SharedTables:
         """The trade cube with the commodity codes of the notifications."""
         return materialise(flows.trade_cube(self.trade, normalise=True))
 
-    def _renamed(self, table: DataFrame) -> DataFrame:
+    @staticmethod
+    def renamed(table: DataFrame) -> DataFrame:
+        """Commodity codes in the form notifications use."""
         return table.withColumn("commodity_hs", normalise_hs(F.col("commodity_hs")))
 
     @cached_property
     def enriched(self) -> DataFrame:
         return runs.corridor_enrich(
-            self.metrics, self.cube, self._renamed(self.production), self._renamed(self.balance)
+            self.metrics, self.cube, self.renamed(self.production), self.renamed(self.balance)
         )
 
     @cached_property
