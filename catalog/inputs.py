@@ -9,7 +9,7 @@ from catalog.base import query
 from tradelanes.functions import formulas, guards, periods, text
 from tradelanes.operators import alerts, flows, reports
 from tradelanes.plans.shared_tables import SharedTables
-from tradelanes.session import scratch_folder
+from tradelanes.session import materialise, scratch_folder
 from tradelanes.sources import resume, scans, sinks
 
 
@@ -51,12 +51,11 @@ def scan_trade_coerced(t: SharedTables) -> DataFrame:
 def merge_trade_files(t: SharedTables) -> DataFrame:
     """Imports and exports in files of different layouts, the imports twice."""
     folder = scratch_folder(t.spark, "files")
-    imports = flows.filter_flow(t.trade, "M")
+    trade = materialise(t.trade)
+    imports, exports = flows.filter_flow(trade, "M"), flows.filter_flow(trade, "X")
     sinks.write_csv(imports, folder)
     sinks.write_csv(imports, folder, mode="append")
-    sinks.write_csv(
-        t.exports.withColumn("source_from_country", F.col("reporterDesc")), folder, mode="append"
-    )
+    sinks.write_csv(exports.withColumn("source_from_country", F.col("reporterDesc")), folder, mode="append")
     return _tally(scans.merge_trade_files(t.spark, folder))
 
 

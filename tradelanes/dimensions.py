@@ -56,6 +56,10 @@ EU27 = [
 MAX_COUNTRIES = 2000
 
 
+def lookup_key(name: Column) -> Column:
+    return F.lower(F.trim(name))
+
+
 @dataclass(frozen=True)
 class CountryBook:
     """An ordered country dictionary whose lookups are plain column expressions.
@@ -118,13 +122,16 @@ class CountryBook:
 
     def code_of(self, name: Column) -> Column:
         """Exact name without regard to case, else the first entry that contains or is contained."""
-        key = F.lower(F.trim(name))
+        return self.code_of_key(lookup_key(name))
+
+    def code_of_key(self, key: Column) -> Column:
+        """As :meth:`code_of`, for a name already put through :func:`lookup_key`."""
         partial = F.filter(
             self._ordered,
             lambda entry: F.contains(entry["name"], key) | F.contains(key, entry["name"]),
         )
         code = F.coalesce(F.try_element_at(self._exact, key), F.get(partial, 0)["m49"])
-        return F.when(F.length(name) > 0, code)
+        return F.when(F.length(key) > 0, code)
 
     def name_of(self, code: Column) -> Column:
         return F.try_element_at(self._names, code)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradelanes.dimensions import CountryBook
+from tradelanes.dimensions import CountryBook, lookup_key
 from tradelanes.functions import text
 from tradelanes.functions.periods import DEFAULT_PERIOD, to_period_yyyymm
 from tradelanes.sources.scans import with_row_id
@@ -22,17 +22,13 @@ def _optional(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def _named(names: Column, book: CountryBook) -> Column:
+def _named(names: Column, book: CountryBook, role: str | None = None) -> Column:
+    """Each name with its code. The lookup key is worked out once per name."""
+    keyed = F.transform(names, lambda n: F.struct(n.alias("name"), lookup_key(n).alias("key")))
     return F.transform(
-        names, lambda name: F.struct(name.alias("name"), book.code_of(name).alias("m49"))
-    )
-
-
-def _mentioned(names: Column, role: str, book: CountryBook) -> Column:
-    return F.transform(
-        names,
-        lambda name: F.struct(
-            name.alias("name"), book.code_of(name).alias("m49"), F.lit(role).alias("role")
+        keyed,
+        lambda n: F.struct(
+            n["name"].alias("name"), book.code_of_key(n["key"]).alias("m49"), F.lit(role).alias("role")
         ),
     )
 
@@ -40,15 +36,14 @@ def _mentioned(names: Column, role: str, book: CountryBook) -> Column:
 def _with_destinations(df: DataFrame, book: CountryBook) -> DataFrame:
     """Add ``_mentions``: every destination mention with its code and role, in column order."""
     mentions = [
-        _mentioned(text.split_country_list(_optional(df, column)), role, book)
+        _named(text.split_country_list(_optional(df, column)), book, role)
         for column, role in text.ROLE_COLUMNS
     ]
     return df.withColumn("_mentions", F.concat(*mentions))
 
 
-def _merge_mentions(mentions: Column) -> Column:
+def _merge_mentions(known: Column) -> Column:
     """One entry per destination: the name seen first and all its roles."""
-    known = F.filter(mentions, lambda m: m["m49"].isNotNull())
     codes = F.array_distinct(F.transform(known, lambda m: m["m49"]))
 
     def entry(code: Column) -> Column:
@@ -69,7 +64,8 @@ def parse_notifications(raw: DataFrame, book: CountryBook) -> DataFrame:
     named = _with_destinations(
         rows.withColumn("_origins", _named(text.split_country_list(F.col("origin")), book)), book
     )
-    return named.select(
+    mapped = named.withColumn("_known", F.filter("_mentions", lambda m: m["m49"].isNotNull()))
+    return mapped.select(
         "row_id",
         F.coalesce(F.col("reference").cast("string"), F.lit("")).alias("reference"),
         text.normalise_hs(F.col("hs_code")).alias("commodity_hs"),
@@ -85,7 +81,7 @@ def parse_notifications(raw: DataFrame, book: CountryBook) -> DataFrame:
         F.transform(
             F.filter("_origins", lambda o: o["m49"].isNull()), lambda o: o["name"]
         ).alias("unmapped_origins"),
-        _merge_mentions(F.col("_mentions")).alias("destinations"),
+        _merge_mentions(F.col("_known")).alias("destinations"),
         F.transform(
             F.filter("_mentions", lambda m: m["m49"].isNull()), lambda m: m["name"]
         ).alias("unmapped_destinations"),
@@ -269,85 +265,88 @@ def role_counts(events: DataFrame) -> DataFrame:
     )
 
 
+def _unmapped() -> Column:
+    """(kind, name) of the names a notification mentions that have no code."""
+
+    def of(kind: str, names: str) -> Column:
+        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+    nothing = F.array().cast("array<struct<kind:string,name:string>>")
+    destinations = F.when(F.size("origins") > 0, of("destination", "unmapped_destinations"))
+    return F.concat(of("origin", "unmapped_origins"), destinations.otherwise(nothing))
+
+
 def unmapped_countries(raw: DataFrame, book: CountryBook) -> DataFrame:
     """Distinct names without a code: those of origins, and those of destinations.
 
     Destinations are looked at only where an origin was mapped.
     """
-    parsed = parse_notifications(raw, book)
-    has_origin = F.size("origins") > 0
-    names = F.concat(
-        F.transform("unmapped_origins", lambda n: F.struct(F.lit("origin").alias("kind"), n.alias("name"))),
-        F.when(
-            has_origin,
-            F.transform(
-                "unmapped_destinations", lambda n: F.struct(F.lit("destination").alias("kind"), n.alias("name"))
-            ),
-        ).otherwise(F.array().cast("array<struct<kind:string,name:string>>")),
-    )
-    return parsed.select(F.inline(names)).distinct()
+    return parse_notifications(raw, book).select(F.inline(_unmapped())).distinct()
 
 
 def hazard_summary(raw: DataFrame, book: CountryBook) -> DataFrame:
     """One row of ingestion counters.
 
-    The counters come from one pass that first reduces to the distinct
-    (origin, destination, commodity) triples; unmapped names are counted here
-    and listed by :func:`unmapped_countries`.
+    One pass reduces the notifications to the distinct (origin, destination,
+    commodity) triples and the distinct unmapped names, with partial sums;
+    the counters are taken from those. :func:`unmapped_countries` lists the
+    names.
     """
     parsed = parse_notifications(raw, book).withColumn("_pairs", _pairs())
     has_origin = F.size("origins") > 0
     has_both = has_origin & (F.size("destinations") > 0)
+
+    def item(o: Column, d: Column, roles: Column, kind: Column, name: Column) -> Column:
+        return F.struct(
+            o.alias("o"), d.alias("d"), roles.alias("roles"), kind.alias("kind"), name.alias("name")
+        )
+
+    no_code, no_text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    no_roles = F.lit(None).cast("array<string>")
+    pairs = F.transform(
+        "_pairs", lambda p: item(p["o"]["m49"], p["d"]["m49"], p["d"]["roles"], no_text, no_text)
+    )
+    strangers = F.transform(
+        _unmapped(), lambda u: item(no_code, no_code, no_roles, u["kind"], u["name"])
+    )
     rows = parsed.select(
         "commodity_hs",
         has_origin.alias("has_origin"),
         has_both.alias("has_both"),
         (F.size("origins") * F.size("destinations") - F.size("_pairs")).alias("self_pairs"),
-        F.posexplode_outer("_pairs").alias("pos", "pair"),
+        F.posexplode_outer(F.concat(pairs, strangers)).alias("pos", "item"),
     )
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    pair = F.col("pair").isNotNull()
+    pair, roles = F.col("item.o").isNotNull(), F.col("item.roles")
 
     def tally(condition: Column) -> Column:
         return F.sum(condition.cast("int"))
 
-    roles = F.col("pair.d.roles")
-    triples = rows.groupBy(
-        F.col("pair.o.m49").alias("o"), F.col("pair.d.m49").alias("d"), "commodity_hs"
-    ).agg(
-        tally(first).alias("total_notifications"),
-        tally(pair).alias("total_corridors"),
-        tally(F.coalesce(active_destination(roles), F.lit(False))).alias("active_corridors"),
-        tally(first & ~F.col("has_origin")).alias("notifications_without_origin"),
-        tally(first & F.col("has_origin") & ~F.col("has_both")).alias("notifications_without_destination"),
-        F.sum(F.when(first, F.col("self_pairs"))).alias("self_trade_pairs_skipped"),
-        *[
-            tally(F.coalesce(F.array_contains(roles, role), F.lit(False))).alias(f"role_{role}")
-            for role in text.ROLES
-        ],
-    )
-    sums = [
-        "total_notifications",
-        "total_corridors",
-        "active_corridors",
-        "notifications_without_origin",
-        "notifications_without_destination",
-        "self_trade_pairs_skipped",
-        *[f"role_{role}" for role in text.ROLES],
-    ]
-    counted = triples.agg(
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in sums],
+    counters = {
+        "total_notifications": tally(first),
+        "total_corridors": tally(pair),
+        "active_corridors": tally(F.coalesce(active_destination(roles), F.lit(False))),
+        "notifications_without_origin": tally(first & ~F.col("has_origin")),
+        "notifications_without_destination": tally(first & F.col("has_origin") & ~F.col("has_both")),
+        "self_trade_pairs_skipped": F.sum(F.when(first, F.col("self_pairs"))),
+    }
+    for role in text.ROLES:
+        counters[f"role_{role}"] = tally(F.coalesce(F.array_contains(roles, role), F.lit(False)))
+    groups = rows.groupBy(
+        F.col("item.o").alias("o"),
+        F.col("item.d").alias("d"),
+        F.when(pair & (F.col("commodity_hs") != ""), F.col("commodity_hs")).alias("commodity_hs"),
+        F.col("item.kind").alias("kind"),
+        F.col("item.name").alias("name"),
+    ).agg(*[value.alias(name) for name, value in counters.items()])
+    return groups.agg(
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counters],
         F.count_distinct("o").alias("unique_origins"),
         F.count_distinct("d").alias("unique_destinations"),
-        F.count_distinct(
-            F.when(F.col("o").isNotNull() & (F.col("commodity_hs") != ""), F.col("commodity_hs"))
-        ).alias("unique_commodities"),
+        F.count_distinct("commodity_hs").alias("unique_commodities"),
+        F.count_if(F.col("kind") == "origin").alias("unmapped_origins"),
+        F.count_if(F.col("kind") == "destination").alias("unmapped_destinations"),
     )
-    unmapped = unmapped_countries(raw, book)
-    for kind in ("origin", "destination"):
-        size = unmapped.where(F.col("kind") == kind).agg(F.count("*")).scalar()
-        counted = counted.withColumn(f"unmapped_{kind}s", size)
-    return counted
 
 
 # ------------------------------------------------------------------ trade pairs

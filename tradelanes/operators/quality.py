@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelanes import schemas
+from tradelanes.functions.guards import ratio
 from tradelanes.operators.ranking import exact_quantiles
 from tradelanes.session import materialise
 
@@ -97,29 +98,41 @@ def validate_trade(trade: DataFrame) -> DataFrame:
 def describe_trade(trade: DataFrame) -> DataFrame:
     """Count, mean, deviation, extremes, exact quartiles, total and NULLs of value and weight.
 
-    Quartiles come from counts of distinct values, ranked in parallel.
+    One pass reduces the trade rows to counts of distinct values, with partial
+    sums before the shuffle; everything else is taken from those.
     """
-    parts = []
-    for name in ("primaryValue", "netWgt"):
-        value = F.col(name)
-        plain = trade.agg(
-            F.lit(name).alias("column"),
-            F.count(value).alias("count"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-            F.coalesce(F.sum(value), F.lit(0.0)).alias("total"),
-            F.count_if(value.isNull()).alias("null_count"),
-        )
-        counts = materialise(trade.where(value.isNotNull()).groupBy(name).agg(F.count("*").alias("count")))
-        quartiles = materialise(exact_quantiles(counts, name, [0.25, 0.5, 0.75]))
-        parts.append(
-            plain.withColumns(
-                {
-                    label: quartiles.select(column).scalar()
-                    for label, column in (("q25", "q0"), ("q50", "q1"), ("q75", "q2"))
-                }
-            )
+    columns = ["primaryValue", "netWgt"]
+    laid = trade.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]))
+    )
+    counts = materialise(laid.groupBy("column", "value").agg(F.count("*").alias("count")))
+    value, count = F.col("value"), F.col("count")
+    known = F.when(value.isNotNull(), count)
+    sums = counts.groupBy("column").agg(
+        F.coalesce(F.sum(known), F.lit(0)).alias("count"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        F.coalesce(F.sum(value * count), F.lit(0.0)).alias("total"),
+        F.coalesce(F.sum(F.when(value.isNull(), count)), F.lit(0)).alias("null_count"),
+    )
+    means = materialise(sums.withColumn("mean", ratio(F.col("total"), F.col("count"))))
+    away = value - F.col("mean")
+    spread = counts.join(means.select("column", "mean"), "column").groupBy("column").agg(
+        F.sum(away * away * count).alias("_squares")
+    )
+    quartiles = [
+        exact_quantiles(counts.where(F.col("column") == c), "value", [0.25, 0.5, 0.75]).select(
+            F.lit(c).alias("column"),
+            F.col("q0").alias("q25"),
+            F.col("q1").alias("q50"),
+            F.col("q2").alias("q75"),
         )
-    return parts[0].unionByName(parts[1])
+        for c in columns
+    ]
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("_squares") / (F.col("count") - 1)))
+    return (
+        means.join(spread, "column")
+        .join(quartiles[0].unionByName(quartiles[1]), "column")
+        .withColumn("std", std)
+        .drop("_squares")
+    )

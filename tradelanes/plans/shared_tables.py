@@ -109,29 +109,28 @@ class SharedTables:
 
         The exporter does not report returned lines, so the sides differ.
         """
-        between = self.lines.where("c_nationkey <> s_nationkey")
+        told = F.when(F.col("l_returnflag") == "R", F.array(F.lit("M")))
+        flow = F.explode(told.otherwise(F.array(F.lit("M"), F.lit("X")))).alias("flowCode")
+        between = self.lines.where("c_nationkey <> s_nationkey").select("*", flow)
+        imported = F.col("flowCode") == "M"
         buyer, seller = F.col("c_nationkey") + 1, F.col("s_nationkey") + 1
-
-        def report(flow: str, reporter: Column, partner: Column) -> Column:
-            return F.struct(
-                "period",
-                reporter.alias("reporterCode"),
-                self.book.name_of(reporter).alias("reporterDesc"),
-                partner.alias("partnerCode"),
-                self.book.name_of(partner).alias("partnerDesc"),
-                _choose(F.col("p_type"), CODES).alias("cmdCode"),
-                F.concat(F.lit("Goods; of "), F.lower("p_type"), F.lit(" (other)")).alias("cmdDesc"),
-                F.lit(flow).alias("flowCode"),
-                F.lit({"M": "Import", "X": "Export"}[flow]).alias("flowDesc"),
-                F.col("l_extendedprice").alias("primaryValue"),
-                F.when(F.col("l_orderkey") % 101 != 7, F.col("l_quantity")).alias("netWgt"),
-                F.col("l_quantity").alias("qty"),
-                F.when(F.col("l_linenumber") == 1, "N/A").otherwise("kg").alias("qtyUnitAbbr"),
-            )
-
-        sides = F.array(report("M", buyer, seller), report("X", seller, buyer))
-        told = F.filter(sides, lambda s: (s["flowCode"] == "M") | (F.col("l_returnflag") != "R"))
-        return between.select(F.inline(told))
+        reporter = F.when(imported, buyer).otherwise(seller)
+        partner = F.when(imported, seller).otherwise(buyer)
+        return between.select(
+            "period",
+            reporter.alias("reporterCode"),
+            self.book.name_of(reporter).alias("reporterDesc"),
+            partner.alias("partnerCode"),
+            self.book.name_of(partner).alias("partnerDesc"),
+            _choose(F.col("p_type"), CODES).alias("cmdCode"),
+            F.concat(F.lit("Goods; of "), F.lower("p_type"), F.lit(" (other)")).alias("cmdDesc"),
+            "flowCode",
+            F.when(imported, "Import").otherwise("Export").alias("flowDesc"),
+            F.col("l_extendedprice").alias("primaryValue"),
+            F.when(F.col("l_orderkey") % 101 != 7, F.col("l_quantity")).alias("netWgt"),
+            F.col("l_quantity").alias("qty"),
+            F.when(F.col("l_linenumber") == 1, "N/A").otherwise("kg").alias("qtyUnitAbbr"),
+        )
 
     @cached_property
     def exports(self) -> DataFrame:
@@ -143,12 +142,21 @@ class SharedTables:
             F.count("*").cast("double").alias("population")
         )
 
+    @cached_property
+    def sold(self) -> DataFrame:
+        """Quantities by commodity, both countries and year; production and consumption start here."""
+        return materialise(
+            self.lines.groupBy("p_type", "s_nationkey", "c_nationkey", "period").agg(
+                F.sum("l_quantity").alias("kg")
+            )
+        )
+
     def _sold_by(self, country: str, out: str) -> DataFrame:
-        sums = self.lines.groupBy(
+        sums = self.sold.groupBy(
             _choose(F.col("p_type"), CODES).alias("commodity_hs"),
             (F.col(country) + 1).alias("country_m49"),
             "period",
-        ).agg(F.sum("l_quantity").alias(out))
+        ).agg(F.sum("kg").alias(out))
         return sums.join(self.population, "country_m49", "left")
 
     @cached_property

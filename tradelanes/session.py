@@ -52,12 +52,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used only where a result feeds several branches of one plan. The files
-    outlive a lost executor, so nothing upstream is computed again.
+    outlive a lost executor, so nothing upstream is computed again; being
+    columnar, each branch reads only the columns it needs, and their size is
+    known when joins are planned.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = scratch_folder(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
