@@ -57,8 +57,11 @@ def _merge_mentions(known: Column) -> Column:
     return F.transform(codes, entry)
 
 
-def parse_notifications(raw: DataFrame, book: CountryBook) -> DataFrame:
-    """Cleaned notifications, one row each, with mapped origins and destinations."""
+def parse_notifications(raw: DataFrame, book: CountryBook, keep: list[str] | None = None) -> DataFrame:
+    """Cleaned notifications, one row each, with mapped origins and destinations.
+
+    ``keep`` names input columns to carry along.
+    """
     rows = with_row_id(raw)
     hazards = _optional(rows, "hazards") if "hazards" in rows.columns else _optional(rows, "hazard_category")
     named = _with_destinations(
@@ -66,6 +69,7 @@ def parse_notifications(raw: DataFrame, book: CountryBook) -> DataFrame:
     )
     mapped = named.withColumn("_known", F.filter("_mentions", lambda m: m["m49"].isNotNull()))
     return mapped.select(
+        *(keep or []),
         "row_id",
         F.coalesce(F.col("reference").cast("string"), F.lit("")).alias("reference"),
         text.normalise_hs(F.col("hs_code")).alias("commodity_hs"),
@@ -139,15 +143,16 @@ def active_destination(roles: Column) -> Column:
     return F.arrays_overlap(roles, F.array(*[F.lit(r) for r in text.ACTIVE_ROLES]))
 
 
-def extract_corridors(raw: DataFrame, book: CountryBook) -> DataFrame:
+def extract_corridors(raw: DataFrame, book: CountryBook, keep: list[str] | None = None) -> DataFrame:
     """Corridor events: one row per notification, origin and destination.
 
     ``(row_id, pos)`` is the order of the source.
     """
-    parsed = parse_notifications(raw, book)
-    events = parsed.select(*_SHARED, F.posexplode(_pairs()).alias("pos", "pair"))
+    parsed = parse_notifications(raw, book, keep)
+    carried = [*(keep or []), *_SHARED]
+    events = parsed.select(*carried, F.posexplode(_pairs()).alias("pos", "pair"))
     return events.select(
-        *_SHARED,
+        *carried,
         "pos",
         F.col("pair.o.name").alias("origin_country"),
         F.col("pair.o.m49").alias("origin_m49"),

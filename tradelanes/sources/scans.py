@@ -45,7 +45,7 @@ def coerce_trade(rows: DataFrame) -> DataFrame:
 
 
 def list_input_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The ``*.csv`` files of a folder, by name, with their sizes. Contents are not read."""
+    """The non-empty ``*.csv`` files of a folder, by name, with their sizes. Contents are not read."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.csv")
