@@ -9,6 +9,7 @@ import pytest
 
 from catalog import REGISTRY, oracle_text
 from catalog.base import tidy
+from tradelanes.session import materialise
 from conftest import TABLES
 
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -93,11 +94,9 @@ def test_events_need_no_shuffle(spark, book):
 def test_cube_takes_one_shuffle(shared):
     from tradelanes.operators import flows
 
-    trade = shared.trade.persist()
-    trade.count()
+    trade = materialise(shared.trade)
     plan = flows.trade_cube(trade)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
-    trade.unpersist()
 
 
 def test_ranking_limits_before_it_shuffles(shared):

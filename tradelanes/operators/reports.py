@@ -1,8 +1,12 @@
 """The trade report: its tables, and the tables behind its figures.
 
-Trade rows are first reduced to sums by the keys a table needs; rankings,
-shares and pivots work on those sums. Top sets are limited in number, so they
-are joined by broadcast. Results are not rounded; that is presentation.
+Every table here is made of sums over route, commodity and period.
+:func:`condense` reduces the trade rows to those cells in one pass with
+partial sums; a function takes trade rows or cells alike. Functions that use
+their input more than once write the cells first, so the trade rows are read
+once; :func:`report_tables` shares one set of cells among all tables. Top sets
+are limited in number, so they are joined by broadcast. Results are not
+rounded; that is presentation.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tradelanes.functions import formulas, text
 from tradelanes.functions.guards import ratio_nonzero, stable, total
+from tradelanes.session import materialise
 
 VALUE, WEIGHT = "primaryValue", "netWgt"
 TOP_N = 15
@@ -20,6 +25,27 @@ TOP_ROUTES = 10
 MAX_TOP = 10_000
 
 
+CELL = ["reporterDesc", "partnerDesc", "cmdCode", "cmdDesc", "period"]
+
+
+def condense(trade: DataFrame) -> DataFrame:
+    """Cells of the report: value, weight and valued rows by route, commodity and period."""
+    return trade.groupBy(CELL).agg(
+        F.sum(VALUE).alias(VALUE), F.sum(WEIGHT).alias(WEIGHT), F.count(VALUE).alias("n_valued")
+    )
+
+
+def _cells(trade: DataFrame) -> DataFrame:
+    return trade if "n_valued" in trade.columns else materialise(condense(trade))
+
+
+def _valued(trade: DataFrame) -> Column:
+    """Aggregate: rows with a value, of trade rows or of cells."""
+    if "n_valued" in trade.columns:
+        return F.coalesce(F.sum("n_valued"), F.lit(0))
+    return F.count(VALUE)
+
+
 def _route() -> Column:
     return text.route_label(F.col("reporterDesc"), F.col("partnerDesc"))
 
@@ -31,7 +57,7 @@ def with_route(trade: DataFrame) -> DataFrame:
 def _sums(trade: DataFrame, *keys: str) -> DataFrame:
     """Value, weight and number of valued rows by the keys; rows with a missing key are left out."""
     return trade.dropna(subset=list(keys)).groupBy(*keys).agg(
-        total(F.col(VALUE)).alias("value_usd"), total(F.col(WEIGHT)).alias("weight_kg"), F.count(VALUE).alias("n_transactions")
+        total(F.col(VALUE)).alias("value_usd"), total(F.col(WEIGHT)).alias("weight_kg"), _valued(trade).alias("n_transactions")
     )
 
 
@@ -65,12 +91,13 @@ def exports_by_route_year(trade: DataFrame) -> DataFrame:
 
 def top_routes(trade: DataFrame, n: int = TOP_N) -> DataFrame:
     """Routes with the most value, their share of all trade, and the running share."""
+    trade = _cells(trade)
     routes = trade.groupBy(_route().alias("route")).agg(
         F.min("reporterDesc").alias("reporterDesc"),
         F.min("partnerDesc").alias("partnerDesc"),
         total(F.col(VALUE)).alias("total_value_usd"),
         total(F.col(WEIGHT)).alias("total_weight_kg"),
-        F.count(VALUE).alias("n_transactions"),
+        _valued(trade).alias("n_transactions"),
     )
     # the routes number at most the countries squared; their total is one value
     whole = routes.agg(F.sum("total_value_usd")).scalar()
@@ -99,6 +126,7 @@ def yoy_by_route(trade: DataFrame) -> DataFrame:
     Only sums by route and period, bounded by the country pairs times the
     years, are compared with the periods.
     """
+    trade = _cells(trade)
     sums = with_route(trade).dropna(subset=["period"]).groupBy("route", "period").agg(F.sum(VALUE).alias("value"))
     prev, last = _two_periods(sums)
     wide = _side_by_side(sums, ["route"], F.coalesce("value", F.lit(0.0)), prev, last)
@@ -167,11 +195,11 @@ def _top_of_top(pairs: DataFrame, group: str, member: str, groups: int, members:
 
 
 def top_partners_of_top_reporters(trade: DataFrame, reporters: int = 5, partners: int = 8) -> DataFrame:
-    return _top_of_top(reporter_partner_values(trade), "reporterDesc", "partnerDesc", reporters, partners)
+    return _top_of_top(reporter_partner_values(_cells(trade)), "reporterDesc", "partnerDesc", reporters, partners)
 
 
 def top_reporters_of_top_partners(trade: DataFrame, partners: int = 5, reporters: int = 8) -> DataFrame:
-    return _top_of_top(reporter_partner_values(trade), "partnerDesc", "reporterDesc", partners, reporters)
+    return _top_of_top(reporter_partner_values(_cells(trade)), "partnerDesc", "reporterDesc", partners, reporters)
 
 
 def top_heatmap(trade: DataFrame, reporters: int = 12, partners: int = 12) -> DataFrame:
@@ -179,7 +207,7 @@ def top_heatmap(trade: DataFrame, reporters: int = 12, partners: int = 12) -> Da
 
     Pairs without trade have no row; :func:`matrix` lays them out wide.
     """
-    pairs = reporter_partner_values(trade)
+    pairs = reporter_partner_values(_cells(trade))
     kept = _keep(pairs, _top(pairs, ["reporterDesc"], reporters), ["reporterDesc"])
     kept = _keep(kept, _top(pairs, ["partnerDesc"], partners), ["partnerDesc"])
     return kept.select("reporterDesc", "partnerDesc", (F.col("value_usd") / 1e6).alias("value_musd"))
@@ -199,12 +227,14 @@ def _route_commodities(trade: DataFrame) -> DataFrame:
 
 
 def route_commodity_breakdown(trade: DataFrame, n: int = TOP_ROUTES) -> DataFrame:
+    trade = _cells(trade)
     sums = _sums(with_route(trade), "route", "reporterDesc", "partnerDesc", "cmdCode", "cmdDesc")
     kept = _keep(sums, _top(sums, ["route"], n), ["route"])
     return kept.withColumn("share_of_route_pct", _share_pct("value_usd", "route"))
 
 
 def top_commodities_per_route(trade: DataFrame, routes: int = TOP_ROUTES, commodities: int = 10) -> DataFrame:
+    trade = _cells(trade)
     sums = _route_commodities(trade)
     kept = _keep(sums, _top(sums, ["route"], routes), ["route"])
     ranked = kept.withColumn("position", _rank_in(["route"], "value_usd", ["cmdDesc"]))
@@ -225,6 +255,7 @@ def top_route_commodities(trade: DataFrame, n: int = 10) -> DataFrame:
 def commodity_summary_by_route(
     trade: DataFrame, routes: int = TOP_ROUTES, commodities: int = 15, columns: list[str] | None = None
 ) -> DataFrame:
+    trade = _cells(trade)
     sums = _route_commodities(trade)
     kept = _keep(sums, _top(sums, ["route"], routes), ["route"])
     kept = _keep(kept, _top(kept, ["cmdDesc"], commodities), ["cmdDesc"])
@@ -235,6 +266,7 @@ def route_commodity_mix(
     trade: DataFrame, routes: int = 8, commodities: int = 8, columns: list[str] | None = None
 ) -> DataFrame:
     """As the summary, over the commodities each route lists among its own largest ten."""
+    trade = _cells(trade)
     sums = top_commodities_per_route(trade)
     kept = _keep(sums, _top(sums, ["route"], routes), ["route"])
     kept = _keep(kept, _top(kept, ["cmdDesc"], commodities), ["cmdDesc"])
@@ -243,8 +275,9 @@ def route_commodity_mix(
 
 def top_commodities_overall(trade: DataFrame, n: int = TOP_N) -> DataFrame:
     """Largest commodities; distinct reporters are counted on sums by reporter."""
+    trade = _cells(trade)
     by_reporter = trade.dropna(subset=["cmdCode", "cmdDesc"]).groupBy("cmdCode", "cmdDesc", "reporterDesc").agg(
-        total(F.col(VALUE)).alias("value_usd"), total(F.col(WEIGHT)).alias("weight_kg"), F.count(VALUE).alias("n_transactions")
+        total(F.col(VALUE)).alias("value_usd"), total(F.col(WEIGHT)).alias("weight_kg"), _valued(trade).alias("n_transactions")
     )
     sums = by_reporter.groupBy("cmdCode", "cmdDesc").agg(
         F.sum("value_usd").alias("total_value_usd"),
@@ -290,6 +323,7 @@ def unit_value_matrix(trade: DataFrame, periods: list[int] | None = None) -> Dat
 
 def unit_value_slope(trade: DataFrame) -> DataFrame:
     """Unit value at the first and last period; commodities missing either, or any between, are left out."""
+    trade = _cells(trade)
     uv = unit_values_by_commodity_year(trade).where(F.col("unit_value_usd_per_kg").isNotNull())
     first = uv.agg(F.min("period")).scalar()
     last = uv.agg(F.max("period")).scalar()
@@ -350,6 +384,7 @@ def commodity_concentration(trade: DataFrame) -> DataFrame:
 
 def hhi_year_shift(trade: DataFrame) -> DataFrame:
     """Concentration at the first two periods side by side; empty with fewer than two."""
+    trade = _cells(trade)
     by_year = market_concentration_by_year(trade)
     first = by_year.agg(F.min("period")).scalar()
     second = by_year.where(F.col("period") > first).agg(F.min("period")).scalar()
@@ -362,6 +397,7 @@ def hhi_year_shift(trade: DataFrame) -> DataFrame:
 
 def dual_concentration(trade: DataFrame) -> DataFrame:
     """Destination and commodity concentration of each reporter, with their quadrant."""
+    trade = _cells(trade)
     destinations = market_concentration(trade).select("reporterDesc", "hhi", "total_export_usd")
     products = commodity_concentration(trade).select("reporterDesc", "commodity_hhi")
     joined = destinations.join(products, "reporterDesc")
@@ -391,6 +427,7 @@ def market_share_matrix(trade: DataFrame, reporters: list[str] | None = None) ->
 
 def route_commodity_other(trade: DataFrame, routes: int = 5, least_pct: float = 2.0) -> DataFrame:
     """Commodities of the largest routes; those under ``least_pct`` are folded into one."""
+    trade = _cells(trade)
     sums = _route_commodities(trade)
     kept = _keep(sums, _top(sums, ["route"], routes), ["route"])
     shared = kept.withColumn("share", _share_pct("value_usd", "route"))
@@ -401,6 +438,7 @@ def route_commodity_other(trade: DataFrame, routes: int = 5, least_pct: float =
 
 def reporter_commodity_other(trade: DataFrame, reporters: int = 10, commodities: int = 8) -> DataFrame:
     """Largest reporters by commodity; commodities outside the largest are folded into one."""
+    trade = _cells(trade)
     sums = _sums(trade, "reporterDesc", "cmdDesc")
     kept = _keep(sums, _top(sums, ["reporterDesc"], reporters), ["reporterDesc"])
     top = _top(kept, ["cmdDesc"], commodities).select("cmdDesc", F.col("cmdDesc").alias("label"))
@@ -442,5 +480,6 @@ REPORT = {
 
 
 def report_tables(trade: DataFrame) -> dict[str, DataFrame]:
-    """The sixteen report tables over one trade table."""
-    return {name: build(trade) for name, build in REPORT.items()}
+    """The sixteen report tables over one trade table, which is read once."""
+    cells = _cells(trade)
+    return {name: build(cells) for name, build in REPORT.items()}
