@@ -160,16 +160,21 @@ def parse_risk_decision(value: Column) -> Column:
     return F.coalesce(*_first_equal(key, RISK_DECISIONS), F.lit(RISK_DECISION_DEFAULT))
 
 
+def _family(key: Column) -> Column:
+    """Family of a lower-case, trimmed token: exact spelling first, then containment in list order."""
+    exact = F.create_map(*[F.lit(word) for pair in HAZARD_TOKENS for word in pair])
+    contained = [F.when(F.contains(key, F.lit(token)), F.lit(kind)) for token, kind in HAZARD_TOKENS]
+    return F.coalesce(F.try_element_at(exact, key), *contained, F.lit(HAZARD_DEFAULT))
+
+
 def parse_hazard_type(value: Column) -> Column:
-    """One category token to its family: exact spelling first, then containment."""
-    key = F.lower(F.trim(value))
-    contained = [F.when(F.contains(key, F.lit(text)), F.lit(kind)) for text, kind in HAZARD_TOKENS]
-    return F.coalesce(*_first_equal(key, HAZARD_TOKENS), *contained, F.lit(HAZARD_DEFAULT))
+    """One category token to its family."""
+    return _family(F.lower(F.trim(value)))
 
 
 def parse_hazard_types(value: Column) -> Column:
     """A comma list of tokens to an array of families; duplicates are kept."""
-    return F.transform(split_tokens(value), parse_hazard_type)
+    return F.transform(split_tokens(F.lower(value)), _family)
 
 
 def split_tokens(value: Column) -> Column:

@@ -51,7 +51,7 @@ def _merge_mentions(known: Column) -> Column:
         return F.struct(
             code.alias("m49"),
             F.get(mine, 0)["name"].alias("name"),
-            F.array_sort(F.array_distinct(F.transform(mine, lambda m: m["role"]))).alias("roles"),
+            F.sort_array(F.array_distinct(F.transform(mine, lambda m: m["role"]))).alias("roles"),
         )
 
     return F.transform(codes, entry)
@@ -175,7 +175,7 @@ def build_notifications(events: DataFrame) -> DataFrame:
     """
     attributes = F.struct("commodity_hs", "classification", "risk_decision", "hazard_category", "period")
     grouped = events.groupBy("reference", "origin_m49").agg(
-        F.array_sort(F.collect_set("destination_m49")).alias("affected"),
+        F.sort_array(F.collect_set("destination_m49")).alias("affected"),
         _first_seen(attributes).alias("first"),
     )
     kept = grouped.where((F.col("first.commodity_hs") != "") & (F.col("first.period") != 0))
@@ -405,7 +405,7 @@ def pair_hs_codes(pairs: DataFrame, exclude_self: bool = True) -> DataFrame:
     )
     return distinct.groupBy("from_code", "to_code").agg(
         F.min("first").alias("first"),
-        F.array_sort(F.collect_set("hs_code")).alias("hs_codes"),
+        F.sort_array(F.collect_set("hs_code")).alias("hs_codes"),
         F.count("*").alias("hs_code_count"),
     ).select(
         F.col("first.from_country").alias("from_country"),

@@ -280,7 +280,7 @@ def hazard_heatmap(corridors: DataFrame, rows: int = 15, columns: int = 12) -> D
 
 
 def hs_code_names(commodities: DataFrame) -> DataFrame:
-    """The names of each code in source order."""
+    """The names of each code in source order: as many as the commodity map, a dimension, gives it."""
     named = commodities.where(F.col("hs_code").isNotNull() & F.col("commodity").isNotNull())
     entries = F.sort_array(F.collect_list(F.struct("pos", F.col("commodity").alias("name"))))
     return named.groupBy("hs_code").agg(entries.alias("_entries")).select(

@@ -50,8 +50,8 @@ def validate_trade(trade: DataFrame) -> DataFrame:
 
     facts = cells.agg(
         added("rows").alias("total_rows"),
-        F.array_sort(F.collect_set("period")).alias("periods"),
-        F.array_sort(F.collect_set("flowDesc")).alias("flows"),
+        F.sort_array(F.collect_set("period")).alias("periods"),
+        F.sort_array(F.collect_set("flowDesc")).alias("flows"),
         added("null_primaryValue").alias("null_primaryValue"),
         added("null_netWgt").alias("null_netWgt"),
         rows_where(F.col("reporterDesc").isNull()).alias("null_reporterDesc"),

@@ -52,7 +52,7 @@ def peer_unit_values(lanes: DataFrame) -> DataFrame:
     scored = unit_value_zscore(lanes)
     peer = F.struct("origin_m49", "unit_value", "z_uv")
     return scored.groupBy("commodity_hs", "destination_m49", "period").agg(
-        F.array_sort(F.collect_list(peer)).alias("peers")
+        F.sort_array(F.collect_list(peer)).alias("peers")
     )
 
 
@@ -99,7 +99,7 @@ def _shift(table: DataFrame, periods: DataFrame, keys: list[str], value: str) ->
     that period. A series has one row per period, which bounds the window.
     """
     series = Window.partitionBy(*keys).orderBy("period")
-    dated = table.join(F.broadcast(periods), "period", "left")  # one row per period
+    dated = table.join(periods, "period", "left")
     adjacent = F.lag("period").over(series) == F.col("previous")
     return dated.withColumn(f"{value}_previous", F.when(adjacent, F.lag(value).over(series)))
 
