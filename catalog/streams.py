@@ -29,7 +29,7 @@ from tradelanes.streaming.hazard_stream import stream_hazard
 def hazard_days(t: SharedTables) -> DataFrame:
     """The days that are final once every notification has arrived."""
     source, sink = scratch_folder(t.spark, "arrivals"), scratch_folder(t.spark, "days")
-    dated = t.raw.withColumn("event_time", F.to_timestamp(F.coalesce("date", "notification_date")))
+    dated = t.raw.withColumn("event_time", F.to_timestamp(F.concat(F.coalesce("date", "notification_date"), F.lit("T00:00:00Z"))))
     dated.write.parquet(source)
     arrivals = t.spark.readStream.schema(dated.schema).parquet(source)
     stream_hazard(arrivals, t.book, sink, scratch_folder(t.spark, "progress")).awaitTermination()

@@ -6,7 +6,7 @@ decay depends on the period asked about.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,7 +21,7 @@ EVENT_TIME = "event_time"
 def daily_severity(raw: DataFrame, book: CountryBook, delay: str = "30 days") -> DataFrame:
     """Severity and events per corridor and day of ``event_time``.
 
-    Works on a stream and on a table alike. On a stream, a day is final once
+    Works on a stream and on a table alike. Days are those of UTC. On a stream, a day is final once
     an event later than its end by ``delay`` has been seen; the state holds
     only days not final yet.
     """
@@ -36,6 +36,11 @@ def daily_severity(raw: DataFrame, book: CountryBook, delay: str = "30 days") ->
     )
 
 
+def utc_day(moment: Column) -> Column:
+    """The date in UTC, whatever zone the session shows times in."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(moment) / 86_400).cast("int"))
+
+
 def stream_hazard(
     raw: DataFrame,
     book: CountryBook,
@@ -46,7 +51,7 @@ def stream_hazard(
 ) -> StreamingQuery:
     """Append final days to a table. Restarting on the same checkpoint goes on where it stopped."""
     days = daily_severity(raw, book, delay).select(
-        F.col("day.start").cast("date").alias("day"), *CORRIDOR, "severity", "events"
+        utc_day(F.col("day.start")).alias("day"), *CORRIDOR, "severity", "events"
     )
     writer = days.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
     if until_caught_up:
