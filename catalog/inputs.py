@@ -162,6 +162,10 @@ def export_corridors(t: SharedTables) -> DataFrame:
     return back.withColumn("commodity_name", F.coalesce("commodity_name", F.lit("")))
 
 
+def _pairs(t: SharedTables) -> DataFrame:
+    return materialise(alerts.pair_hs_codes(alerts.extract_trade_pairs(t.raw, t.book)))
+
+
 def _progress(pairs: DataFrame) -> DataFrame:
     rest = (F.col("from_code") + F.col("to_code")) % 3
     status = F.when(rest == 0, "completed").otherwise("failed")
@@ -175,7 +179,7 @@ def _progress(pairs: DataFrame) -> DataFrame:
        WHERE (from_code + to_code) % 3 <> 0""",
 )
 def pending_pairs(t: SharedTables) -> DataFrame:
-    pairs = alerts.pair_hs_codes(alerts.extract_trade_pairs(t.raw, t.book))
+    pairs = _pairs(t)
     pending = resume.pending_pairs(pairs, _progress(pairs))
     return pending.select("from_code", "to_code", "hs_codes")
 
@@ -188,7 +192,7 @@ def pending_pairs(t: SharedTables) -> DataFrame:
        WHERE "flowCode" = 'X' AND period = 1996 AND "cmdCode" = '100630' GROUP BY 1, 2) ON f = c.from_code AND o = c.to_code""",
 )
 def record_progress(t: SharedTables) -> DataFrame:
-    pairs = alerts.pair_hs_codes(alerts.extract_trade_pairs(t.raw, t.book))
+    pairs = _pairs(t)
     return resume.record_progress(pairs, flows.filter_flow(t.trade, "X", commodity="100630", period=1996))
 
 
@@ -200,7 +204,7 @@ def record_progress(t: SharedTables) -> DataFrame:
        FROM pair_codes""",
 )
 def checkpoint_status(t: SharedTables) -> DataFrame:
-    pairs = alerts.pair_hs_codes(alerts.extract_trade_pairs(t.raw, t.book))
+    pairs = _pairs(t)
     return resume.checkpoint_status(pairs, _progress(pairs))
 
 
@@ -210,7 +214,7 @@ def checkpoint_status(t: SharedTables) -> DataFrame:
        FROM exports e JOIN pair_codes c ON e."reporterCode" = c.from_code AND e."partnerCode" = c.to_code GROUP BY 1, 2""",
 )
 def tag_source_pair(t: SharedTables) -> DataFrame:
-    pairs = alerts.pair_hs_codes(alerts.extract_trade_pairs(t.raw, t.book))
+    pairs = _pairs(t)
     tagged = resume.tag_source_pair(t.exports, pairs)
     return tagged.groupBy("source_from_country", "source_to_country").agg(F.count("*").alias("rows"))
 

@@ -233,7 +233,7 @@ _statistic("std_dev", "stddev_samp(bilateral_import_kg)", F.stddev_samp)
 )
 def zscore(t: SharedTables) -> DataFrame:
     """Against all lanes of a commodity: an aggregate joined back, not a window over a hot key."""
-    lanes = flows.bilateral_imports(t.trade)
+    lanes = materialise(flows.bilateral_imports(t.trade))
     stats = lanes.groupBy("commodity_hs").agg(
         F.avg("bilateral_import_kg").alias("mu"), F.stddev_samp("bilateral_import_kg").alias("sd")
     )

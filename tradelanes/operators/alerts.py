@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tradelanes.dimensions import CountryBook, lookup_key
 from tradelanes.functions import text
 from tradelanes.functions.periods import DEFAULT_PERIOD, to_period_yyyymm
+from tradelanes.session import materialise
 from tradelanes.sources.scans import with_row_id
 
 CORRIDOR = ["commodity_hs", "destination_m49", "origin_m49"]
@@ -418,10 +419,17 @@ def pair_hs_codes(pairs: DataFrame, exclude_self: bool = True) -> DataFrame:
 
 
 def country_pair_summary(raw: DataFrame, book: CountryBook) -> DataFrame:
-    """One row: mapped origins and follow-up countries, country pairs, codes over all pairs."""
-    pairs = pair_hs_codes(extract_trade_pairs(raw, book))
-    origins = unique_origins(raw, book).agg(F.count("*")).scalar()
-    followups = unique_followups(raw, book).agg(F.count("*")).scalar()
+    """One row: mapped origins and follow-up countries, country pairs, codes over all pairs.
+
+    Only the distinct texts matter, so the notifications are reduced to them once.
+    """
+    texts = materialise(raw.select("origin", "for_followUp", "hs_code").distinct())
+    rows = texts.withColumns(
+        {"row_id": F.lit(0), "reference": F.lit(None).cast("string"), "commodities": F.lit(None).cast("string")}
+    )
+    pairs = pair_hs_codes(extract_trade_pairs(rows, book))
+    origins = unique_origins(texts, book).agg(F.count("*")).scalar()
+    followups = unique_followups(texts, book).agg(F.count("*")).scalar()
     return pairs.agg(
         F.count("*").alias("country_pairs"),
         F.coalesce(F.sum("hs_code_count"), F.lit(0)).alias("hs_codes_over_pairs"),
