@@ -107,10 +107,9 @@ def normalise_percentile_rank(
 def normalise_log_percentile(
     df: DataFrame, value: str, keys: list[str], out: str, cuts: list[float] | None = None
 ) -> DataFrame:
-    """Percentile rank of ``ln(1 + x)``."""
+    """Percentile rank of ``ln(1 + x)``; ``cuts``, if given, are those of the logarithm."""
     logged = df.withColumn("_log", F.log1p(F.col(value)))
-    log_cuts = None if cuts is None else cuts
-    return normalise_percentile_rank(logged, "_log", keys, out, log_cuts).drop("_log")
+    return normalise_percentile_rank(logged, "_log", keys, out, cuts).drop("_log")
 
 
 def normalise_min_max(df: DataFrame, value: str, out: str) -> DataFrame:

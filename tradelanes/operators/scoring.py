@@ -42,9 +42,9 @@ class ScoringConfig:
 def normalise_corridors(corridors: DataFrame, config: ScoringConfig = ScoringConfig()) -> DataFrame:
     """Add ``sci_norm``, ``his_norm`` and ``crs_norm``.
 
-    Hazard intensity decays exponentially and is always ranked on its
-    logarithm, unless min-max was not asked for and the method already does
-    so. ``corridors`` is read several times; pass a materialised frame.
+    Hazard intensity is exponentially distributed and is always ranked on its
+    logarithm, whatever the method; the others follow the method.
+    ``corridors`` is read several times; pass a materialised frame.
     """
     df = corridors
     for name in INPUTS:
