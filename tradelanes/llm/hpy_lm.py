@@ -22,8 +22,8 @@ SHARED = 1 << 20
 #: Rounds of Gibbs sampling that bring all parts up to date with each other, and seatings averaged at the end.
 ROUNDS, SAMPLES, SWEEPS = 2, 3, 2
 #: Tokens a part of the model should have, and text bytes packed at a time.
-PART_TOKENS = 4_000_000
-_PORTION = 12 << 20
+PART_TOKENS = 2_500_000
+_PORTION = 8 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
 _CHUNK = 1 << 16
 CONCENTRATION = 1.0
@@ -98,6 +98,7 @@ def _packed(batches: Iterator[pa.RecordBatch], known: Known, parts: int) -> Iter
         mixed = words + np.where(often, contexts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
         part = ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
         keys = batch.column("_key").to_numpy().view(np.uint64)
+        del data
         train = batch.column("_train").to_numpy(zero_copy_only=False)
         order = np.lexsort((words, part))
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
@@ -135,24 +136,25 @@ def _cells(frame: pd.DataFrame) -> pd.DataFrame:
     for r in frame.itertuples():
         words.append(np.repeat(_unpack(r.words, 8), _unpack(r.runs, 4).astype(np.int64)))
         contexts.append(_unpack(r.contexts, 3).astype(np.uint32))
-        local = _unpack(r.rows, 3).astype(np.int64)
+        local = _unpack(r.rows, 3).astype(np.int32)
         train.append(_unpack(r.train, 1).astype(bool)[local])
-        rows.append(local + base)
+        rows.append(local + np.int32(base))
         keys.append(_unpack(r.keys, 8))
         base += len(keys[-1])
     words, contexts, rows, train = map(np.concatenate, (words, contexts, rows, train))
     order = np.lexsort((contexts, words))
-    w, c = words[order], contexts[order]
+    w, c, rows, train = words[order], contexts[order], rows[order], train[order]
+    del words, contexts, order
     new_word = np.concatenate([[True], w[1:] != w[:-1]])
     new = new_word | np.concatenate([[True], c[1:] != c[:-1]])
     cell = np.cumsum(new) - 1
-    counts = np.bincount(cell, weights=train[order], minlength=int(cell[-1]) + 1).astype(np.int64)
+    counts = np.bincount(cell, weights=train, minlength=int(cell[-1]) + 1).astype(np.int64)
     heads = np.flatnonzero(new)
     first = np.cumsum(new)[new_word] - 1
     packed = {
         "part": [int(frame["part"].iloc[0])], "words": [_pack(w[new_word], 8)], "first": [_pack(first, 5)],
         "contexts": [_pack(c[heads], 3)], "counts": [_pack(counts, 6)],
-        "cell": [_pack(np.diff(np.append(heads, len(w))), 5)], "rows": [_pack(rows[order], 5)], "keys": [_pack(np.concatenate(keys), 8)],
+        "cell": [_pack(np.diff(np.append(heads, len(w))), 5)], "rows": [_pack(rows, 5)], "keys": [_pack(np.concatenate(keys), 8)],
     }
     return pd.DataFrame(packed)
 
@@ -334,12 +336,12 @@ def _scores(batches: Iterator[pa.RecordBatch], known: Known, state: State) -> It
         log_p = np.log10(total / SAMPLES)
         base = np.log10((part.word_counts + 1) / (known.total + known.distinct + 1))
         seen = part.word_counts > 0
-        many = _unpack(row["cell"], 5).astype(np.int64)
-        cell = np.repeat(np.arange(len(many)), many)
-        rows = _unpack(row["rows"], 5).astype(np.int64)
+        cell = np.repeat(np.arange(len(part.counts), dtype=np.int32), _unpack(row["cell"], 5).astype(np.int64))
+        rows = _unpack(row["rows"], 5).astype(np.int32)
         keys = _unpack(row["keys"], 8)
-        word = part.word[cell]
-        sums = [np.bincount(rows, weights=x, minlength=len(keys)) for x in (np.ones(len(rows)), seen[word], base[word], log_p[cell])]
+        sums = [np.bincount(rows, minlength=len(keys))]
+        for value in (seen[part.word], base[part.word], log_p):  # one column of the tokens at a time
+            sums.append(np.bincount(rows, weights=value[cell], minlength=len(keys)))
         yield arrow(
             _SCORES,
             {"_key": keys.view(np.int64), "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base_score": sums[2], "score": sums[3]},
