@@ -237,3 +237,17 @@ def test_pipeline(spark):
     counts = [s.count() for s in steps]
     assert counts[0] >= counts[1] > counts[2] >= counts[3] > 0
     assert corpus_pipeline.run(spark, SMALL).count() == counts[4]
+
+
+def test_span_hashes_do_not_depend_on_place():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 100, 5 << 20).astype(np.uint8)
+    starts = np.sort(rng.integers(0, len(data) - 4000, 3000))
+    starts[-1] = len(data) - 10
+    ends = starts + rng.integers(0, 9, 3000)
+    ends[:5] += 3000
+    got = span_hashes(data, starts, ends)
+    seen = {}
+    for h, s, e in zip(got.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        assert seen.setdefault(bytes(data[s:e]), h) == h
+    assert len(set(seen.values())) == len(seen)

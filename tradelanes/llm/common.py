@@ -82,6 +82,7 @@ def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 #: Multiplier of the positional hash: 3 modulo 8, so that powers differ in their low bits.
 _RADIX = np.uint64(0x9E3779B97F4A7C1B)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C1B, -1, 1 << 64))
+_BLOCK = 1 << 20
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -95,8 +96,21 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of byte ranges, equal for equal bytes wherever they lie.
 
     The hash of a range is a polynomial modulo 2**64 taken from running sums,
-    so all ranges of a buffer cost one pass over its bytes.
+    so all ranges of a buffer cost one pass over its bytes. Ranges have to
+    begin in ascending order; they are taken a megabyte at a time.
     """
+    if len(data) > 2 * _BLOCK and len(starts):
+        out = np.empty(len(starts), dtype=np.uint64)
+        cuts = np.searchsorted(starts, np.arange(0, len(data) + 2 * _BLOCK, _BLOCK))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b > a:
+                low, high = int(starts[a]), int(ends[a:b].max())
+                out[a:b] = _span_hashes(data[low:high], starts[a:b] - low, ends[a:b] - low)
+        return out
+    return _span_hashes(data, starts, ends)
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         letters = _scramble(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         powers = np.full(len(data) + 1, _RADIX, dtype=np.uint64)
