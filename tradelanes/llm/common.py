@@ -110,21 +110,57 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return _span_hashes(data, starts, ends)
 
 
-def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+#: Letters' values and the multiplier's powers and inverse powers, made when first used.
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not _TABLES:
+        with np.errstate(over="ignore"):
+            _TABLES["letters"] = _scramble(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            for name, base in (("powers", _RADIX), ("inverse", _INVERSE)):
+                run = np.full(4096, base, dtype=np.uint64)
+                run[0] = 1
+                _TABLES[name] = np.multiply.accumulate(run)
+    return _TABLES["letters"], _TABLES["powers"], _TABLES["inverse"]
+
+
+def _power(name: str, places: np.ndarray) -> np.ndarray:
+    """Powers at any place, from those below 4096 and those of 4096."""
+    low = _TABLES[name]
+    base = int(_RADIX if name == "powers" else _INVERSE)
+    high = np.full(int(places.max(initial=0) >> 12) + 1, pow(base, 4096, 1 << 64), dtype=np.uint64)
+    high[0] = 1
+    np.multiply.accumulate(high, out=high)
+    return low[places & 4095] * high[places >> 12]
+
+
+def running_hash(data: np.ndarray) -> np.ndarray:
+    """Running sums of the bytes' values times the multiplier's powers, from which any range's hash follows."""
+    letters, low, _ = _tables()
     with np.errstate(over="ignore"):
-        letters = _scramble(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        powers = np.full(len(data) + 1, _RADIX, dtype=np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
+        rows = -(-len(data) // 4096)
+        high = _power("powers", np.arange(rows, dtype=np.int64) << 12)
+        terms = letters[data]
+        for k in range(rows):
+            part = terms[k << 12 : (k + 1) << 12]
+            part *= low[: len(part)] * high[k]
         running = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(letters[data] * powers[:-1], out=running[1:])
-        inverse = np.full(len(data) + 1, _INVERSE, dtype=np.uint64)
-        inverse[0] = 1
-        np.multiply.accumulate(inverse, out=inverse)
-        spans = (running[ends] - running[starts]) * inverse[starts]
+        np.cumsum(terms, out=running[1:])
+    return running
+
+
+def hashes_between(running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    _tables()
+    with np.errstate(over="ignore"):
+        spans = (running[ends] - running[starts]) * _power("inverse", np.asarray(starts))
         return _scramble(spans + _scramble((ends - starts).astype(np.uint64)))
 
 
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return hashes_between(running_hash(data), starts, ends)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the words before each text (one more entry than texts)."""
     blank = (data == 32) | ((data >= 9) & (data <= 13))

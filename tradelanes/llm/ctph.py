@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelanes.llm.common import arrow, span_hashes, whole_text
+from tradelanes.llm.common import arrow, hashes_between, running_hash, whole_text
 from tradelanes.session import materialise
 
 #: Bytes the rolling hash sees, the smallest block, the chunks a signature aims at.
@@ -34,13 +34,13 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signature(data: np.ndarray, roll: np.ndarray, block: int) -> tuple[int, ...]:
+def _signature(roll: np.ndarray, running: np.ndarray, block: int) -> tuple[int, ...]:
     """One symbol of 12 bits for each chunk; a chunk ends where the rolling hash is full modulo the block size."""
     ends = np.flatnonzero(roll % np.uint32(block) == block - 1) + 1
-    if not len(ends) or ends[-1] != len(data):
-        ends = np.append(ends, len(data))
+    if not len(ends) or ends[-1] != len(roll):
+        ends = np.append(ends, len(roll))
     starts = np.concatenate([[0], ends[:-1]])
-    return tuple((span_hashes(data, starts, ends) >> np.uint64(52)).tolist())
+    return tuple((hashes_between(running, starts, ends) >> np.uint64(52)).tolist())
 
 
 def signatures(text: bytes) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
@@ -56,12 +56,12 @@ def signatures(text: bytes) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
     block = LEAST_BLOCK
     while block * CHUNKS < len(data):
         block *= 2
-    roll = rolling(data)
-    first = _signature(data, roll, block)
-    second = _signature(data, roll, block * 2)
+    roll, running = rolling(data), running_hash(data)
+    first = _signature(roll, running, block)
+    second = _signature(roll, running, block * 2)
     while block > LEAST_BLOCK and len(first) < CHUNKS // 2:
         block, second = block // 2, first
-        first = _signature(data, roll, block)
+        first = _signature(roll, running, block)
     return block, first, second
 
 
@@ -168,14 +168,19 @@ def compare_with_edits(docs: DataFrame, rows_per_bucket: int = 4000, most_bucket
         for r in ids.select("doc_id", bucket.alias("_bucket")).groupBy("_bucket").agg(F.max("doc_id").alias("_head")).collect()
     }
     order = sorted(heads)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    # the first row of each bucket, told by its rank in it, also goes to the end of the bucket before
+    # the first row of each bucket, found by its identifier, also goes to the end of the bucket before
     placed = rows.withColumn("_bucket", bucket)
-    firsts = placed.join(
-        docs.sparkSession.createDataFrame([(b, before[b], heads[b]) for b in order], "_b int, _to int, _head long"),
-        (F.col("_bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_head")),
+    known = [heads[b] for b in order if heads[b] is not None]
+    first = F.col("doc_id").isin(known) if known else F.lit(False)
+    if None in heads.values():  # a bucket of rows without identifier
+        first = first | (F.col("doc_id").isNull() & (F.col("_bucket") == max(order)))
+    before = F.create_map(*[F.lit(x) for i, b in enumerate(order) for x in (b, order[i - 1])]) if order else F.lit(None)
+    firsts = (
+        placed.where(F.coalesce(first, F.lit(False)))
+        .select((before[F.col("_bucket")] if order else F.lit(0)).cast("int").alias("_to"), "doc_id", "_text")
+        .groupBy("_to", "doc_id")
+        .agg(F.min("_text").alias("_text"))
     )
-    firsts = firsts.groupBy("_to", "doc_id").agg(F.min("_text").alias("_text"))
     both = placed.select("_bucket", "doc_id", "_text", F.lit(False).alias("_copy")).unionByName(
         firsts.select(F.col("_to").alias("_bucket"), "doc_id", "_text", F.lit(True).alias("_copy"))
     )

@@ -22,8 +22,8 @@ SHARED = 1 << 20
 #: Rounds of Gibbs sampling that bring all parts up to date with each other, and seatings averaged at the end.
 ROUNDS, SAMPLES, SWEEPS = 2, 3, 2
 #: Tokens a part of the model should have, and text bytes packed at a time.
-PART_TOKENS = 2_500_000
-_PORTION = 8 << 20
+PART_TOKENS = 2_000_000
+_PORTION = 4 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
 _CHUNK = 1 << 16
 CONCENTRATION = 1.0
