@@ -319,10 +319,13 @@ def _next_state(cells: DataFrame, known: Known, state: State | None, seed: int)
     )
 
 
+_SUMMED = ("n_tokens", "n_known", "base_score", "score")
+_PARTIAL = "bucket int, keys binary, sums binary"
 _SCORES = "_key long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scores(batches: Iterator[pa.RecordBatch], known: Known, state: State) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], known: Known, state: State, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Sums over a part of the model for the texts it has tokens of, packed by buckets of texts."""
     for row in _rows(batches):
         part = Part(row, known)
         total = np.zeros(len(part.counts))
@@ -342,12 +345,30 @@ def _scores(batches: Iterator[pa.RecordBatch], known: Known, state: State) -> It
         sums = [np.bincount(rows, minlength=len(keys))]
         for value in (seen[part.word], base[part.word], log_p):  # one column of the tokens at a time
             sums.append(np.bincount(rows, weights=value[cell], minlength=len(keys)))
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        table = np.stack(sums).astype(np.float64)
+        own = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        filled = [k for k in range(buckets) if len(own[k])]
         yield arrow(
-            _SCORES,
-            {"_key": keys.view(np.int64), "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "base_score": sums[2], "score": sums[3]},
+            _PARTIAL,
+            {"bucket": filled, "keys": [keys[own[k]].tobytes() for k in filled], "sums": [table[:, own[k]].tobytes() for k in filled]},
         )
 
 
+def _whole(frame: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a bucket of texts over all parts."""
+    keys = np.concatenate([np.frombuffer(k, "<u8") for k in frame["keys"]])
+    sums = np.concatenate([np.frombuffer(s, "<f8").reshape(len(_SUMMED), -1) for s in frame["sums"]], axis=1)
+    found, where = np.unique(keys, return_inverse=True)
+    out = {"_key": found.view(np.int64)}
+    for name, column in zip(_SUMMED, sums, strict=True):
+        total = np.bincount(where, weights=column, minlength=len(found))
+        out[name] = np.rint(total).astype(np.int64) if name.startswith("n_") else total
+    return pd.DataFrame(out)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in portions(batches, "_text", _PORTION):
         words, _ = tokens(*utf8(batch.column("_text")))
@@ -404,10 +425,10 @@ def score_texts(docs: DataFrame, seed: int = 0) -> DataFrame:
     last = context.broadcast(vars(state))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _scores(batches, Known(**words.value), State(**last.value))
+        return _scores(batches, Known(**words.value), State(**last.value), parts)
 
     # rows that repeat identifier and text share a key, and so their sum
-    sums = cells.mapInArrow(finish, _SCORES).groupBy("_key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    sums = cells.mapInArrow(finish, _PARTIAL).groupBy("bucket").applyInPandas(_whole, _SCORES)
     ids = texts.groupBy("_key", "doc_id", "held_out").agg(F.count(F.lit(1)).alias("_rows"))
     return (
         ids.join(sums, "_key")
