@@ -353,14 +353,23 @@ def _scores(batches: Iterator[pa.RecordBatch], known: Known, state: State, bucke
         filled = [k for k in range(buckets) if len(own[k])]
         yield arrow(
             _PARTIAL,
-            {"bucket": filled, "keys": [keys[own[k]].tobytes() for k in filled], "sums": [table[:, own[k]].tobytes() for k in filled]},
+            {"bucket": filled, "keys": [keys[own[k]].tobytes() for k in filled], "sums": [_pack_sums(np.ascontiguousarray(table[:, own[k]])) for k in filled]},
         )
 
 
+def _pack_sums(table: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(table.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack_sums(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<f8").reshape(len(_SUMMED), -1)
+
+
 def _whole(frame: pd.DataFrame) -> pd.DataFrame:
     """The sums of a bucket of texts over all parts."""
     keys = np.concatenate([np.frombuffer(k, "<u8") for k in frame["keys"]])
-    sums = np.concatenate([np.frombuffer(s, "<f8").reshape(len(_SUMMED), -1) for s in frame["sums"]], axis=1)
+    sums = np.concatenate([_unpack_sums(s) for s in frame["sums"]], axis=1)
     found, where = np.unique(keys, return_inverse=True)
     out = {"_key": found.view(np.int64)}
     for name, column in zip(_SUMMED, sums, strict=True):
@@ -369,22 +378,59 @@ def _whole(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_COUNTS = "bucket int, words binary, counts binary"
+
+
+def _count_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Word counts of a task's texts, packed by buckets of words."""
+    words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def packed() -> pa.RecordBatch:
+        bucket = (words % np.uint64(buckets)).astype(np.int64)
+        own = [np.flatnonzero(bucket == k) for k in range(buckets)]
+        filled = [k for k in range(buckets) if len(own[k])]
+        return arrow(
+            _COUNTS,
+            {"bucket": filled, "words": [_pack(words[own[k]], 8) for k in filled], "counts": [_pack(counts[own[k]], 6) for k in filled]},
+        )
+
     for batch in portions(batches, "_text", _PORTION):
-        words, _ = tokens(*utf8(batch.column("_text")))
-        found, count = np.unique(words, return_counts=True)
-        yield arrow("word long, n long", {"word": found.view(np.int64), "n": count})
+        new, many = np.unique(tokens(*utf8(batch.column("_text")))[0], return_counts=True)
+        words, where = np.unique(np.concatenate([words, new]), return_inverse=True)
+        counts = np.bincount(where, weights=np.concatenate([counts, many]), minlength=len(words)).astype(np.int64)
+        if len(words) > 1_000_000:  # the task's memory; what is sent on is added up again
+            yield packed()
+            words, counts = words[:0], counts[:0]
+    yield packed()
+
+
+_FOUND = "word long, n long, total long, distinct long"
+
+
+def _add_words(frame: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's words of more than one occurrence, and in a row of its own how many words and tokens it has."""
+    words, where = np.unique(np.concatenate([_unpack(w, 8) for w in frame["words"]]), return_inverse=True)
+    counts = np.bincount(where, weights=np.concatenate([_unpack(c, 6) for c in frame["counts"]]), minlength=len(words)).astype(np.int64)
+    more = counts > 1
+    found = pd.DataFrame({"word": words[more].view(np.int64), "n": counts[more], "total": 0, "distinct": 0})
+    return pd.concat([found, pd.DataFrame({"word": [0], "n": [0], "total": [int(counts.sum())], "distinct": [len(words)]})])
 
 
 def vocabulary(texts: DataFrame) -> Known:
-    """Counts of all training words; the most frequent ones, ``FREQUENT`` at most, and the totals come to the driver."""
+    """Counts over all training texts. A word that is a ``FREQUENT``-th of all tokens or more is frequent, so no more than that are."""
+    buckets = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _count_words(batches, buckets)
+
     train = texts.where("_train").select("_text")
-    counts = materialise(train.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    totals = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    counts = materialise(train.mapInArrow(count, _COUNTS).groupBy("bucket").applyInPandas(_add_words, _FOUND))
+    totals = counts.agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
+    total = int(totals["total"] or 0)
+    top = counts.where(F.col("n") >= max(2, -(-total // FREQUENT))).select("word", "n").toArrow()
     words = top.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
-    return Known(words[order], top.column("n").to_numpy()[order].astype(np.int64), int(totals["total"] or 0), int(totals["distinct"]))
+    return Known(words[order], top.column("n").to_numpy()[order].astype(np.int64), total, int(totals["distinct"] or 0))
 
 
 def score_texts(docs: DataFrame, seed: int = 0) -> DataFrame:

@@ -17,7 +17,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_
 
     The smallest hashes of the identifier win, so the sample doesn't depend on
     partitioning. Only documents of up to ``most_bytes`` serve for fitting. An
-    identifier labelled twice counts once, with its larger label.
+    identifier labelled twice counts once, with its larger label; of several texts
+    of one identifier the smallest counts.
     """
     marks = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
@@ -25,14 +26,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_
         .groupBy("_id")
         .agg(F.max("_label").alias("_label"))
     )
-    met = (
-        docs.select(F.col("doc_id"), whole_text().alias("_text"))
+    # sizes first, without the texts; then the texts of the chosen, 2 * per_class identifiers at most
+    sizes = docs.select(F.col("doc_id").alias("_doc"), F.octet_length(whole_text()).alias("_size"))
+    met = sizes.where(F.col("_size") <= most_bytes).join(marks, F.col("_doc") == F.col("_id")).select("_id", "_label").distinct()
+    each = [met.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for k in (0, 1)]
+    chosen = each[0].unionByName(each[1])
+    return (
+        docs.select("doc_id", whole_text().alias("_text"))
         .where(F.octet_length("_text") <= most_bytes)
-        .join(marks, F.col("doc_id") == F.col("_id"))
-        .withColumn("_key", F.xxhash64("doc_id"))
+        .join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+        .groupBy("_id", "_label")
+        .agg(F.min("_text").alias("_text"))
+        .select("_text", "_label")
     )
-    each = [met.where(F.col("_label") == k).orderBy("_key", "_text").limit(per_class) for k in (0, 1)]
-    return each[0].unionByName(each[1]).select("_text", "_label")
 
 
 def platt(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1e-2) -> tuple[float, float]:

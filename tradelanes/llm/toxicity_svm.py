@@ -167,16 +167,34 @@ def _dense(units: list[str]) -> np.ndarray:
     return out
 
 
-def _kernel(units: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel of units with landmarks given as dense rows; a unit of several windows has its largest values."""
+def _compact(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Units in the expanded space, its unused coordinates left out: each coordinate's row, and the rows; row 0 is nothing."""
     cells, unit = grid(units)
-    by_code = np.ascontiguousarray(landmarks.T)
-    rows = np.zeros((len(unit), len(landmarks)), dtype=np.float32)
+    codes, weights = expanded(cells)
+    keep = np.flatnonzero(np.diff(unit, prepend=-1) > 0)
+    codes, weights = codes[keep], weights[keep]
+    used = np.unique(codes[weights > 0])
+    index = np.zeros(_CLASSES**3, dtype=np.int32)
+    index[used] = np.arange(1, len(used) + 1)
+    rows = np.zeros((len(used) + 1, len(units)), dtype=np.float32)
+    real = weights > 0
+    np.add.at(rows, (index[codes[real]], np.nonzero(real)[0]), weights[real])
+    return index, rows
+
+
+def _kernel(units: list[str], landmarks: np.ndarray | tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Kernel of units with landmarks, dense or compact; a unit of several windows has its largest values."""
+    cells, unit = grid(units)
+    if isinstance(landmarks, tuple):
+        index, by_code = landmarks
+    else:
+        index, by_code = np.arange(_CLASSES**3), np.ascontiguousarray(landmarks.T)
+    rows = np.zeros((len(unit), by_code.shape[1]), dtype=np.float32)
     for at, codes, weights in _by_width(cells):
         for start in range(0, len(at), 256):
             part = slice(start, start + 256)
-            rows[at[part]] = np.einsum("uc,ucl->ul", weights[part].astype(np.float32), by_code[codes[part]], optimize=True)
-    out = np.zeros((len(units), len(landmarks)))
+            rows[at[part]] = np.einsum("uc,ucl->ul", weights[part].astype(np.float32), by_code[index[codes[part]]], optimize=True)
+    out = np.zeros((len(units), by_code.shape[1]))
     np.maximum.at(out, unit, rows)
     return out
 
@@ -199,7 +217,7 @@ def _spread(units: list[str], many: int) -> list[str]:
         return []
     taken, near = [0], np.zeros(len(units))
     while len(taken) < min(many, len(units)):
-        near = np.maximum(near, _kernel(units, _dense([units[taken[-1]]]))[:, 0])
+        near = np.maximum(near, _kernel(units, _compact([units[taken[-1]]]))[:, 0])
         pick = int(np.argmin(near))
         if near[pick] > 0.98:
             break
@@ -285,16 +303,16 @@ def fit_machine(
         plain = sorted({u for bag, label in zip(bags, labels, strict=True) if label == 0 for u in bag})
         plain = [plain[i] for i in rng.permutation(len(plain))[:3000].tolist()]
         marks = _spread(hot_units, landmarks // 2) + _spread([u for u, _ in Counter(cold).most_common()] + plain, landmarks // 2)
-        dense = _dense(marks)
-        inner = dense @ dense.T + 1e-3 * np.eye(len(marks))
+        index, compact = _compact(marks)
+        inner = compact.T @ compact + 1e-3 * np.eye(len(marks))
         size, turned = np.linalg.eigh(inner)
         root = turned @ np.diag(1 / np.sqrt(size)) @ turned.T
         bent = [v for u in hot_units[:300] for v in _variants(u)]
         units = hot_units + bent + list(clean) + plain
         sign = np.array([1.0] * (len(hot_units) + len(bent)) + [-1.0] * (len(clean) + len(plain)))
         cost = np.array([float(min(often[u], 20)) for u in hot_units] + [1.0] * len(bent) + [1.0] * (len(clean) + len(plain)))
-        w = _svm(_kernel(units, dense) @ root, sign, cost)
-        machine = Machine((dense.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]))
+        w = _svm(_kernel(units, (index, compact)) @ root, sign, cost)
+        machine = Machine((compact @ (root @ w[:-1]))[index].astype(np.float32), float(w[-1]))
         every = list(dict.fromkeys(u for bag in bags for u in bag))
         known = dict(zip(every, machine.units(every).tolist(), strict=True))
         value = [{u: known[u] for u in bag} for bag in bags]
