@@ -22,7 +22,7 @@ SHARED = 1 << 20
 #: Rounds of Gibbs sampling that bring all parts up to date with each other, and seatings averaged at the end.
 ROUNDS, SAMPLES, SWEEPS = 2, 3, 2
 #: Tokens a part of the model should have, and text bytes packed at a time.
-PART_TOKENS = 2_000_000
+PART_TOKENS = 3_000_000
 _PORTION = 4 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
 _CHUNK = 1 << 16
@@ -353,17 +353,27 @@ def _scores(batches: Iterator[pa.RecordBatch], known: Known, state: State, bucke
         filled = [k for k in range(buckets) if len(own[k])]
         yield arrow(
             _PARTIAL,
-            {"bucket": filled, "keys": [keys[own[k]].tobytes() for k in filled], "sums": [_pack_sums(np.ascontiguousarray(table[:, own[k]])) for k in filled]},
+            {"bucket": filled, "keys": [keys[own[k]].tobytes() for k in filled], "sums": [_pack_sums(table[:, own[k]]) for k in filled]},
         )
 
 
+def _planes(values: np.ndarray) -> bytes:
+    wide = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)
+    return np.ascontiguousarray(wide.T).tobytes()
+
+
 def _pack_sums(table: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(table.view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Partial sums, those of the model's score in single precision."""
+    both = _planes(table[:3].astype("<f8").ravel()) + _planes(table[3].astype("<f4"))
+    return zstandard.ZstdCompressor(level=1).compress(both)
 
 
 def _unpack_sums(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<f8").reshape(len(_SUMMED), -1)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    many = len(raw) // 28
+    exact = np.ascontiguousarray(raw[: many * 24].reshape(8, -1).T).view("<f8").reshape(3, -1)
+    single = np.ascontiguousarray(raw[many * 24 :].reshape(4, -1).T).view("<f4").reshape(1, -1)
+    return np.concatenate([exact, single.astype(np.float64)])
 
 
 def _whole(frame: pd.DataFrame) -> pd.DataFrame:
