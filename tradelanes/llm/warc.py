@@ -23,16 +23,24 @@ _READ = 1 << 20
 #: A candidate member has to show its record's header within so many bytes.
 _HEADER = 1 << 16
 _FLUSH = 8 << 20
+#: Copies of a repeated row that one step writes.
+_COPIES = 4096
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
-    """One record as a gzip member of its own. A revisit has the digest and the size of its payload, not the payload."""
-    block = _HTTP.format(size=len(payload)).encode() + (b"" if revisit else payload)
+def record(
+    page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False, digest: str | None = None, size: int | None = None
+) -> bytes:
+    """One record as a gzip member of its own. A revisit has the digest and the size of its payload, not the payload.
+
+    Given ``digest`` and ``size``, a revisit is written without its payload at hand.
+    """
+    digest = hashlib.sha256(payload).hexdigest() if digest is None else digest
+    block = _HTTP.format(size=len(payload) if size is None else size).encode() + (b"" if revisit else payload)
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")),
-        ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}"),
+        ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
@@ -59,8 +67,18 @@ def planned(pages: DataFrame) -> DataFrame:
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumn("_digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("_size", F.octet_length("html"))
-    keys = ["page_id", "url", "_digest", "_size"]
-    members = materialise(rows.select(keys).groupBy(keys).agg(F.count(F.lit(1)).alias("_rows")))
+    # one key that is never missing; a missing address adds no part, an empty one an empty part
+    rows = rows.withColumn(
+        "_key",
+        F.sha2(
+            F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "_digest", F.hex("url")), 256
+        ),
+    )
+    own = ["page_id", "url", "_digest", "_size"]
+    least = F.when(F.col("_size") < LEAST_SHARED, F.col("html"))
+    members = materialise(
+        rows.groupBy("_key", *own).agg(F.count(F.lit(1)).alias("_rows"), F.min(least).alias("_small"))
+    )
     rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("blank"), "url")
     first = (
         members.where(F.col("_size") >= LEAST_SHARED)
@@ -68,26 +86,25 @@ def planned(pages: DataFrame) -> DataFrame:
         .agg(F.min(rank).alias("_first"), F.sum("_rows").alias("_group"))
         .where("_group > 1")
     )
-    members = members.join(first, "_digest", "left").select(
-        *keys,
+    noted = members.join(first, "_digest", "left").select(
+        "_key",
+        *own,
         "_rows",
+        "_small",
         F.col("_first.page_id").alias("_to"),
         (F.col("_first").isNotNull() & ~rank.eqNullSafe(F.col("_first"))).alias("_revisit"),
         F.col("_first").isNotNull().alias("_shared"),
     )
-    noted = members.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_rows", "_to", "_revisit", "_shared")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    met = rows.join(noted, same).select("page_id", "url", "html", "_digest", "_rows", "_to", "_revisit", "_shared")
-    once = met.where("_rows = 1").drop("_rows", "_digest", "_shared")
+    # texts move once, those of repeated rows as one
+    texts = rows.groupBy("_key").agg(F.first("html").alias("html"))
+    once = texts.join(noted, "_key").select(*own, "html", "_to", "_revisit")
+    # further copies need no text but a short one; they are dealt in blocks, so no task makes them all
     again = (
-        met.where("_rows > 1")
-        .groupBy("page_id", "url", "_digest", "_rows", "_to", "_revisit", "_shared")
-        .agg(F.first("html").alias("html"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
-        .withColumn("_revisit", F.col("_revisit") | (F.col("_shared") & (F.col("_copy") > 1)))
-        .select(once.columns)
+        noted.where("_rows > 1")
+        .withColumn("_from", F.explode(F.sequence(F.lit(2).cast("long"), F.col("_rows"), F.lit(_COPIES).cast("long"))))
+        .repartition("_key", "_from")
+        .withColumn("_copy", F.explode(F.sequence("_from", F.least(F.col("_from") + (_COPIES - 1), F.col("_rows")))))
+        .select(*own, F.col("_small").alias("html"), "_to", F.col("_shared").alias("_revisit"))
     )
     return once.unionByName(again)
 
@@ -108,8 +125,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         with store.open_output_stream(f"{root}/{name}", compression=None) as out:
             for batch in batches:
                 for row in batch.to_pylist():
-                    revisit = row["_revisit"]
-                    data = record(row["page_id"], row["url"], row["html"].encode(), row["_to"], revisit)
+                    payload = (row["html"] or "").encode()
+                    data = record(row["page_id"], row["url"], payload, row["_to"], row["_revisit"], row["_digest"], row["_size"])
                     out.write(data)
                     size += len(data)
         yield arrow("path string, size long", {"path": [f"{folder}/{name}"], "size": [size]})
