@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -191,8 +192,8 @@ def _kernel(units: list[str], landmarks: np.ndarray | tuple[np.ndarray, np.ndarr
         index, by_code = np.arange(_CLASSES**3), np.ascontiguousarray(landmarks.T)
     rows = np.zeros((len(unit), by_code.shape[1]), dtype=np.float32)
     for at, codes, weights in _by_width(cells):
-        for start in range(0, len(at), 256):
-            part = slice(start, start + 256)
+        for start in range(0, len(at), 32):
+            part = slice(start, start + 32)
             rows[at[part]] = np.einsum("uc,ucl->ul", weights[part].astype(np.float32), by_code[index[codes[part]]], optimize=True)
     out = np.zeros((len(units), by_code.shape[1]))
     np.maximum.at(out, unit, rows)
@@ -200,14 +201,15 @@ def _kernel(units: list[str], landmarks: np.ndarray | tuple[np.ndarray, np.ndarr
 
 
 def _by_width(cells: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of similar length together, expanded no wider than they are."""
+    """Rows of similar length together, expanded no wider than they are, a few hundred at a time."""
     last = np.where((cells > 0).any(axis=1), _WIDTH - (cells[:, ::-1] > 0).argmax(axis=1), 0)
     low = 0
     for width in sorted(_PLACES):
         rows = np.flatnonzero((last > low) & (last <= width))
         low = width
-        if len(rows):
-            yield rows, *expanded(cells[rows, :width])
+        for start in range(0, len(rows), 512):
+            part = rows[start : start + 512]
+            yield part, *expanded(cells[part, :width])
 
 
 def _spread(units: list[str], many: int) -> list[str]:
@@ -260,18 +262,17 @@ def fit_machine(
     chance, then the one of such units that the machine itself ranks highest. Landmarks are taken anew each round
     from both sides, unlike each other.
     """
-    bags = [list(dict.fromkeys(units_of(t))) for t in texts]
+    same: dict[str, str] = {}  # one string for each unit, however many documents hold it
+    bags = [list(dict.fromkeys(same.setdefault(u, u) for u in units_of(t))) for t in texts]
     y = np.array(labels)
     n_toxic, n_clean = max(int((y == 1).sum()), 1), max(int((y == 0).sum()), 1)
-    grams: list[dict[str, set[str]]] = []
+    grams: dict[str, tuple[str, ...]] = {}
+    for unit in same:
+        plain = "".join(c for c in unit if c.isalpha())
+        grams[unit] = tuple({sys.intern(plain[i : i + 4]) for i in range(len(plain) - 3)})
     counts = (Counter(), Counter())
     for bag, label in zip(bags, labels, strict=True):
-        own: dict[str, set[str]] = {}
-        for unit in bag:
-            plain = "".join(c for c in unit if c.isalpha())
-            own[unit] = {plain[i : i + 4] for i in range(len(plain) - 3)}
-        grams.append(own)
-        counts[label].update(set().union(*own.values()) if own else ())
+        counts[label].update({g for u in bag for g in grams[u]})
     share = n_toxic / (n_toxic + n_clean)
     sure = np.log(max(len(counts[1]), 1)) + 3  # beyond what chance gives the best of so many
     odds = {}
@@ -280,17 +281,17 @@ def fit_machine(
         gain = k * np.log(k / ((k + c) * share)) + (c * np.log(c / ((k + c) * (1 - share))) if c else 0.0)
         if gain > sure and k / n_toxic > c / n_clean:
             odds[gram] = np.log((k + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1)) + 0.1 * np.log(k)
-    value = [{u: max((odds.get(g, -9.0) for g in gs), default=-9.0) for u, gs in own.items()} for own in grams]
-    evidence = value
+    evidence = {u: max((odds.get(g, -9.0) for g in gs), default=-9.0) for u, gs in grams.items()}
+    value = evidence
+    del grams
     machine, floor = Machine(np.zeros(_CLASSES**3, np.float32), -1.0), 2.5
     cold: list[str] = []
-    known: dict[str, float] = {}
     for turn in range(rounds):
         hot = []
-        for bag, worth, found, label in zip(bags, value, evidence, labels, strict=True):
-            ranked = sorted(bag, key=lambda u: -worth[u])
+        for bag, label in zip(bags, labels, strict=True):
+            ranked = sorted(bag, key=lambda u: -value[u])
             if label == 1:
-                hot += [u for u in ranked[:2] if worth[u] > floor and found[u] > 1.0]
+                hot += [u for u in ranked[:2] if value[u] > floor and evidence[u] > 1.0]
             else:
                 cold += ranked[:3]
         often = Counter(hot)
@@ -313,11 +314,10 @@ def fit_machine(
         cost = np.array([float(min(often[u], 20)) for u in hot_units] + [1.0] * len(bent) + [1.0] * (len(clean) + len(plain)))
         w = _svm(_kernel(units, (index, compact)) @ root, sign, cost)
         machine = Machine((compact @ (root @ w[:-1]))[index].astype(np.float32), float(w[-1]))
-        every = list(dict.fromkeys(u for bag in bags for u in bag))
-        known = dict(zip(every, machine.units(every).tolist(), strict=True))
-        value = [{u: known[u] for u in bag} for bag in bags]
+        every = list(same)
+        value = dict(zip(every, machine.units(every).tolist(), strict=True))
         floor = 0.0
-    raw = np.array([max(worth.values(), default=machine.bias) for worth in value])
+    raw = np.array([max((value[u] for u in bag), default=machine.bias) for bag in bags])
     machine.slope, machine.offset = platt(raw, y, toxic_share)
     machine.slope = max(machine.slope, 1e-3)
     return machine
