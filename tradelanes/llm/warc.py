@@ -23,6 +23,8 @@ _READ = 1 << 20
 #: A candidate member has to show its record's header within so many bytes.
 _HEADER = 1 << 16
 _FLUSH = 8 << 20
+#: Archive bytes that a task reads where there are more than four tasks a core.
+_TASK = 256 << 20
 #: Copies of a repeated row that one step writes.
 _COPIES = 4096
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
@@ -248,11 +250,16 @@ def read_archives(spark: SparkSession, files: DataFrame, split: int = 4 << 20) -
                 if rows:
                     yield arrow(_RECORD, {n: [r[n] for r in rows] for n in names})
 
+    whole = files.where("size > 0").agg(
+        F.sum(F.ceil(F.col("size") / split)).alias("ranges"), F.sum("size").alias("bytes")
+    ).first()
+    # ranges are a few bytes each, so tasks are counted by what lies behind them
+    tasks = max(4 * spark.sparkContext.defaultParallelism, (whole["bytes"] or 0) // _TASK)
     ranges = (
         files.where("size > 0")
         .withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))))
         .withColumn("end", F.least(F.col("begin") + split, F.col("size")))
-        .repartition("path", "begin")
+        .repartition(int(max(1, min(tasks, whole["ranges"] or 1))), "path", "begin")
     )
     return ranges.mapInArrow(work, _RECORD)
 
