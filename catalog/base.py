@@ -94,8 +94,21 @@ def with_prelude(sql: str) -> str:
     return f"WITH {ctes}\n{sql}"
 
 
+def significant(sql: str) -> str:
+    """``stable(x)`` of the checks written out: twelve significant digits of ``x``."""
+    while found := re.search(r"\bstable\(", sql):
+        depth, end = 1, found.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        x = sql[found.end() : end - 1]
+        places = f"11 - CAST(floor(log10(nullif(abs({x}), 0))) AS INTEGER)"
+        sql = f"{sql[: found.start()]}coalesce(round(CAST({x} AS DOUBLE), {places}), {x}){sql[end:]}"
+    return sql
+
+
 def oracle_text(entry: Entry) -> str:
-    return with_prelude(_tidy_sql(entry.sql.strip(), entry.doubles))
+    return significant(with_prelude(_tidy_sql(entry.sql.strip(), entry.doubles)))
 
 
 def runner(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:

@@ -15,15 +15,15 @@ _KEY = "commodity_hs, destination_m49, origin_m49"
 _SHORT = f"{_KEY}, origin_country, destination_country, his, hdi, notification_count, severity_total"
 _SHORT_LIST = [*CORRIDOR, "origin_country", "destination_country", "his", "hdi", "notification_count", "severity_total"]
 _DOUBLES = "his hdi severity_total"
-_BY_HIS = f"ORDER BY round(his, 9) DESC, {_KEY}"
+_BY_HIS = f"ORDER BY stable(his) DESC, {_KEY}"
 
 
 @query(
     "filter_corridors",
-    f"""SELECT {_SHORT} FROM metrics WHERE round(his, 9) >= 0.5 AND round(hdi, 9) >= 0.3 AND notification_count >= 3
+    f"""SELECT {_SHORT} FROM metrics WHERE stable(his) >= 0.5 AND stable(hdi) >= 0.3 AND notification_count >= 3
         AND is_active_destination AND list_contains(roles, 'notifier')
         AND origin_m49 NOT IN (SELECT m49 FROM book WHERE is_eu27)
-        AND destination_m49 IN (SELECT m49 FROM book WHERE is_eu27) {_BY_HIS} LIMIT 100""",
+        AND destination_m49 IN (SELECT m49 FROM book WHERE is_eu27) {_BY_HIS}""",
     _DOUBLES,
 )
 def filter_corridors(t: SharedTables) -> DataFrame:
@@ -44,7 +44,7 @@ def filter_corridors(t: SharedTables) -> DataFrame:
 
 @query(
     "count_corridors",
-    "SELECT count(*) AS count FROM scored WHERE commodity_hs = '100630' AND round(cvs, 9) >= 0.05",
+    "SELECT count(*) AS count FROM scored WHERE commodity_hs = '100630' AND stable(cvs) >= 0.05",
 )
 def count_corridors(t: SharedTables) -> DataFrame:
     return explore.count_corridors(t.scored, t.book, commodity="100630", min_cvs=0.05, has_cvs=True)
@@ -55,7 +55,7 @@ _EU = "IN (SELECT m49 FROM book WHERE is_eu27)"
 
 @query(
     "corridor_presets",
-    f"""SELECT 'high_hazard' AS preset, count(*) FILTER (WHERE round(his, 9) >= 0.5) AS corridors FROM metrics
+    f"""SELECT 'high_hazard' AS preset, count(*) FILTER (WHERE stable(his) >= 0.5) AS corridors FROM metrics
         UNION ALL SELECT 'active_destination', count(*) FILTER (WHERE is_active_destination) FROM metrics
         UNION ALL SELECT 'notifier', count(*) FILTER (WHERE list_contains(roles, 'notifier')) FROM metrics
         UNION ALL SELECT 'eu_to_eu', count(*) FROM metrics WHERE origin_m49 {_EU} AND destination_m49 {_EU}
@@ -95,7 +95,7 @@ def text_search(t: SharedTables) -> DataFrame:
 
 @query(
     "top_corridors",
-    f"""SELECT {_SHORT} FROM metrics ORDER BY round(severity_total, 9) DESC, {_KEY} LIMIT 50""",
+    f"""SELECT {_SHORT} FROM metrics ORDER BY stable(severity_total) DESC, {_KEY} LIMIT 50""",
     _DOUBLES,
 )
 def top_corridors(t: SharedTables) -> DataFrame:
@@ -125,7 +125,7 @@ def exposure_profile(t: SharedTables) -> DataFrame:
 
 @query(
     "sort_page",
-    f"""SELECT {_KEY}, cvs FROM scored ORDER BY round(cvs, 9) ASC NULLS LAST, {_KEY} LIMIT 25 OFFSET 50""",
+    f"""SELECT {_KEY}, cvs FROM scored ORDER BY stable(cvs) ASC NULLS LAST, {_KEY} LIMIT 25 OFFSET 50""",
     "cvs",
 )
 def sort_page(t: SharedTables) -> DataFrame:
@@ -178,7 +178,7 @@ def corridor_view_stats(t: SharedTables) -> DataFrame:
 @query(
     "dashboard_kpis",
     """SELECT count(*) AS corridors, count(cvs) > 0 AS cvs_available,
-       count(*) FILTER (WHERE round(coalesce(cvs, 0), 9) > 0.3) AS flagged, max(coalesce(cvs, 0)) AS max_score FROM scored""",
+       count(*) FILTER (WHERE stable(coalesce(cvs, 0)) > 0.3) AS flagged, max(coalesce(cvs, 0)) AS max_score FROM scored""",
     "max_score",
 )
 def dashboard_kpis(t: SharedTables) -> DataFrame:
@@ -188,9 +188,9 @@ def dashboard_kpis(t: SharedTables) -> DataFrame:
 @query(
     "hazard_heatmap",
     """SELECT origin_country, substr(commodity_hs, 1, 2) AS chapter, max(his) AS max_his FROM metrics
-       WHERE origin_country IN (SELECT origin_country FROM metrics GROUP BY 1 ORDER BY round(sum(his), 9) DESC, 1 LIMIT 15)
+       WHERE origin_country IN (SELECT origin_country FROM metrics GROUP BY 1 ORDER BY stable(sum(his)) DESC, 1 LIMIT 15)
        AND substr(commodity_hs, 1, 2) IN (SELECT substr(commodity_hs, 1, 2) FROM metrics GROUP BY 1
-                                          ORDER BY round(sum(his), 9) DESC, 1 LIMIT 4) GROUP BY 1, 2""",
+                                          ORDER BY stable(sum(his)) DESC, 1 LIMIT 4) GROUP BY 1, 2""",
     "max_his",
 )
 def hazard_heatmap(t: SharedTables) -> DataFrame:

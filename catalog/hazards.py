@@ -432,11 +432,11 @@ def equal_weights(t: SharedTables) -> DataFrame:
 
 @query(
     "rank_scored",
-    f"""SELECT {_KEY}, cvs FROM scored ORDER BY round(cvs, 9) DESC NULLS LAST, {_KEY} LIMIT 200""",
+    f"""SELECT {_KEY}, cvs FROM scored ORDER BY stable(cvs) DESC NULLS LAST, {_KEY}""",
     "cvs",
 )
 def rank_scored(t: SharedTables) -> DataFrame:
-    return scoring.rank_scored(t.scored).limit(200).select(*CORRIDOR, "cvs")
+    return scoring.rank_scored(t.scored).select(*CORRIDOR, "cvs")
 
 
 @query(
@@ -458,15 +458,15 @@ def corridor_full_profile(t: SharedTables) -> DataFrame:
 
 @query(
     "cvs_band",
-    f"""SELECT {_KEY}, CASE WHEN round(cvs, 9) < 0.2 THEN 'low' WHEN round(cvs, 9) < 0.4 THEN 'moderate'
-        WHEN round(cvs, 9) < 0.6 THEN 'elevated' WHEN round(cvs, 9) < 0.8 THEN 'high'
+    f"""SELECT {_KEY}, CASE WHEN stable(cvs) < 0.2 THEN 'low' WHEN stable(cvs) < 0.4 THEN 'moderate'
+        WHEN stable(cvs) < 0.6 THEN 'elevated' WHEN stable(cvs) < 0.8 THEN 'high'
         WHEN cvs IS NOT NULL THEN 'critical' END AS cvs_band FROM scored""",
 )
 def cvs_band(t: SharedTables) -> DataFrame:
     return runs.cvs_band(t.scored).select(*CORRIDOR, "cvs_band")
 
 
-@query("alert_corridors", f"SELECT {_KEY}, cvs FROM scored WHERE round(cvs, 9) >= 0.3", "cvs")
+@query("alert_corridors", f"SELECT {_KEY}, cvs FROM scored WHERE stable(cvs) >= 0.3", "cvs")
 def alert_corridors(t: SharedTables) -> DataFrame:
     return runs.alert_corridors(t.scored, 0.3).select(*CORRIDOR, "cvs")
 
@@ -526,7 +526,7 @@ def convergent_signal(t: SharedTables) -> DataFrame:
 @query(
     "inspection_priority",
     f"""SELECT {_KEY}, priority, cvs, his FROM (SELECT *, row_number() OVER (PARTITION BY destination_m49
-        ORDER BY round(cvs, 9) DESC NULLS LAST, round(his, 9) DESC, {_KEY}) AS priority FROM scored) WHERE priority <= 10""",
+        ORDER BY stable(cvs) DESC NULLS LAST, stable(his) DESC, {_KEY}) AS priority FROM scored) WHERE priority <= 10""",
     "cvs his",
 )
 def inspection_priority(t: SharedTables) -> DataFrame:

@@ -440,7 +440,7 @@ def short_label(t: SharedTables) -> DataFrame:
     "risk_band",
     """SELECT commodity_hs, destination_m49, origin_m49, CASE WHEN r < 0.25 THEN 'low' WHEN r < 0.5 THEN 'moderate'
        WHEN r < 0.75 THEN 'elevated' ELSE 'high' END AS band
-       FROM (SELECT *, least(round(his, 9) / (SELECT max(round(his, 9)) FROM metrics), 1.0) AS r FROM metrics)""",
+       FROM (SELECT *, least(stable(his) / (SELECT max(stable(his)) FROM metrics), 1.0) AS r FROM metrics)""",
 )
 def risk_band(t: SharedTables) -> DataFrame:
     his = guards.stable(F.col("his"))
@@ -450,7 +450,7 @@ def risk_band(t: SharedTables) -> DataFrame:
 
 @query(
     "concentration_band",
-    """SELECT "reporterDesc", period, CASE WHEN round(h, 9) > 2500 THEN 'high' WHEN round(h, 9) > 1500 THEN 'moderate' ELSE 'low' END AS band
+    """SELECT "reporterDesc", period, CASE WHEN stable(h) > 2500 THEN 'high' WHEN stable(h) > 1500 THEN 'moderate' ELSE 'low' END AS band
        FROM (SELECT "reporterDesc", period, sum(v * v) / pow(sum(v), 2) * 10000 AS h FROM (
          SELECT "reporterDesc", period, "cmdDesc", sum("primaryValue") AS v FROM exports GROUP BY 1, 2, 3) GROUP BY 1, 2)""",
 )

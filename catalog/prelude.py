@@ -276,14 +276,14 @@ FROM dep0""",
 SELECT *, CASE WHEN population > 0 THEN domestic_supply_food_kg / population END AS pcc FROM balance""",
     "crs": """
 SELECT *, CASE WHEN n <= 1 THEN 1.0 ELSE 1.0 - (rk - 1.0) / (n - 1.0) END AS crs FROM (
-  SELECT *, row_number() OVER (PARTITION BY country_m49, period ORDER BY round(pcc, 9) DESC, commodity_hs) AS rk,
+  SELECT *, row_number() OVER (PARTITION BY country_m49, period ORDER BY stable(pcc) DESC, commodity_hs) AS rk,
          count(*) OVER (PARTITION BY country_m49, period) AS n
   FROM pcc WHERE pcc IS NOT NULL)""",
     "pcc_short": """
 SELECT * REPLACE (CAST(CAST(commodity_hs AS BIGINT) AS VARCHAR) AS commodity_hs) FROM pcc""",
     "crs_short": """
 SELECT *, CASE WHEN n <= 1 THEN 1.0 ELSE 1.0 - (rk - 1.0) / (n - 1.0) END AS crs FROM (
-  SELECT *, row_number() OVER (PARTITION BY country_m49, period ORDER BY round(pcc, 9) DESC, commodity_hs) AS rk,
+  SELECT *, row_number() OVER (PARTITION BY country_m49, period ORDER BY stable(pcc) DESC, commodity_hs) AS rk,
          count(*) OVER (PARTITION BY country_m49, period) AS n
   FROM pcc_short WHERE pcc IS NOT NULL)""",
     "priced": """
@@ -344,9 +344,9 @@ SELECT *, CASE WHEN sci IS NULL THEN NULL WHEN n_sci > 1 THEN r_sci / (n_sci - 1
        CASE WHEN his IS NULL THEN NULL WHEN n_his > 1 THEN r_his / (n_his - 1) ELSE 1.0 END AS his_norm,
        CASE WHEN crs IS NULL THEN NULL WHEN n_crs > 1 THEN r_crs / (n_crs - 1) ELSE 1.0 END AS crs_norm FROM (
   SELECT *, count(sci) OVER () AS n_sci, count(his) OVER () AS n_his, count(crs) OVER () AS n_crs,
-         CAST(row_number() OVER (ORDER BY round(sci, 9) NULLS LAST, tie) - 1 AS DOUBLE) AS r_sci,
-         CAST(row_number() OVER (ORDER BY round(ln(1 + his), 9) NULLS LAST, tie) - 1 AS DOUBLE) AS r_his,
-         CAST(row_number() OVER (ORDER BY round(crs, 9) NULLS LAST, tie) - 1 AS DOUBLE) AS r_crs FROM tied)""",
+         CAST(row_number() OVER (ORDER BY stable(sci) NULLS LAST, tie) - 1 AS DOUBLE) AS r_sci,
+         CAST(row_number() OVER (ORDER BY stable(ln(1 + his)) NULLS LAST, tie) - 1 AS DOUBLE) AS r_his,
+         CAST(row_number() OVER (ORDER BY stable(crs) NULLS LAST, tie) - 1 AS DOUBLE) AS r_crs FROM tied)""",
     "scored": """
 SELECT *, CASE WHEN sci_norm IS NOT NULL AND crs_norm IS NOT NULL AND his_norm IS NOT NULL
                THEN sci_norm * crs_norm * (1 + his_norm) / 4.0 END AS cvs, his_norm AS cvs_hazard_only,

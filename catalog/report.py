@@ -17,7 +17,7 @@ _SUMS = f'{_V} AS value_usd, {_W} AS weight_kg, count("primaryValue") AS n_trans
 
 
 def _top(column: str, n: int, source: str = "routed") -> str:
-    return f'(SELECT {column} FROM {source} GROUP BY 1 ORDER BY round(sum("primaryValue"), 9) DESC, 1 LIMIT {n})'
+    return f'(SELECT {column} FROM {source} GROUP BY 1 ORDER BY stable(sum("primaryValue")) DESC, 1 LIMIT {n})'
 
 
 def _pivot(names: list[str], column: str, value: str) -> str:
@@ -40,7 +40,7 @@ def exports_by_route_year(t: SharedTables) -> DataFrame:
 
 _ROUTES = f"""
 SELECT *, sum(share_pct) OVER (ORDER BY rk) AS cumulative_share_pct FROM (
-  SELECT *, row_number() OVER (ORDER BY round(total_value_usd, 9) DESC, route) AS rk,
+  SELECT *, row_number() OVER (ORDER BY stable(total_value_usd) DESC, route) AS rk,
          total_value_usd / (SELECT sum("primaryValue") FROM exports) * 100 AS share_pct FROM (
     SELECT route, min("reporterDesc") AS "reporterDesc", min("partnerDesc") AS "partnerDesc", {_V} AS total_value_usd,
            {_W} AS total_weight_kg, count("primaryValue") AS n_transactions FROM routed GROUP BY 1)) WHERE rk <= 15"""
@@ -74,8 +74,8 @@ def yoy_by_route(t: SharedTables) -> DataFrame:
 
 @query(
     "yoy_movers",
-    f"""SELECT * FROM ({_YOY}) WHERE abs_change_usd IS NOT NULL QUALIFY row_number() OVER (ORDER BY round(abs_change_usd, 9) DESC, route) <= 10
-        OR row_number() OVER (ORDER BY round(abs_change_usd, 9), route) <= 10""",
+    f"""SELECT * FROM ({_YOY}) WHERE abs_change_usd IS NOT NULL QUALIFY row_number() OVER (ORDER BY stable(abs_change_usd) DESC, route) <= 10
+        OR row_number() OVER (ORDER BY stable(abs_change_usd), route) <= 10""",
     "value_prev value_last abs_change_usd yoy_pct",
 )
 def yoy_movers(t: SharedTables) -> DataFrame:
@@ -84,8 +84,8 @@ def yoy_movers(t: SharedTables) -> DataFrame:
 
 @query(
     "yoy_movers_pct",
-    f"""SELECT * FROM ({_YOY}) WHERE yoy_pct IS NOT NULL QUALIFY row_number() OVER (ORDER BY round(yoy_pct, 9) DESC, route) <= 7
-        OR row_number() OVER (ORDER BY round(yoy_pct, 9), route) <= 7""",
+    f"""SELECT * FROM ({_YOY}) WHERE yoy_pct IS NOT NULL QUALIFY row_number() OVER (ORDER BY stable(yoy_pct) DESC, route) <= 7
+        OR row_number() OVER (ORDER BY stable(yoy_pct), route) <= 7""",
     "value_prev value_last abs_change_usd yoy_pct",
 )
 def yoy_movers_pct(t: SharedTables) -> DataFrame:
@@ -107,7 +107,7 @@ _PAIRS = 'SELECT "reporterDesc", "partnerDesc", sum("primaryValue") AS value_usd
 def _within(group: str, member: str, share: str) -> str:
     return f"""SELECT "{group}", "{member}", value_usd, {share} FROM (
         SELECT *, value_usd / sum(value_usd) OVER (PARTITION BY "{group}") * 100 AS {share},
-               row_number() OVER (PARTITION BY "{group}" ORDER BY round(value_usd, 9) DESC, "{member}") AS rk FROM ({_PAIRS}))
+               row_number() OVER (PARTITION BY "{group}" ORDER BY stable(value_usd) DESC, "{member}") AS rk FROM ({_PAIRS}))
         WHERE rk <= 10"""
 
 
@@ -144,7 +144,7 @@ def share_of_group(t: SharedTables) -> DataFrame:
 def _top_of_top(group: str, member: str) -> str:
     return f"""SELECT *, value_usd / sum(value_usd) OVER (PARTITION BY "{group}") * 100 AS share_of_shown_pct FROM (
         SELECT * FROM ({_PAIRS}) WHERE "{group}" IN {_top(f'"{group}"', 5)}
-        QUALIFY row_number() OVER (PARTITION BY "{group}" ORDER BY round(value_usd, 9) DESC, "{member}") <= 8)"""
+        QUALIFY row_number() OVER (PARTITION BY "{group}" ORDER BY stable(value_usd) DESC, "{member}") <= 8)"""
 
 
 @query(
@@ -201,7 +201,7 @@ def route_commodity_breakdown(t: SharedTables) -> DataFrame:
 def _per_route(routes: int, keep: int) -> str:
     return f"""SELECT route, "cmdDesc", value_usd, weight_kg, value_usd / nullif(weight_kg, 0) AS unit_value_usd_per_kg FROM (
         SELECT route, "cmdDesc", {_V} AS value_usd, {_W} AS weight_kg FROM routed WHERE route IN {_top("route", routes)}
-        GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY route ORDER BY round(value_usd, 9) DESC, "cmdDesc") <= {keep}"""
+        GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY route ORDER BY stable(value_usd) DESC, "cmdDesc") <= {keep}"""
 
 
 @query("top_commodities_per_route", _per_route(10, 10), "value_usd weight_kg unit_value_usd_per_kg")
@@ -228,7 +228,7 @@ def _wide_sql(routes: int, keep: int, inner: str) -> str:
     )
     return f"""SELECT route, {cells} FROM (SELECT * FROM ({inner}) AS i WHERE route IN {_top("route", routes)}
         AND "cmdDesc" IN (SELECT "cmdDesc" FROM ({inner}) AS k WHERE route IN {_top("route", routes)} GROUP BY 1
-                          ORDER BY round(sum(value_usd), 9) DESC, 1 LIMIT {keep})) GROUP BY 1"""
+                          ORDER BY stable(sum(value_usd)) DESC, 1 LIMIT {keep})) GROUP BY 1"""
 
 
 _BY_ROUTE = f'SELECT route, "cmdDesc", {_V} AS value_usd FROM routed GROUP BY 1, 2'
@@ -250,7 +250,7 @@ def route_commodity_mix(t: SharedTables) -> DataFrame:
         total_value_usd / nullif(total_weight_kg, 0) AS unit_value_usd_per_kg FROM (
         SELECT "cmdCode", "cmdDesc", {_V} AS total_value_usd, {_W} AS total_weight_kg,
                count(DISTINCT "reporterDesc") AS n_routes, count("primaryValue") AS n_transactions FROM exports GROUP BY 1, 2)
-        ORDER BY round(total_value_usd, 9) DESC LIMIT 15""",
+        ORDER BY stable(total_value_usd) DESC LIMIT 15""",
     "total_value_usd total_weight_kg share_pct unit_value_usd_per_kg",
 )
 def top_commodities_overall(t: SharedTables) -> DataFrame:
@@ -305,11 +305,11 @@ def unit_value_slope(t: SharedTables) -> DataFrame:
 
 def _concentration(keys: str, member: str, count: str, hhi: str, top: str, share: str) -> str:
     return f"""SELECT {keys}, sum(v) AS total_export_usd, count(*) AS {count}, sum(pow(100 * v / whole, 2)) AS {hhi},
-        CASE WHEN round(sum(pow(100 * v / whole, 2)), 9) > 2500 THEN 'high'
-             WHEN round(sum(pow(100 * v / whole, 2)), 9) > 1500 THEN 'moderate' ELSE 'low' END AS concentration,
+        CASE WHEN stable(sum(pow(100 * v / whole, 2))) > 2500 THEN 'high'
+             WHEN stable(sum(pow(100 * v / whole, 2))) > 1500 THEN 'moderate' ELSE 'low' END AS concentration,
         min(CASE WHEN rk = 1 THEN {member} END) AS {top}, max(100 * v / whole) AS {share} FROM (
           SELECT *, sum(v) OVER (PARTITION BY {keys}) AS whole,
-                 row_number() OVER (PARTITION BY {keys} ORDER BY round(v, 9) DESC, {member}) AS rk FROM (
+                 row_number() OVER (PARTITION BY {keys} ORDER BY stable(v) DESC, {member}) AS rk FROM (
             SELECT {keys}, {member}, {_V} AS v FROM exports GROUP BY ALL)) WHERE whole <> 0 GROUP BY {keys}"""
 
 
@@ -360,9 +360,9 @@ def hhi_year_shift(t: SharedTables) -> DataFrame:
 @query(
     "dual_concentration",
     f"""SELECT m."reporterDesc", m.hhi, m.total_export_usd, p.commodity_hhi,
-        CASE WHEN round(commodity_hhi, 9) > 2500 AND round(hhi, 9) > 2500 THEN 'both concentrated'
-             WHEN round(commodity_hhi, 9) > 2500 THEN 'product concentrated'
-             WHEN round(hhi, 9) > 2500 THEN 'destination concentrated' ELSE 'diversified' END AS quadrant
+        CASE WHEN stable(commodity_hhi) > 2500 AND stable(hhi) > 2500 THEN 'both concentrated'
+             WHEN stable(commodity_hhi) > 2500 THEN 'product concentrated'
+             WHEN stable(hhi) > 2500 THEN 'destination concentrated' ELSE 'diversified' END AS quadrant
         FROM ({_MARKET}) m JOIN ({_PRODUCT}) p ON m."reporterDesc" = p."reporterDesc" """,
     "hhi total_export_usd commodity_hhi",
 )
@@ -396,7 +396,7 @@ def market_share_matrix(t: SharedTables) -> DataFrame:
 
 @query(
     "route_commodity_other",
-    f"""SELECT route, CASE WHEN round(share, 9) >= 15 THEN "cmdDesc" ELSE 'Other' END AS label, sum(value_usd) AS value_usd FROM (
+    f"""SELECT route, CASE WHEN stable(share) >= 15 THEN "cmdDesc" ELSE 'Other' END AS label, sum(value_usd) AS value_usd FROM (
         SELECT *, value_usd / sum(value_usd) OVER (PARTITION BY route) * 100 AS share FROM ({_BY_ROUTE}) WHERE route IN {_top("route", 5)})
         GROUP BY 1, 2 HAVING label <> 'Other' OR sum(value_usd) > 0""",
     "value_usd",
@@ -408,7 +408,7 @@ def route_commodity_other(t: SharedTables) -> DataFrame:
 @query(
     "reporter_commodity_other",
     f"""SELECT "reporterDesc", CASE WHEN "cmdDesc" IN (SELECT "cmdDesc" FROM exports WHERE "reporterDesc" IN {_top('"reporterDesc"', 10)}
-          GROUP BY 1 ORDER BY round(sum("primaryValue"), 9) DESC, 1 LIMIT 4) THEN "cmdDesc" ELSE 'Other' END AS label,
+          GROUP BY 1 ORDER BY stable(sum("primaryValue")) DESC, 1 LIMIT 4) THEN "cmdDesc" ELSE 'Other' END AS label,
         sum("primaryValue") AS value_usd FROM exports WHERE "reporterDesc" IN {_top('"reporterDesc"', 10)} GROUP BY 1, 2""",
     "value_usd",
 )

@@ -298,7 +298,7 @@ def _ranked(t: SharedTables) -> DataFrame:
 
 
 def _rank_sql(measure: str) -> str:
-    return f"""SELECT {_LANE}, (row_number() OVER (ORDER BY round({measure}, 9),
+    return f"""SELECT {_LANE}, (row_number() OVER (ORDER BY stable({measure}),
         md5(concat_ws('|', {_LANE}))) - 1) / (count(*) OVER () - 1)::DOUBLE AS norm FROM bilateral"""
 
 
@@ -465,7 +465,7 @@ def network_density(t: SharedTables) -> DataFrame:
 @query(
     "origin_risk",
     """SELECT origin_m49, name, sum(his) AS total_his, sum(severity_total) AS total_severity, count(*) AS corridor_count
-       FROM metrics JOIN book ON m49 = origin_m49 GROUP BY 1, 2 ORDER BY round(sum(his), 9) DESC, 1 LIMIT 20""",
+       FROM metrics JOIN book ON m49 = origin_m49 GROUP BY 1, 2 ORDER BY stable(sum(his)) DESC, 1""",
     "total_his total_severity",
 )
 def origin_risk(t: SharedTables) -> DataFrame:
@@ -482,6 +482,6 @@ def merge_links(t: SharedTables) -> DataFrame:
     return network.merge_links(t.metrics)
 
 
-@query("edge_floor", f"SELECT * FROM ({_LINKS}) WHERE round(rel_his, 9) >= 0.25", "his rel_his")
+@query("edge_floor", f"SELECT * FROM ({_LINKS}) WHERE stable(rel_his) >= 0.25", "his rel_his")
 def edge_floor(t: SharedTables) -> DataFrame:
     return network.edge_floor(network.merge_links(t.metrics), 25)

@@ -163,3 +163,14 @@ def test_followup_notifications(spark, book):
     ).withColumn("period", F.lit(202501))
     got = alerts.build_notifications_followup(df, book).collect()
     assert [(r.row_id, r.affected, r.hazard_type) for r in got] == [(0, [724, 724], "chem_other")]
+
+
+def test_alerts_without_reference_stay_apart(spark, book):
+    common = {"reference": None, "origin": "France", "classification": "alert", "risk_decision": "serious"}
+    df = raw(
+        spark,
+        {**common, "hs_code": "110220", "notifying_country": "Spain"},
+        {**common, "hs_code": "100630", "notifying_country": "Italy"},
+    )
+    got = alerts.build_notifications(alerts.extract_corridors(df, book)).orderBy("commodity_hs").collect()
+    assert [r.commodity_hs for r in got] == ["100630", "110220"]

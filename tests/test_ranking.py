@@ -14,7 +14,7 @@ from tradelanes.operators import ranking
 def brute(rows):
     """Percentile rank by value, then by the digest of the key."""
     valid = sorted(
-        (round(v, 9), hashlib.md5(str(k).encode()).hexdigest(), k) for k, v in rows if v is not None
+        (float(f"{v:.11e}"), hashlib.md5(str(k).encode()).hexdigest(), k) for k, v in rows if v is not None
     )
     n = len(valid)
     return {k: (i / (n - 1) if n > 1 else 1.0) for i, (_, _, k) in enumerate(valid)}
@@ -82,3 +82,11 @@ def test_exact_quantiles(spark, size):
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
     got = list(ranking.exact_quantiles(counts, "value", probs).first())
     assert got == pytest.approx(list(np.quantile(numbers, probs)))
+
+
+def test_small_values_keep_their_order(spark):
+    rows = spark.createDataFrame([(i, (i + 1) * 1e-10) for i in range(4)] + [(9, None)], "k int, v double")
+    got = ranking.normalise_percentile_rank(rows, "v", ["k"], "p").orderBy("k").collect()
+    assert [r.p for r in got] == pytest.approx([0, 1 / 3, 2 / 3, 1, None])
+    near = spark.range(1).select(ranking.stable(ranking.F.lit(0.1) + 0.2) == ranking.stable(ranking.F.lit(0.3)))
+    assert near.first()[0]

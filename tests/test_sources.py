@@ -174,3 +174,48 @@ def test_report_has_sixteen_tables(spark, tmp_path):
     tables = reports.report_tables(df)
     assert len(tables) == 16
     assert sorted(sinks.write_tables(tables, str(tmp_path))) == sorted(tables)
+
+
+def _file(folder, name, text):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(text)
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    _file(
+        tmp_path / "t", "a.csv",
+        '"reporterCode",period,reporterDesc,partnerCode,partnerDesc,cmdCode,cmdDesc,flowCode,flowDesc,netWgt,primaryValue\n'
+        "251,2022,France,724,Spain,090421,Peppers,M,Import,10,99.5\n",
+    )
+    row = scans.scan_trade(spark, str(tmp_path / "t")).first()
+    assert (row.period, row.reporterCode, row.netWgt, row.primaryValue, row.cmdCode) == (2022, 251, 10.0, 99.5, "090421")
+
+
+def test_a_missing_column_raises(spark, tmp_path):
+    _file(tmp_path / "t", "a.csv", "period,reporterCode\n2022,251\n")
+    with pytest.raises(ValueError, match="primaryValue"):
+        scans.scan_trade(spark, str(tmp_path / "t"))
+
+
+def test_rows_follow_file_names_and_keep_line_breaks(spark, tmp_path):
+    head = "reference,date,origin,hs_code,classification,risk_decision,commodities\n"
+    rows = "".join(f"B{i},2024-01-01,France,110220,alert,serious,maize\n" for i in range(500))
+    _file(tmp_path / "n", "part-0.csv", head + 'A,2024-01-01,France,110220,alert,serious,"squid\nfrozen"\n')
+    _file(tmp_path / "n", "part-1.csv", head + rows)
+    got = scans.scan_notifications(spark, str(tmp_path / "n")).orderBy("row_id").select("reference", "commodities").collect()
+    assert [r.reference for r in got] == ["A"] + [f"B{i}" for i in range(500)]
+    assert got[0].commodities == "squid\nfrozen"
+
+
+def test_merge_reads_names_with_blanks_and_quoted_headers(spark, tmp_path):
+    _file(tmp_path / "m", "trade France + Spain.csv", '"period","reporterCode","cmdCode"\n2022,251,090421\n')
+    _file(tmp_path / "m", "b.csv", "cmdCode,reporterCode,period,extra\n090421,724,2023,x\n")
+    got = scans.merge_trade_files(spark, str(tmp_path / "m")).orderBy("period").collect()
+    assert [(r.period, r.reporterCode, r.cmdCode, r.extra) for r in got] == [(2022, 251, "090421", None), (2023, 724, "090421", "x")]
+
+
+def test_indented_payload(spark, tmp_path):
+    _file(tmp_path / "j", "a.json", '{\n  "data": [\n    {"period": 2022},\n    {"period": 2023}\n  ]\n}\n')
+    assert scans.json_payload_to_rows(spark, str(tmp_path / "j"), whole=True).count() == 2
+    with pytest.raises(Exception, match="(?i)malformed"):
+        scans.json_payload_to_rows(spark, str(tmp_path / "j")).collect()

@@ -165,3 +165,14 @@ def test_labels(spark):
     assert apply(spark, lambda c: text.truncate(c, 3), "abcd") == "abc..."
     assert apply(spark, lambda c: text.truncate(c, 3), None) == ""
     assert apply(spark, text.route_label, "A", None) == "A → nan"
+
+
+@pytest.mark.parametrize(
+    "date, expected",
+    [
+        ("15-03-2024 10:11:12", 202403), ("15/03/2024", 202403), ("Mar 15, 2024", 202403), ("15 March 2024", 202403),
+        ("03/04/2024", 202403), ("2024/3/15", 202403), ("2024-03-15T10:00:00", 202403), ("soon, maybe", 0),
+    ],
+)
+def test_period_of_other_layouts(spark, date, expected):
+    assert apply(spark, periods.to_period_yyyymm, date) == expected

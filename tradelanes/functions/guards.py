@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Decimals kept when doubles are compared for ordering. Sums of doubles depend
-#: on the order of addition in their last bits; ranking on the rounded value
-#: makes the order the same under every partitioning.
-ORDER_DIGITS = 9
+#: Significant digits kept when doubles are compared for ordering. Sums of doubles
+#: depend on the order of addition in their last bits; ranking on the rounded value
+#: makes the order the same under every partitioning, however small the values are.
+ORDER_DIGITS = 12
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -46,8 +46,12 @@ def coerce_double(value: Column) -> Column:
 
 
 def stable(value: Column) -> Column:
-    """The value doubles are ordered by."""
-    return F.round(value, ORDER_DIGITS)
+    """The value doubles are ordered by: ``ORDER_DIGITS`` significant digits of it."""
+    x = value.cast("double")
+    size = F.abs(x)
+    scale = F.pow(F.lit(10.0), F.least(ORDER_DIGITS - 1 - F.floor(F.log10(size)), F.lit(300)))
+    ordinary = (size > 0) & (size < F.lit(float("inf"))) & ~F.isnan(x)
+    return F.when(ordinary, F.rint(x * scale) / scale).otherwise(x)
 
 
 def null_out_nonfinite(df: DataFrame) -> DataFrame:

@@ -11,13 +11,27 @@ UNKNOWN_MONTHS = 65535
 DEFAULT_PERIOD = 202600
 
 
-def to_period_yyyymm(*dates: Column) -> Column:
-    """First date given as text, as ``year * 100 + month``; 0 when there is none."""
+#: Date layouts read besides ISO, in this order. Where day and month could both come
+#: first, the month does, unless ``day_first`` is asked for.
+_TIME = "[ H:mm[:ss]]"
+_MONTH_FIRST = [f"M{c}d{c}yyyy{_TIME}" for c in "-/."]
+_DAY_FIRST = [f"d{c}M{c}yyyy{_TIME}" for c in "-/."]
+_NAMED = [f"{text}{_TIME}" for text in ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "d-MMM-yyyy", "yyyy/M/d")]
+
+
+def to_period_yyyymm(*dates: Column, day_first: bool = False) -> Column:
+    """First date given as text, as ``year * 100 + month``; 0 when there is none or it can't be read."""
     filled = [F.when(F.length(F.trim(d.cast("string"))) > 0, F.trim(d.cast("string"))) for d in dates]
     text = F.coalesce(*filled)
     digits = F.when(text.rlike("^[0-9]{5,}$") & ~text.rlike("^[0-9]{8}$"), text.try_cast("int"))
     compact = F.when(text.rlike("^[0-9]{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
-    moment = F.coalesce(compact, F.when(~text.rlike("^[0-9]{5,}$"), F.try_to_timestamp(text)))
+    layouts = (_DAY_FIRST + _MONTH_FIRST if day_first else _MONTH_FIRST + _DAY_FIRST) + _NAMED
+    iso = F.when(~text.rlike("^[0-9]{5,}$"), F.try_to_timestamp(text))
+    # few texts need these
+    other = F.when(
+        iso.isNull() & text.rlike("[-/., ]"), F.coalesce(*[F.try_to_timestamp(text, F.lit(k)) for k in layouts])
+    )
+    moment = F.coalesce(compact, iso, other)
     return F.coalesce(digits, F.year(moment) * 100 + F.month(moment), text.try_cast("int"), F.lit(0))
 
 

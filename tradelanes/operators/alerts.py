@@ -172,10 +172,11 @@ def build_notifications(events: DataFrame) -> DataFrame:
     """One notification per (reference, origin) with every destination it touches.
 
     Attributes are those of the event seen first. Groups without a commodity
-    or a period are dropped.
+    or a period are dropped. Rows without a reference are notifications of their own.
     """
     attributes = F.struct("commodity_hs", "classification", "risk_decision", "hazard_category", "period")
-    grouped = events.groupBy("reference", "origin_m49").agg(
+    nameless = F.when(F.col("reference") == "", F.col("row_id")).alias("_row")
+    grouped = events.groupBy("reference", "origin_m49", nameless).agg(
         F.sort_array(F.collect_set("destination_m49")).alias("affected"),
         _first_seen(attributes).alias("first"),
     )

@@ -10,8 +10,6 @@ from tradelanes.functions.guards import stable, zero_if_null
 from tradelanes.functions.text import contains_text, hs_chapter
 from tradelanes.operators.alerts import CORRIDOR
 
-MAX_LIST = 1000
-MAX_TOP = 500
 TOP_METRICS = ("his", "severity_total", "notification_count", "hdi", "cvs")
 
 PRESETS: dict[str, dict] = {
@@ -82,12 +80,12 @@ def corridor_predicate(
     return result
 
 
-def filter_corridors(corridors: DataFrame, book: CountryBook, limit: int = 100, **conditions) -> DataFrame:
-    """Matching corridors, most hazardous first, at most ``limit`` of them."""
-    if not 1 <= limit <= MAX_LIST:
-        raise ValueError(f"limit must be between 1 and {MAX_LIST}")
-    kept = corridors.where(corridor_predicate(corridors, book, **conditions))
-    return kept.orderBy(*by_metric(F.col("his"))).limit(limit)
+def filter_corridors(corridors: DataFrame, book: CountryBook, limit: int | None = None, **conditions) -> DataFrame:
+    """Matching corridors, most hazardous first; all of them unless ``limit`` is given."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
+    kept = corridors.where(corridor_predicate(corridors, book, **conditions)).orderBy(*by_metric(F.col("his")))
+    return kept if limit is None else kept.limit(limit)
 
 
 def count_corridors(corridors: DataFrame, book: CountryBook, **conditions) -> DataFrame:
@@ -122,8 +120,8 @@ def corridor_hazard_lookup(corridors: DataFrame, commodity: str, destination: in
 
 def top_corridors(corridors: DataFrame, n: int = 50, sort_by: str = "his") -> DataFrame:
     """The ``n`` corridors highest by a metric; an unknown metric means hazard intensity."""
-    if not 1 <= n <= MAX_TOP:
-        raise ValueError(f"n must be between 1 and {MAX_TOP}")
+    if n < 1:
+        raise ValueError("n must be positive")
     metric = F.col(sort_by) if sort_by in TOP_METRICS and sort_by in corridors.columns else F.col("his")
     return corridors.orderBy(*by_metric(zero_if_null(metric.cast("double")))).limit(n)
 

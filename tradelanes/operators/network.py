@@ -120,8 +120,8 @@ def network_summary(edges: DataFrame) -> DataFrame:
     return sums.withColumn("density", density)
 
 
-def origin_risk(corridors: DataFrame, book: CountryBook, limit: int | None = 20) -> DataFrame:
-    """Origins by total hazard."""
+def origin_risk(corridors: DataFrame, book: CountryBook, limit: int | None = None) -> DataFrame:
+    """Origins by total hazard; all of them unless ``limit`` is given."""
     sums = corridors.groupBy("origin_m49").agg(
         F.sum("his").alias("total_his"),
         F.sum("severity_total").alias("total_severity"),

@@ -29,6 +29,8 @@ NOTIFICATIONS_RAW = _layout(
     "distribution:str for_followUp:str for_attention:str hs_code:str commodities:str "
     "classification:str risk_decision:str hazards:str"
 )
+#: Columns of notifications that nothing replaces.
+NOTIFICATIONS_REQUIRED = ["reference", "origin", "hs_code", "classification", "risk_decision"]
 COMMODITIES = _layout("commodity:str hs_code_comtrade:str faostat_cpc:str")
 PRODUCTION = _layout(
     "commodity_hs:str country_m49:int period:int production_kg:dbl "

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,15 +11,35 @@ from tradelanes.functions.guards import coerce_double, null_out_nonfinite
 from tradelanes.functions.text import hs_int_text, six_digit_hs
 
 
-def _csv(spark: SparkSession, schema: T.StructType, path: str | list[str]) -> DataFrame:
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"')
-    return reader.option("multiLine", False).csv(path)
+def _by_header(spark: SparkSession, known: T.StructType, path: str | list[str], whole: bool = False) -> DataFrame:
+    """Files that share one header, with the columns it names; those not ``known`` are text.
+
+    Files whose header differs from the first one's raise when they are read.
+    ``whole`` lets quoted fields hold line breaks; such files aren't split.
+    """
+
+    def reader():
+        return spark.read.option("header", True).option("escape", '"').option("multiLine", whole)
+
+    kinds = {f.name: f.dataType for f in known.fields}
+    names = reader().csv(path).columns  # reads the first lines of one file
+    layout = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
+    return reader().schema(layout or known).option("enforceSchema", False).csv(path)
+
+
+def _csv(
+    spark: SparkSession, schema: T.StructType, path: str | list[str], required: list[str] | None = None, whole: bool = False
+) -> DataFrame:
+    """The columns of ``schema``, found by name. ``required`` ones (all, if not given) must exist; others may be absent."""
+    rows = _by_header(spark, schema, path, whole)
+    schemas.require_columns(rows, schema.fieldNames() if required is None else required)
+    return rows.select([c for c in schema.fieldNames() if c in rows.columns])
 
 
 def scan_trade(spark: SparkSession, path: str | list[str], fmt: str = "csv") -> DataFrame:
     """Trade rows with the standard columns. A missing path raises."""
     if fmt == "csv":
-        trade = _csv(spark, schemas.TRADE, path)
+        trade = _csv(spark, schemas.TRADE, path, schemas.TRADE_REQUIRED)
     else:
         trade = spark.read.format(fmt).load(path)
     schemas.require_columns(trade, schemas.TRADE_REQUIRED)
@@ -29,7 +49,7 @@ def scan_trade(spark: SparkSession, path: str | list[str], fmt: str = "csv") ->
 def scan_trade_coerced(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Trade rows whose four numeric columns may hold bad text, which becomes NULL."""
     text = T.StructType([T.StructField(name, T.StringType()) for name in schemas.TRADE_COLUMNS])
-    return coerce_trade(_csv(spark, text, path))
+    return coerce_trade(_csv(spark, text, path, schemas.TRADE_REQUIRED))
 
 
 def coerce_trade(rows: DataFrame) -> DataFrame:
@@ -63,7 +83,7 @@ def trade_layouts(spark: SparkSession, folder: str, skip: str | None = None) ->
     scan serves every file. Empty and headerless files form no group.
     """
     lines = spark.read.option("pathGlobFilter", "*.csv").text(folder)
-    path = F.col("_metadata.file_path")
+    path = _plain(F.col("_metadata.file_path"))
     is_header = F.contains("value", F.lit("reporterCode")) & F.contains("value", F.lit("cmdCode"))
     heads = lines.where(is_header).select("value", path.alias("path"))
     if skip:
@@ -72,6 +92,11 @@ def trade_layouts(spark: SparkSession, folder: str, skip: str | None = None) ->
     return [(r["value"].strip().split(","), r["paths"]) for r in groups.orderBy("value").collect()]
 
 
+def _plain(path: Column) -> Column:
+    """A path as readers take it, from its escaped form."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def merge_trade_files(
     spark: SparkSession, folder: str, skip: str | None = None, drop_duplicates: bool = True
 ) -> DataFrame:
@@ -79,12 +104,7 @@ def merge_trade_files(
     layouts = trade_layouts(spark, folder, skip)
     if not layouts:
         raise FileNotFoundError(f"no trade files in {folder}")
-    known = {f.name: f.dataType for f in schemas.TRADE.fields}
-    frames = []
-    for names, paths in layouts:
-        layout = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
-        frames.append(_csv(spark, layout, paths))
-    merged = union_frames(frames)
+    merged = union_frames([_by_header(spark, schemas.TRADE, paths) for _, paths in layouts])
     return merged.dropDuplicates() if drop_duplicates else merged
 
 
@@ -97,12 +117,28 @@ def union_frames(frames: list[DataFrame]) -> DataFrame:
 
 
 def scan_notifications(spark: SparkSession, path: str | list[str], fmt: str = "csv") -> DataFrame:
-    """Raw notifications with a ``row_id`` that follows the order of the files."""
+    """Raw notifications with a ``row_id`` that orders them by file name, then as they stand in the file.
+
+    Quoted texts may hold line breaks. Columns are found by name; of those that
+    aren't needed an absent one is NULL.
+    """
     if fmt == "csv":
-        rows = _csv(spark, schemas.NOTIFICATIONS_RAW, path)
+        rows = _csv(spark, schemas.NOTIFICATIONS_RAW, path, schemas.NOTIFICATIONS_REQUIRED, whole=True)
+        for field in schemas.NOTIFICATIONS_RAW.fields:
+            if field.name not in rows.columns:
+                rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
     else:
         rows = spark.read.format(fmt).load(path)
-    return with_row_id(rows)
+    return rows if "row_id" in rows.columns else rows.withColumn("row_id", _place())
+
+
+def _place() -> Column:
+    """Where a row of a file stands. Numbers alone won't do: Spark deals files to tasks by their size."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
 
 
 def with_row_id(rows: DataFrame) -> DataFrame:
@@ -115,7 +151,8 @@ def scan_commodities(spark: SparkSession, path: str, six_digits: bool = True) ->
     Codes keep six digits, so chapter filters work; ``six_digits=False`` gives
     the whole-number text that drops leading zeros.
     """
-    rows = _csv(spark, schemas.COMMODITIES, path).withColumn("pos", F.monotonically_increasing_id())
+    needed = ["commodity", "hs_code_comtrade"]
+    rows = _csv(spark, schemas.COMMODITIES, path, needed, whole=True).withColumn("pos", _place())
     rule = six_digit_hs if six_digits else hs_int_text
     return rows.withColumn("hs_code", rule(F.col("hs_code_comtrade")))
 
@@ -132,10 +169,16 @@ def scan_food_balance(spark: SparkSession, path: str | None = None) -> DataFrame
     return _csv(spark, schemas.FOOD_BALANCE, path)
 
 
-def json_payload_to_rows(spark: SparkSession, path: str, schema: T.StructType = schemas.TRADE) -> DataFrame:
-    """Rows of ``{"data": [...]}`` documents; an empty or absent list gives none."""
+def json_payload_to_rows(
+    spark: SparkSession, path: str, schema: T.StructType = schemas.TRADE, whole: bool = False
+) -> DataFrame:
+    """Rows of ``{"data": [...]}`` documents; an empty or absent list gives none.
+
+    A file holds one document a line, or with ``whole`` one document of any
+    number of lines. A document that can't be read raises.
+    """
     payload = T.StructType([T.StructField("data", T.ArrayType(schema))])
-    documents = spark.read.schema(payload).json(path)
+    documents = spark.read.schema(payload).option("mode", "FAILFAST").option("multiLine", whole).json(path)
     return documents.select(F.explode("data").alias("row")).select("row.*")
 
 

@@ -25,6 +25,8 @@ def daily_severity(raw: DataFrame, book: CountryBook, delay: str = "30 days") ->
     an event later than its end by ``delay`` has been seen; the state holds
     only days not final yet.
     """
+    if "row_id" not in raw.columns:  # the order of the source plays no part in sums
+        raw = raw.withColumn("row_id", F.lit(0).cast("long"))
     dated = raw.where(F.col(EVENT_TIME).isNotNull()).withWatermark(EVENT_TIME, delay)
     events = extract_corridors(dated, book, keep=[EVENT_TIME]).where(F.col("commodity_hs") != "")
     severity = severity_weight(
