@@ -47,3 +47,12 @@ def test_same_rule_on_a_table(spark, book, tmp_path):
     df = arrivals(spark, book, str(tmp_path / "in"), {"date": "2025-01-01", "classification": "alert"})
     row = daily_severity(df, book).first()
     assert (row.severity, row.events, row.origin_m49, row.destination_m49) == (1.0, 1, 251, 724)
+
+
+def test_stream_of_the_declared_layout(spark, book, tmp_path):
+    source, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    rows = [{"date": "2025-01-01", "classification": "alert"}, {"date": "2025-06-01", "classification": "alert"}]
+    df = arrivals(spark, book, str(tmp_path / "full"), *rows).drop("row_id")
+    df.write.parquet(source)
+    stream_hazard(spark.readStream.schema(df.schema).parquet(source), book, sink, progress).awaitTermination()
+    assert [(str(r.day), r.events) for r in spark.read.parquet(sink).collect()] == [("2025-01-01", 1)]
