@@ -8,8 +8,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelanes.llm.common import arrow, fold, lower_ascii, portions, span_hashes, utf8, whole_text, word_spans
@@ -22,7 +24,7 @@ SHARED = 1 << 20
 #: Rounds of Gibbs sampling that bring all parts up to date with each other, and seatings averaged at the end.
 ROUNDS, SAMPLES, SWEEPS = 2, 3, 2
 #: Tokens a part of the model should have, and text bytes packed at a time.
-PART_TOKENS = 3_000_000
+PART_TOKENS = 1_500_000
 _PORTION = 4 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
 _CHUNK = 1 << 16
@@ -58,6 +60,10 @@ class Known:
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         return at, self.words[at] == words
 
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        """The smoothed log10 probability of words of these counts."""
+        return np.log10((counts + 1) / (self.total + self.distinct + 1))
+
     def contexts(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Restaurant of the context of every token: of the word before, or of the beginning of a text."""
         at, known = self.find(words)
@@ -80,81 +86,118 @@ def _unpack(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_PACKED = "part int, words binary, runs binary, contexts binary, rows binary, keys binary, train binary"
+def _pack_all(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Columns of numbers, each of so many low bytes, in one buffer."""
+    sizes = np.array([len(values) for values, _ in columns], "<u8").tobytes()
+    planes = [values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T for values, width in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes, *(np.ascontiguousarray(p).tobytes() for p in planes)]))
+
+
+def _unpack_all(data: bytes, *widths: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    sizes, at, out = raw[: 8 * len(widths)].view("<u8").tolist(), 8 * len(widths), []
+    for many, width in zip(sizes, widths, strict=True):
+        column = np.zeros((many, 8), np.uint8)
+        column[:, :width] = raw[at : at + many * width].reshape(width, many).T
+        out.append(column.view("<u8").ravel())
+        at += many * width
+    return out
+
+
+_PACKED = "part int, portion long, tokens binary, texts binary"
+#: Bytes of: words, occurrences of each, contexts, and row in the portion with the training flag in the lowest bit.
+_TOKENS = (8, 4, 3, 4)
+#: Bytes of: keys of a portion's texts, their tokens, frequent ones among them, and those's base score.
+_TEXTS = (8, 5, 5, 8)
 
 
 def _packed(batches: Iterator[pa.RecordBatch], known: Known, parts: int) -> Iterator[pa.RecordBatch]:
-    """Tokens of the texts dealt to the parts of the model, packed.
+    """Tokens of the texts dealt to the parts of the model, packed by portions of texts.
 
     A frequent word goes to parts by itself and its context, so that it is
     spread over all; a rare one by itself, so that its part has all of it.
+    Tokens carry their row in the portion only; the texts' keys, and all that
+    is known of them already, travel once, with one of the parts. A portion's
+    number holds its keys too, so that one made again with other rows cannot
+    pass for the first.
     """
-    for batch in portions(batches, "_text", _PORTION):
+    for number, batch in enumerate(portions(batches, "_text", _PORTION)):
         data, offsets = utf8(batch.column("_text"))
         words, first = tokens(data, offsets)
+        del data
         contexts = known.contexts(words, first)
         row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-        _, often = known.find(words)
+        at, often = known.find(words)
         mixed = words + np.where(often, contexts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
         part = ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
         keys = batch.column("_key").to_numpy().view(np.uint64)
-        del data
-        train = batch.column("_train").to_numpy(zero_copy_only=False)
+        task = TaskContext.get()
+        place = np.array([task.partitionId() if task else 0, number], np.int64)
+        portion = xxhash.xxh64_intdigest(place.tobytes() + keys.tobytes())
+        base = np.bincount(row[often], weights=known.base(known.counts[at[often]]), minlength=batch.num_rows)
+        texts = _pack_all(
+            (keys, 8), (np.diff(first), 5), (np.bincount(row[often], minlength=batch.num_rows), 5), (base.view(np.uint64), 8)
+        )
+        marked = row * 2 + batch.column("_train").to_numpy(zero_copy_only=False)[row]
         order = np.lexsort((words, part))
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
         out = {name.split()[0]: [] for name in _PACKED.split(", ")}
         for p in range(parts):
+            home = portion % parts == p
             own = order[cuts[p] : cuts[p + 1]]
-            if not len(own):
+            if not len(own) and not home:
                 continue
             w = words[own]
-            heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            used, local = np.unique(row[own], return_inverse=True)
-            for name, value in zip(
-                out,
-                (
-                    p,
-                    _pack(w[heads], 8),
-                    _pack(np.diff(np.append(heads, len(w))), 4),
-                    _pack(contexts[own], 3),
-                    _pack(local, 3),
-                    _pack(keys[used], 8),
-                    _pack(train[used], 1),
-                ),
-                strict=True,
-            ):
-                out[name].append(value)
+            heads = np.flatnonzero(np.diff(w, prepend=~w[:1]))
+            out["part"].append(p)
+            out["portion"].append(int(np.uint64(portion).view(np.int64)))
+            out["tokens"].append(
+                _pack_all((w[heads], 8), (np.diff(np.append(heads, len(w))), 4), (contexts[own], 3), (marked[own], 4))
+            )
+            out["texts"].append(texts if home else b"")
         yield arrow(_PACKED, out)
 
 
-_CELLS = "part int, words binary, first binary, contexts binary, counts binary, cell binary, rows binary, keys binary"
+_CELLS = "part int, words binary, first binary, contexts binary, counts binary, cell binary, rows binary, texts binary, homes binary"
+#: Bytes of: portions, rows in use of each, those rows; and of portions at home here, their sizes, and their texts.
+_USED, _HOMES = (8, 4, 4), (8, 4, *_TEXTS)
 
 
 def _cells(frame: pd.DataFrame) -> pd.DataFrame:
     """A part of the model: its cells (word and context) with their training counts, and the tokens that fall in each."""
-    words, contexts, rows, train, keys, base = [], [], [], [], [], 0
-    for r in frame.itertuples():
-        words.append(np.repeat(_unpack(r.words, 8), _unpack(r.runs, 4).astype(np.int64)))
-        contexts.append(_unpack(r.contexts, 3).astype(np.uint32))
-        local = _unpack(r.rows, 3).astype(np.int32)
-        train.append(_unpack(r.train, 1).astype(bool)[local])
-        rows.append(local + np.int32(base))
-        keys.append(_unpack(r.keys, 8))
-        base += len(keys[-1])
+    words, contexts, rows, train, used, base = [], [], [], [], [], 0
+    for data in frame["tokens"]:
+        heads, runs, own, marked = _unpack_all(data, *_TOKENS)
+        words.append(np.repeat(heads, runs.astype(np.int64)))
+        contexts.append(own.astype(np.uint32))
+        train.append((marked & np.uint64(1)).astype(bool))
+        found, local = np.unique(marked >> np.uint64(1), return_inverse=True)
+        rows.append((local + base).astype(np.int32))
+        used.append(found.astype(np.uint32))
+        base += len(found)
+    portion = frame["portion"].to_numpy().view(np.uint64)
+    home = np.flatnonzero(frame["texts"].str.len() > 0)
+    columns = [_unpack_all(frame["texts"].iloc[k], *_TEXTS) for k in home]
+    homes = [portion[home], np.array([len(c[0]) for c in columns], np.int64)]
+    homes += [np.concatenate([np.zeros(0, np.uint64), *(c[k] for c in columns)]) for k in range(len(_TEXTS))]
+    texts = _pack_all((portion, 8), (np.array([len(u) for u in used]), 4), (np.concatenate(used), 4))
+    del used, columns
     words, contexts, rows, train = map(np.concatenate, (words, contexts, rows, train))
     order = np.lexsort((contexts, words))
     w, c, rows, train = words[order], contexts[order], rows[order], train[order]
     del words, contexts, order
-    new_word = np.concatenate([[True], w[1:] != w[:-1]])
-    new = new_word | np.concatenate([[True], c[1:] != c[:-1]])
-    cell = np.cumsum(new) - 1
-    counts = np.bincount(cell, weights=train, minlength=int(cell[-1]) + 1).astype(np.int64)
+    new_word = np.ones(len(w), bool)
+    new_word[1:] = w[1:] != w[:-1]
+    new = new_word.copy()
+    new[1:] |= c[1:] != c[:-1]
     heads = np.flatnonzero(new)
+    counts = np.add.reduceat(train, heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64)
     first = np.cumsum(new)[new_word] - 1
     packed = {
         "part": [int(frame["part"].iloc[0])], "words": [_pack(w[new_word], 8)], "first": [_pack(first, 5)],
         "contexts": [_pack(c[heads], 3)], "counts": [_pack(counts, 6)],
-        "cell": [_pack(np.diff(np.append(heads, len(w))), 5)], "rows": [_pack(rows, 5)], "keys": [_pack(np.concatenate(keys), 8)],
+        "cell": [_pack(np.diff(np.append(heads, len(w))), 5)], "rows": [_pack(rows, 5)],
+        "texts": [texts], "homes": [_pack_all(*zip(homes, _HOMES, strict=True))],
     }
     return pd.DataFrame(packed)
 
@@ -319,73 +362,85 @@ def _next_state(cells: DataFrame, known: Known, state: State | None, seed: int)
     )
 
 
-_SUMMED = ("n_tokens", "n_known", "base_score", "score")
-_PARTIAL = "bucket int, keys binary, sums binary"
+_PARTIAL = "bucket int, sums binary, homes binary"
 _SCORES = "_key long, n_tokens long, n_known long, base_score double, score double"
+#: Bytes of: portions, rows in use of each, those rows; their tokens, rare words known, base score of rare words, and score.
+_SUMMED = (*_USED, 5, 5, 8, 4)
+
+
+def _dealt(columns: list[np.ndarray], buckets: int) -> dict[int, list[np.ndarray]]:
+    """Portions, their numbers of rows and columns of their rows, dealt to the portions' buckets."""
+    portion, many = columns[0], columns[1].astype(np.int64)
+    bucket = (portion % np.uint64(buckets)).astype(np.int64)
+    by_row = np.repeat(bucket, many)
+    order, rows = np.argsort(bucket, kind="stable"), np.argsort(by_row, kind="stable")
+    found = np.unique(bucket)
+    cuts = [np.searchsorted(b[o], np.append(found, buckets)) for b, o in ((bucket, order), (by_row, rows))]
+    return {
+        int(k): [c[o[at[i] : at[i + 1]]] for c, o, at in zip(columns, (order, order) + (rows,) * (len(columns) - 2), cuts[:1] * 2 + cuts[1:] * (len(columns) - 2), strict=True)]
+        for i, k in enumerate(found)
+    }
 
 
 def _scores(batches: Iterator[pa.RecordBatch], known: Known, state: State, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Sums over a part of the model for the texts it has tokens of, packed by buckets of texts."""
+    """Sums over a part of the model for the texts it has tokens of, packed by buckets of portions."""
     for row in _rows(batches):
         part = Part(row, known)
         total = np.zeros(len(part.counts))
         customers = state.customers[part.contexts]
-        for draw in range(SAMPLES):
+        for draw in range(SAMPLES if len(part.counts) else 0):
             tables = part.seated(state, 1 + draw)
             below = part.word_tables(tables, state)
             base = np.where(part.word_counts > 0, state.parent(below), state.unseen())[part.word]
             room = CONCENTRATION + state.discount * state.tables[part.contexts]
             total += (np.maximum(part.counts - state.discount * tables, 0) + room * base) / (CONCENTRATION + customers)
         log_p = np.log10(total / SAMPLES)
-        base = np.log10((part.word_counts + 1) / (known.total + known.distinct + 1))
-        seen = part.word_counts > 0
+        rare = np.where(part.often, 0.0, known.base(part.word_counts))
+        seen = (part.word_counts > 0) & ~part.often
         cell = np.repeat(np.arange(len(part.counts), dtype=np.int32), _unpack(row["cell"], 5).astype(np.int64))
         rows = _unpack(row["rows"], 5).astype(np.int32)
-        keys = _unpack(row["keys"], 8)
-        sums = [np.bincount(rows, minlength=len(keys))]
-        for value in (seen[part.word], base[part.word], log_p):  # one column of the tokens at a time
-            sums.append(np.bincount(rows, weights=value[cell], minlength=len(keys)))
-        bucket = (keys % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        table = np.stack(sums).astype(np.float64)
-        own = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        filled = [k for k in range(buckets) if len(own[k])]
+        texts = _unpack_all(row["texts"], *_USED)
+        own = lambda value: np.bincount(rows, weights=value[cell], minlength=len(texts[2]))  # noqa: B023, E731
+        columns = [*texts, np.bincount(rows, minlength=len(texts[2])), own(seen[part.word]), own(rare[part.word]), own(log_p)]
+        columns[5] = columns[5].view(np.uint64)
+        columns[6] = columns[6].astype("<f4").view(np.uint32)
+        sums = _dealt(columns, buckets)
+        homes = _dealt(_unpack_all(row["homes"], *_HOMES), buckets)
+        filled = sorted(sums.keys() | homes.keys())
         yield arrow(
             _PARTIAL,
-            {"bucket": filled, "keys": [keys[own[k]].tobytes() for k in filled], "sums": [_pack_sums(table[:, own[k]]) for k in filled]},
+            {
+                "bucket": filled,
+                "sums": [_pack_all(*zip(sums[k], _SUMMED, strict=True)) if k in sums else None for k in filled],
+                "homes": [_pack_all(*zip(homes[k], _HOMES, strict=True)) if k in homes else None for k in filled],
+            },
         )
 
 
-def _planes(values: np.ndarray) -> bytes:
-    wide = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)
-    return np.ascontiguousarray(wide.T).tobytes()
-
-
-def _pack_sums(table: np.ndarray) -> bytes:
-    """Partial sums, those of the model's score in single precision."""
-    both = _planes(table[:3].astype("<f8").ravel()) + _planes(table[3].astype("<f4"))
-    return zstandard.ZstdCompressor(level=1).compress(both)
-
-
-def _unpack_sums(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    many = len(raw) // 28
-    exact = np.ascontiguousarray(raw[: many * 24].reshape(8, -1).T).view("<f8").reshape(3, -1)
-    single = np.ascontiguousarray(raw[many * 24 :].reshape(4, -1).T).view("<f4").reshape(1, -1)
-    return np.concatenate([exact, single.astype(np.float64)])
-
-
 def _whole(frame: pd.DataFrame) -> pd.DataFrame:
-    """The sums of a bucket of texts over all parts."""
-    keys = np.concatenate([np.frombuffer(k, "<u8") for k in frame["keys"]])
-    sums = np.concatenate([_unpack_sums(s) for s in frame["sums"]], axis=1)
-    found, where = np.unique(keys, return_inverse=True)
-    out = {"_key": found.view(np.int64)}
-    for name, column in zip(_SUMMED, sums, strict=True):
-        total = np.bincount(where, weights=column, minlength=len(found))
-        out[name] = np.rint(total).astype(np.int64) if name.startswith("n_") else total
-    return pd.DataFrame(out)
+    """The texts of a bucket of portions, with their sums over all parts."""
+    homes = [_unpack_all(h, *_HOMES) for h in frame["homes"] if h is not None]
+    sums = [_unpack_all(s, *_SUMMED) for s in frame["sums"] if s is not None]
+    portion, size, keys, n, often, base = (np.concatenate([h[k] for h in homes] or [np.zeros(0, np.uint64)]) for k in range(6))
+    begin = np.cumsum(size) - size
+    order = np.argsort(portion)
+    own, many, local, counted, rare, rare_base, score = (np.concatenate([s[k] for s in sums]) for k in range(7))
+    at = np.minimum(np.searchsorted(portion[order], own), max(len(order) - 1, 0))
+    if len(own) and (not len(order) or (portion[order[at]] != own).any()):
+        raise RuntimeError("texts were read again in another order; write the documents to a table first")
+    place = (np.repeat(begin[order[at]], many.astype(np.int64)) + local).astype(np.int64)
+    add = lambda values: np.bincount(place, weights=values, minlength=len(keys))
+    if (add(counted) != n).any():
+        raise RuntimeError("texts were read again in another order; write the documents to a table first")
+    return pd.DataFrame(
+        {
+            "_key": keys.view(np.int64),
+            "n_tokens": n.astype(np.int64),
+            "n_known": often.astype(np.int64) + np.rint(add(rare)).astype(np.int64),
+            "base_score": base.view("<f8") + add(rare_base.view("<f8")),
+            "score": add(score.astype("<u4").view("<f4")),
+        }
+    )
 
 
 _COUNTS = "bucket int, words binary, counts binary"
@@ -483,19 +538,15 @@ def score_texts(docs: DataFrame, seed: int = 0) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _scores(batches, Known(**words.value), State(**last.value), parts)
 
-    # rows that repeat identifier and text share a key, and so their sum
     sums = cells.mapInArrow(finish, _PARTIAL).groupBy("bucket").applyInPandas(_whole, _SCORES)
-    ids = texts.groupBy("_key", "doc_id", "held_out").agg(F.count(F.lit(1)).alias("_rows"))
-    return (
-        ids.join(sums, "_key")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
-        .select(
-            "doc_id",
-            "held_out",
-            (F.col("n_tokens") / F.col("_rows")).cast("long").alias("n_tokens"),
-            (F.col("n_known") / F.col("_rows")).cast("long").alias("n_known"),
-            F.lit(known.total).cast("long").alias("train_tokens"),
-            (F.col("base_score") / F.col("_rows")).alias("base_score"),
-            (F.col("score") / F.col("_rows")).alias("score"),
-        )
+    # one row of sums for every row of the table; rows that repeat identifier and text share a key
+    ids = texts.select("_key", "doc_id", "held_out").distinct()
+    return ids.join(sums, "_key").select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(known.total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
     )
