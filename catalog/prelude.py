@@ -6,15 +6,78 @@ instead of repeating it.
 
 from __future__ import annotations
 
-from tradelanes.functions.text import (
-    CLASSIFICATION_WEIGHTS,
-    CLASSIFICATIONS,
-    HAZARD_TOKENS,
-    RISK_DECISION_WEIGHTS,
-    RISK_DECISIONS,
-)
 from tradelanes.plans.shared_tables import CLASSES, CODES, DECISIONS, TOKENS
 
+# ---------------------------------------------------------------- fixed values
+# What alerts count for, written out once more: a check that took the engine's
+# own lists would agree with any mistake in them.
+
+CLASSIFICATIONS = [
+    ("alert notification", "AlertNotification"),
+    ("alert", "AlertNotification"),
+    ("border rejection", "BorderRejection"),
+    ("border rejection notification", "BorderRejection"),
+    ("information for follow-up", "InfoFollowUp"),
+    ("information notification for follow-up", "InfoFollowUp"),
+    ("information for attention", "InfoAttention"),
+    ("information notification for attention", "InfoAttention"),
+]
+CLASSIFICATION_WEIGHTS = [
+    ("AlertNotification", 1.0),
+    ("BorderRejection", 0.8),
+    ("InfoFollowUp", 0.7),
+    ("InfoAttention", 0.5),
+]
+RISK_DECISIONS = [
+    ("serious", "Serious"),
+    ("potentially serious", "PotentiallySerious"),
+    ("potential risk", "PotentialRisk"),
+    ("not serious", "NotSerious"),
+    ("undecided", "PotentialRisk"),
+]
+RISK_DECISION_WEIGHTS = [
+    ("Serious", 1.0),
+    ("PotentiallySerious", 0.7),
+    ("PotentialRisk", 0.4),
+    ("NotSerious", 0.2),
+]
+HAZARD_TOKENS = [
+    ("biological", "biological"),
+    ("pathogenic micro-organisms", "biological"),
+    ("non-pathogenic micro-organisms", "biological"),
+    ("parasitic infestation", "biological"),
+    ("biocontaminants", "biological"),
+    ("pesticide residues", "chem_pesticides"),
+    ("industrial contaminants", "chem_pesticides"),
+    ("heavy metals", "chem_heavy_metals"),
+    ("metals", "chem_heavy_metals"),
+    ("mycotoxins", "chem_mycotoxins"),
+    ("natural toxins", "chem_mycotoxins"),
+    ("natural toxins (other)", "chem_mycotoxins"),
+    ("chemical contamination", "chem_other"),
+    ("food additives and flavourings", "chem_other"),
+    ("migration", "chem_other"),
+    ("foreign bodies", "chem_other"),
+    ("allergens", "chem_other"),
+    ("residues of veterinary medicinal products", "chem_other"),
+    ("veterinary medicinal products", "chem_other"),
+    ("radiation", "chem_other"),
+    ("other hazard", "chem_other"),
+    ("process contaminants", "chem_other"),
+    ("polycyclic aromatic hydrocarbons", "chem_other"),
+    ("composition", "regulatory"),
+    ("labelling absent/incomplete/incorrect", "regulatory"),
+    ("labelling", "regulatory"),
+    ("adulteration/fraud", "regulatory"),
+    ("adulteration", "regulatory"),
+    ("novel food", "regulatory"),
+    ("gmo / novel food", "regulatory"),
+    ("gmo", "regulatory"),
+    ("tampering", "regulatory"),
+    ("poor or insufficient controls", "regulatory"),
+]
+# ------------------------------------------------------------------------------
+
 
 def cases(column: str, options: dict[str, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in options.items()) + " END"
@@ -170,8 +233,8 @@ WHERE o.origin_m49 <> d.destination_m49""",
     # ------------------------------------------------------------- enumerations
     "classes": f"SELECT * FROM (VALUES {values(CLASSIFICATIONS)}) AS v(spelling, kind)",
     "decisions": f"SELECT * FROM (VALUES {values(RISK_DECISIONS)}) AS v(spelling, kind)",
-    "class_weights": f"SELECT kind, w::DOUBLE AS w FROM (VALUES {values(list(CLASSIFICATION_WEIGHTS.items()))}) AS v(kind, w)",
-    "decision_weights": f"SELECT kind, w::DOUBLE AS w FROM (VALUES {values(list(RISK_DECISION_WEIGHTS.items()))}) AS v(kind, w)",
+    "class_weights": f"SELECT kind, w::DOUBLE AS w FROM (VALUES {values(CLASSIFICATION_WEIGHTS)}) AS v(kind, w)",
+    "decision_weights": f"SELECT kind, w::DOUBLE AS w FROM (VALUES {values(RISK_DECISION_WEIGHTS)}) AS v(kind, w)",
     "tokens": "SELECT * FROM (VALUES "
     + values([(i, t, f) for i, (t, f) in enumerate(HAZARD_TOKENS)])
     + ") AS v(ord, token, family)",

@@ -86,7 +86,9 @@ def test_project_keeps_existing_columns(spark):
 
 
 def test_write_tables_skips_empty(spark, tmp_path):
-    written = sinks.write_tables({"a": spark.range(2), "b": spark.range(0)}, str(tmp_path), "report_")
+    none = spark.range(2).where("id < 0")
+    tables = {"a": spark.range(2), "b": spark.range(0), "c": none.groupBy("id").count(), "d": spark.range(2).where("false")}
+    written = sinks.write_tables(tables, str(tmp_path), "report_")
     assert written == ["a"]
     assert spark.read.parquet(str(tmp_path / "report_a")).count() == 2
 

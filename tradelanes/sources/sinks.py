@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tradelanes.functions.guards import null_out_nonfinite
@@ -20,13 +20,18 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, prefix: str = "") -> list[str]:
-    """Write each non-empty table to its own folder; returns the names written."""
+    """Write each table to its own folder in one run; returns the names of those that have rows.
+
+    Rows are counted while they are written. An empty table leaves a folder
+    that holds its columns only.
+    """
     written = []
     for name, table in tables.items():
-        if table.isEmpty():
-            continue
-        table.write.mode("overwrite").parquet(f"{folder}/{prefix}{name}")
-        written.append(name)
+        rows = Observation()
+        counted = table.observe(rows, F.count(F.lit(1)).alias("rows"))
+        counted.write.mode("overwrite").parquet(f"{folder}/{prefix}{name}")
+        if rows.get["rows"]:
+            written.append(name)
     return written
 
 
