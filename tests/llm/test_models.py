@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 pytest.importorskip("tradelanes.llm")
@@ -156,6 +157,28 @@ def test_language_model_beats_counts_on_held_out_rows(spark):
     assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)
 
 
+def test_language_model_refuses_mixed_reads():
+    """A part made from another reading of the texts than the one that holds their keys isn't added up."""
+    one = lambda *values: np.array(values, np.uint64)
+    home = hpy_lm._pack_all(*zip([one(7), one(2), one(11, 12), one(1, 2), one(1, 1), np.zeros(2).view(np.uint64)], hpy_lm._HOMES, strict=True))
+
+    def sums(portion, tokens):
+        score = np.array([-1.0, -2.0], "<f4").view(np.uint32)
+        return hpy_lm._pack_all(
+            *zip([one(portion), one(2), one(0, 1), one(*tokens), one(0, 1), np.zeros(2).view(np.uint64), score], hpy_lm._SUMMED, strict=True)
+        )
+
+    def whole(*parts):
+        return hpy_lm._whole(pd.DataFrame({"homes": [home] + [None] * (len(parts) - 1), "sums": list(parts)}))
+
+    found = whole(sums(7, (1, 1)), sums(7, (0, 1)))
+    assert found["_key"].tolist() == [11, 12] and found["n_tokens"].tolist() == [1, 2]
+    assert found["n_known"].tolist() == [1, 3] and found["score"].tolist() == [-2.0, -4.0]
+    for parts in ([sums(7, (1, 1))], [sums(7, (1, 2)), sums(8, (1, 1))]):
+        with pytest.raises(RuntimeError):
+            whole(*parts)
+
+
 def test_language_model_is_a_distribution():
     """Over all known words and the unseen one, probabilities sum to 1 in every context."""
     rng = np.random.default_rng(1)
