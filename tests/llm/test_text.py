@@ -127,6 +127,26 @@ def test_warc_ranges_own_each_record_once():
     assert list(warc.members(io.BytesIO(b"noise" * 1000), 0, 5000)) == []
 
 
+def test_warc_long_headers_in_every_range(spark):
+    rng = random.Random(3)
+    urls = [f"data:{i}," + "".join(rng.choice("abcdefgh ") for _ in range(90_000)) for i in range(3)]
+    data = b"".join(warc.record(i, u, b"x") for i, u in enumerate(urls))
+    for split in (5000, 30_000, len(data)):
+        ranges = [(s, min(s + split, len(data))) for s in range(0, len(data), split)]
+        got = [warc.parsed(c)["page_id"] for s, e in ranges for _, c in warc.members(io.BytesIO(data), s, e)]
+        assert got == [0, 1, 2]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in warc.archived_pages(pages).collect()) == [0, 1, 2]
+
+
+def test_warc_missing_records_are_an_error(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"u{i}", "x") for i in range(5)], "page_id long, url string, html string")
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *given: read(*given).where("page_id <> 3"))
+    with pytest.raises(RuntimeError, match="5 records were written .* 4 read"):
+        warc.archived_pages(pages)
+
+
 def test_warc_messy(spark):
     long = "p" * 200
     rows = [(5, "u5", long, 1), (3, "u3", long, 1), (3, "u3", long, 1), (None, "un", long, 1), (8, None, "short", 1), (9, "u 9\n", "short", 1), (10, "ux", None, 1), (11, "uy", "é" * 300_000, 1)]

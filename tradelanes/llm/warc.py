@@ -20,8 +20,6 @@ from tradelanes.session import materialise, scratch_folder
 LEAST_SHARED = 100
 _MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 20
-#: A candidate member has to show its record's header within so many bytes.
-_HEADER = 1 << 16
 _FLUSH = 8 << 20
 #: Archive bytes that a task reads where there are more than four tasks a core.
 _TASK = 256 << 20
@@ -111,8 +109,11 @@ def planned(pages: DataFrame) -> DataFrame:
     return once.unionByName(again)
 
 
+_FILE = "path string, size long, records long"
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes one archive per task below ``folder`` and returns ``path`` and ``size`` of each.
+    """Writes one archive per task below ``folder`` and returns ``path``, ``size`` and number of ``records`` of each.
 
     A task's name for its file has the attempt in it, so a task that runs
     twice leaves a file that nothing reads.
@@ -123,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
-        size = 0
+        size, many = 0, 0
         with store.open_output_stream(f"{root}/{name}", compression=None) as out:
             for batch in batches:
                 for row in batch.to_pylist():
@@ -131,9 +132,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     data = record(row["page_id"], row["url"], payload, row["_to"], row["_revisit"], row["_digest"], row["_size"])
                     out.write(data)
                     size += len(data)
-        yield arrow("path string, size long", {"path": [f"{folder}/{name}"], "size": [size]})
+                    many += 1
+        yield arrow(_FILE, {"path": [f"{folder}/{name}"], "size": [size], "records": [many]})
 
-    return materialise(planned(pages).mapInArrow(work, "path string, size long"))
+    return materialise(planned(pages).mapInArrow(work, _FILE))
 
 
 class _Range:
@@ -154,19 +156,20 @@ class _Range:
 
 
 def _is_member(span: _Range, offset: int) -> bool:
-    """Whether a member that starts there decodes to the beginning of a record."""
-    unpack, head, at = zlib.decompressobj(31), b"", offset
-    while len(head) < _HEADER and not unpack.eof:
+    """Whether a member that starts there decodes to the beginning of a record, however long its header is."""
+    unpack, head, at = zlib.decompressobj(31), bytearray(), offset
+    while not unpack.eof:
         if at >= len(span.data) and not span.more():
             break
+        seen = max(0, len(head) - 3)
         try:
-            head += unpack.decompress(span.data[at : at + 4096], _HEADER - len(head))
+            head += unpack.decompress(span.data[at : at + 4096])
         except zlib.error:
             return False
         at += 4096
         if not b"WARC/1.".startswith(head[:7]):
             return False
-        if b"\r\n\r\n" in head:
+        if head.find(b"\r\n\r\n", seen) >= 0:
             break
     return head.startswith(b"WARC/1.") and b"\r\n\r\n" in head and b"\r\nWARC-Type:" in head
 
@@ -271,18 +274,25 @@ def archived_pages(pages: DataFrame, split: int = 4 << 20) -> DataFrame:
     without identifier come last and refer to nothing by it; repeated rows are
     records of their own. An empty table gives no rows. Other columns aren't
     read. Bytes and digest of a response are those of the payload read, those
-    of a revisit stand in its header.
+    of a revisit stand in its header. Another number of records read than
+    written is an error.
     """
     spark = pages.sparkSession
     folder = scratch_folder(spark, "warc")
     if "://" not in folder and not folder.startswith("file:"):
         folder = f"file://{folder}"
-    records = read_archives(spark, write_archives(pages, folder), split)
+    files = write_archives(pages, folder)
+    records = read_archives(spark, files, split)
     response = F.col("record_type") == "response"
-    return records.select(
+    found = records.select(
         "page_id",
         F.when(response, F.octet_length("payload")).otherwise(F.col("full_size")).cast("long").alias("payload_bytes"),
         F.when(response, F.sha2("payload", 256)).otherwise(F.col("digest")).alias("payload_digest"),
         "record_type",
         "refers_to",
     )
+    found = materialise(found)
+    read, written = found.count(), files.agg(F.sum("records")).first()[0] or 0
+    if read != written:
+        raise RuntimeError(f"{written} records were written to the archives and {read} read from them")
+    return found
