@@ -90,6 +90,15 @@ def test_simhash_stage(messy):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter({c: 1 for _, _, c in groups})
 
 
+def test_simhash_stage_keeps_unlinked_rows_without_or_with_equal_identifiers(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 30, 40))) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (4, texts[3]), (4, texts[4]), (6, texts[5])]
+    assert len({c for _, _, c in brute_groups([(i, t) for i, t in enumerate(texts)])}) == len(texts)
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["text"] for r in kept.collect()) == sorted(texts)
+
+
 @pytest.mark.parametrize("budget", [0, 1, 3])
 def test_trie_pairs_against_all_pairs(budget):
     rng = np.random.default_rng(budget)

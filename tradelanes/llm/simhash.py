@@ -287,7 +287,11 @@ def near_links(prints: DataFrame) -> DataFrame:
 
 
 def near_groups(prints: DataFrame) -> DataFrame:
-    """``_fp``, ``component_id`` for every distinct fingerprint of ``doc_id``, ``_fp``."""
+    """``_fp``, ``_label``, ``component_id`` for every distinct fingerprint of ``doc_id``, ``_fp``.
+
+    ``_label`` is the component's smallest fingerprint. Unlike its smallest
+    identifier, which may be missing or repeated, no other component has it.
+    """
     nodes = materialise(prints.groupBy("_fp").agg(F.min("doc_id").alias("_first")))
     labels = components(near_links(nodes.select("_fp")))
     joined = nodes.join(labels, nodes["_fp"] == labels["node"], "left").select(
@@ -295,7 +299,7 @@ def near_groups(prints: DataFrame) -> DataFrame:
     )
     joined = materialise(joined)
     least = joined.groupBy("_label").agg(F.min("_first").alias("component_id"))
-    return joined.join(least, "_label").select("_fp", "component_id")
+    return joined.join(least, "_label").select("_fp", "_label", "component_id")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
@@ -318,6 +322,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row for each component, that with the smallest identifier; all columns stay.
 
     Rows that tie on it are told apart by fingerprint, then by all their columns.
+    Components are told apart by their smallest fingerprint, so each keeps a
+    row even where identifiers are missing or repeated.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -333,7 +339,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
     # one fingerprint for each component, even where rows repeat an identifier
-    winners = materialise(winners.withColumn("_pick", F.struct("_fp", "_same")).groupBy("component_id", "doc_id").agg(F.min("_pick").alias("_pick")))
+    winners = materialise(winners.withColumn("_pick", F.struct("_fp", "_same")).groupBy("_label", "doc_id").agg(F.min("_pick").alias("_pick")))
     winners = winners.select(F.col("doc_id").alias("_id"), F.col("_pick._fp").alias("_win"), F.col("_pick._same").alias("_same"))
     stay = marked.join(
         winners, (F.col("_fp") == F.col("_win")) & F.col("_row.doc_id").eqNullSafe(F.col("_id"))
