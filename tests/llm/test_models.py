@@ -179,6 +179,30 @@ def test_language_model_refuses_mixed_reads():
             whole(*parts)
 
 
+def test_language_model_gives_each_context_its_own_restaurant(spark):
+    """Words whose hashes differ in their high bits only have restaurants of their own, and sums over all parts."""
+    known = hpy_lm.Known(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 1)
+    word = 0x123456789ABCDEF0
+    alike = np.array([word, word ^ (1 << 50), word ^ 1, 5], np.uint64)
+    assert len(set(known.contexts(alike, np.array([0, 4])).tolist())) == 4  # three words and the beginning
+
+    texts = [f"w{i % 7} w{i % 11} w{i % 3} w{i % 50}" for i in range(200)]
+    frame = spark.createDataFrame([(i, True, t) for i, t in enumerate(texts)], "_key long, _train boolean, _text string")
+    packed = frame.mapInArrow(lambda batches: hpy_lm._packed(batches, known, 5), hpy_lm._PACKED)
+    cells = hpy_lm.materialise(packed.groupBy("part").applyInPandas(hpy_lm._cells, hpy_lm._CELLS))
+    state, near = hpy_lm._next_state(cells, known, None, 0, None, 3)
+    want = Counter(w for t in texts for w in t.split())  # each of them comes before one token
+    parts = [hpy_lm.Part(r, known, near, 3) for r in cells.collect()]
+    assert len(parts) == 5
+    found = {}
+    for part in parts:
+        for hashed, customers in zip(part.rare.tolist(), part.near[1].tolist(), strict=True):
+            assert found.setdefault(hashed, customers) == customers
+    assert sorted(found.values()) == sorted(want.values())
+    assert state.customers[hpy_lm.FREQUENT] == len(texts)
+    assert state.all_tables == sum(len(p.counts) for p in parts)
+
+
 def test_language_model_is_a_distribution():
     """Over all known words and the unseen one, probabilities sum to 1 in every context."""
     rng = np.random.default_rng(1)

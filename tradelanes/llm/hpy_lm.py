@@ -8,19 +8,20 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelanes.llm.common import arrow, fold, lower_ascii, portions, span_hashes, utf8, whole_text, word_spans
-from tradelanes.session import materialise
+from tradelanes.session import materialise, scratch_folder
 
 FOLDS, HELD_OUT = 7, 2
-#: Words with a restaurant of their own as context; other contexts share restaurants by their hash.
+#: Words whose counts and restaurants every task knows; those of other words are looked up part by part.
 FREQUENT = 1 << 17
-SHARED = 1 << 20
 #: Rounds of Gibbs sampling that bring all parts up to date with each other, and seatings averaged at the end.
 ROUNDS, SAMPLES, SWEEPS = 2, 3, 2
 #: Tokens a part of the model should have, and text bytes packed at a time.
@@ -65,10 +66,13 @@ class Known:
         return np.log10((counts + 1) / (self.total + self.distinct + 1))
 
     def contexts(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Restaurant of the context of every token: of the word before, or of the beginning of a text."""
+        """Restaurant of the context of every token: of the word before, or of the beginning of a text.
+
+        A frequent word's is its place, any other word's its hash.
+        """
         at, known = self.find(words)
-        own = np.where(known, at, FREQUENT + 1 + (words >> np.uint64(20)).astype(np.int64) % SHARED)
-        out = np.empty(len(words), np.uint32)
+        own = np.where(known, at.astype(np.uint64), np.where(words > FREQUENT, words, ~words))
+        out = np.empty(len(words), np.uint64)
         out[1:] = own[:-1]
         out[first[:-1]] = FREQUENT  # every text begins in one restaurant
         return out
@@ -104,9 +108,25 @@ def _unpack_all(data: bytes, *widths: int) -> list[np.ndarray]:
     return out
 
 
+def _numbered(contexts: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts with the rare ones numbered after the others, ``others``, and the hashes of the rare ones in order."""
+    rare = contexts > FREQUENT
+    found, number = np.unique(contexts[rare], return_inverse=True)
+    out = contexts.astype(np.int64)
+    out[rare] = FREQUENT + 1 + number
+    return out, *others, found
+
+
+def _named(numbers: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The contexts that ``_numbered`` has numbered."""
+    out, rare = numbers.copy(), numbers > FREQUENT
+    out[rare] = found[(numbers[rare] - np.uint64(FREQUENT + 1)).astype(np.int64)]
+    return out
+
+
 _PACKED = "part int, portion long, tokens binary, texts binary"
-#: Bytes of: words, occurrences of each, contexts, and row in the portion with the training flag in the lowest bit.
-_TOKENS = (8, 4, 3, 4)
+#: Bytes of: words, occurrences of each, contexts, row in the portion with the training flag in the lowest bit, and hashes of rare contexts.
+_TOKENS = (8, 4, 4, 4, 8)
 #: Bytes of: keys of a portion's texts, their tokens, frequent ones among them, and those's base score.
 _TEXTS = (8, 5, 5, 8)
 
@@ -128,7 +148,7 @@ def _packed(batches: Iterator[pa.RecordBatch], known: Known, parts: int) -> Iter
         contexts = known.contexts(words, first)
         row = np.repeat(np.arange(batch.num_rows), np.diff(first))
         at, often = known.find(words)
-        mixed = words + np.where(often, contexts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+        mixed = words + np.where(often, contexts * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
         part = ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
         keys = batch.column("_key").to_numpy().view(np.uint64)
         task = TaskContext.get()
@@ -152,13 +172,13 @@ def _packed(batches: Iterator[pa.RecordBatch], known: Known, parts: int) -> Iter
             out["part"].append(p)
             out["portion"].append(int(np.uint64(portion).view(np.int64)))
             out["tokens"].append(
-                _pack_all((w[heads], 8), (np.diff(np.append(heads, len(w))), 4), (contexts[own], 3), (marked[own], 4))
+                _pack_all(*zip((w[heads], np.diff(np.append(heads, len(w))), *_numbered(contexts[own], marked[own])), _TOKENS, strict=True))
             )
             out["texts"].append(texts if home else b"")
         yield arrow(_PACKED, out)
 
 
-_CELLS = "part int, words binary, first binary, contexts binary, counts binary, cell binary, rows binary, texts binary, homes binary"
+_CELLS = "part int, words binary, first binary, contexts binary, rare binary, counts binary, cell binary, rows binary, texts binary, homes binary"
 #: Bytes of: portions, rows in use of each, those rows; and of portions at home here, their sizes, and their texts.
 _USED, _HOMES = (8, 4, 4), (8, 4, *_TEXTS)
 
@@ -167,9 +187,9 @@ def _cells(frame: pd.DataFrame) -> pd.DataFrame:
     """A part of the model: its cells (word and context) with their training counts, and the tokens that fall in each."""
     words, contexts, rows, train, used, base = [], [], [], [], [], 0
     for data in frame["tokens"]:
-        heads, runs, own, marked = _unpack_all(data, *_TOKENS)
+        heads, runs, own, marked, found = _unpack_all(data, *_TOKENS)
         words.append(np.repeat(heads, runs.astype(np.int64)))
-        contexts.append(own.astype(np.uint32))
+        contexts.append(_named(own, found))
         train.append((marked & np.uint64(1)).astype(bool))
         found, local = np.unique(marked >> np.uint64(1), return_inverse=True)
         rows.append((local + base).astype(np.int32))
@@ -193,9 +213,10 @@ def _cells(frame: pd.DataFrame) -> pd.DataFrame:
     heads = np.flatnonzero(new)
     counts = np.add.reduceat(train, heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64)
     first = np.cumsum(new)[new_word] - 1
+    numbers, rare = _numbered(c[heads])
     packed = {
         "part": [int(frame["part"].iloc[0])], "words": [_pack(w[new_word], 8)], "first": [_pack(first, 5)],
-        "contexts": [_pack(c[heads], 3)], "counts": [_pack(counts, 6)],
+        "contexts": [_pack(numbers, 4)], "rare": [_pack(rare, 8)], "counts": [_pack(counts, 6)],
         "cell": [_pack(np.diff(np.append(heads, len(w))), 5)], "rows": [_pack(rows, 5)],
         "texts": [texts], "homes": [_pack_all(*zip(homes, _HOMES, strict=True))],
     }
@@ -204,9 +225,9 @@ def _cells(frame: pd.DataFrame) -> pd.DataFrame:
 
 @dataclass
 class State:
-    """What the parts know of each other: tables and customers of the contexts, tables of the frequent words."""
+    """What all parts know of each other: tables and customers of the frequent contexts, tables of the frequent words."""
 
-    tables: np.ndarray  # by context
+    tables: np.ndarray  # by frequent context
     customers: np.ndarray
     word_tables: np.ndarray  # by frequent word
     discount: float = 0.75
@@ -273,11 +294,13 @@ def seat(counts: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.G
 class Part:
     """A part of the model, unpacked."""
 
-    def __init__(self, row, known: Known):
+    def __init__(self, row, known: Known, near: str | None = None, buckets: int = 1):
         self.number = int(row["part"])
         self.words = _unpack(row["words"], 8)
         self.first = _unpack(row["first"], 5).astype(np.int64)
-        self.contexts = _unpack(row["contexts"], 3).astype(np.int64)
+        self.contexts = _unpack(row["contexts"], 4).astype(np.int64)
+        self.rare = _unpack(row["rare"], 8)
+        self.near = np.zeros((2, len(self.rare)), np.int64) if near is None else _read_near(near, self.number, self.rare, buckets)
         self.counts = _unpack(row["counts"], 6).astype(np.int64)
         self.word = np.repeat(np.arange(len(self.words)), np.diff(np.append(self.first, len(self.counts))))
         self.at, self.often = known.find(self.words)
@@ -289,18 +312,28 @@ class Part:
         own = np.add.reduceat(tables, self.first)
         return own if state is None else np.where(self.often, state.word_tables[self.at], own)
 
+    def tables(self, state: State) -> np.ndarray:
+        """Tables of each cell's context, over all parts."""
+        return np.concatenate([state.tables, self.near[0]])[self.contexts]
+
+    def customers(self, state: State) -> np.ndarray:
+        """Customers of each cell's context, over all parts."""
+        return np.concatenate([state.customers, self.near[1]])[self.contexts]
+
     def seated(self, state: State, draw: int) -> np.ndarray:
         """A seating: alternately the cells, and what their words' tables then give the parent."""
         rng = np.random.default_rng([state.seed, draw, self.number])
         tables = np.minimum(self.counts, 1)
         for _ in range(2):
             base = state.parent(self.word_tables(tables, state))[self.word]
-            pull = base * (CONCENTRATION + state.discount * state.tables[self.contexts])
+            pull = base * (CONCENTRATION + state.discount * self.tables(state))
             tables = seat(self.counts, pull, state.discount, rng, SWEEPS)
         return tables
 
 
-_SUMS = "kind int, chunk int, sums binary"
+_SUMS = "kind int, chunk int, part int, sums binary"
+#: Bytes of: hashes of rare contexts, their tables and their customers; the kind of row they travel in.
+_NEAR, _RARE = (8, 6, 6), 4
 
 
 def _chunks(kind: int, sums: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -310,27 +343,80 @@ def _chunks(kind: int, sums: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
             yield kind, start // _CHUNK, part.astype("<i8").tobytes()
 
 
-def _statistics(frame_rows: Iterator[dict], known: Known, state: State | None) -> Iterator[pa.RecordBatch]:
-    """Sums over a part: tables and customers by context, tables by frequent word, and how often small counts occur."""
+def _statistics(
+    frame_rows: Iterator[dict], known: Known, state: State | None, near: str | None, buckets: int
+) -> Iterator[pa.RecordBatch]:
+    """Sums over a part: tables and customers by context, tables by frequent word, and how often small counts occur.
+
+    Sums of rare contexts go to buckets of contexts, the others to all.
+    """
     for row in frame_rows:
-        part = Part(row, known)
+        part = Part(row, known, near, buckets)
         tables = np.minimum(part.counts, 1) if state is None else part.seated(state, 0)
-        size = FREQUENT + 1 + SHARED
+        size = FREQUENT + 1 + len(part.rare)
         by_word = np.add.reduceat(tables, part.first)
         rare = by_word[~part.often & (part.word_counts > 0)]
-        small = np.array([(part.counts == 1).sum(), (part.counts == 2).sum(), (rare == 1).sum(), (rare == 2).sum()])
+        small = np.array([(part.counts == 1).sum(), (part.counts == 2).sum(), (rare == 1).sum(), (rare == 2).sum(), tables.sum()])
+        sums = [np.bincount(part.contexts, weights=w, minlength=size).astype(np.int64) for w in (tables, part.counts)]
         out = [
-            *_chunks(0, np.bincount(part.contexts, weights=tables, minlength=size)),
-            *_chunks(1, np.bincount(part.contexts, weights=part.counts, minlength=size)),
+            *_chunks(0, sums[0][: FREQUENT + 1]),
+            *_chunks(1, sums[1][: FREQUENT + 1]),
             *_chunks(2, np.bincount(part.at[part.often], weights=by_word[part.often], minlength=max(len(known.words), 1))),
             *_chunks(3, small),
         ]
-        yield arrow(_SUMS, {"kind": [x[0] for x in out], "chunk": [x[1] for x in out], "sums": [x[2] for x in out]})
+        for bucket, own in _by_bucket(part.rare, buckets):
+            columns = (part.rare[own], *(x[FREQUENT + 1 :][own] for x in sums))
+            out.append((_RARE, bucket, _pack_all(*zip(columns, _NEAR, strict=True))))
+        columns = ([x[0] for x in out], [x[1] for x in out], [part.number] * len(out), [x[2] for x in out])
+        yield arrow(_SUMS, dict(zip(("kind", "chunk", "part", "sums"), columns, strict=True)))
+
+
+def _by_bucket(rare: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets of contexts, and the places in ``rare`` that each of them has, in order."""
+    bucket = (rare % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in range(buckets):
+        if cuts[k + 1] > cuts[k]:
+            yield k, order[cuts[k] : cuts[k + 1]]
 
 
 def _added(frame: pd.DataFrame) -> pd.DataFrame:
     total = np.sum([np.frombuffer(x, "<i8") for x in frame["sums"]], axis=0)
-    return pd.DataFrame({"kind": [int(frame["kind"].iloc[0])], "chunk": [int(frame["chunk"].iloc[0])], "sums": [total.astype("<i8").tobytes()]})
+    packed = {"kind": [int(frame["kind"].iloc[0])], "chunk": [int(frame["chunk"].iloc[0])], "part": [-1], "sums": [total.astype("<i8").tobytes()]}
+    return pd.DataFrame(packed)
+
+
+_BACK = "part int, chunk int, sums binary"
+
+
+def _added_near(frame: pd.DataFrame) -> pd.DataFrame:
+    """For a bucket of rare contexts and every part that has some of them, those's tables and customers over all parts."""
+    columns = [_unpack_all(x, *_NEAR) for x in frame["sums"]]
+    _, where = np.unique(np.concatenate([c[0] for c in columns]), return_inverse=True)
+    tables, customers = (np.bincount(where, weights=np.concatenate([c[k] for c in columns])).astype(np.int64) for k in (1, 2))
+    cuts = np.cumsum([0, *(len(c[0]) for c in columns)])
+    own = [where[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    back = [_pack_all((tables[w], 6), (customers[w], 6)) for w in own]
+    return pd.DataFrame({"part": frame["part"].to_numpy(), "chunk": frame["chunk"].to_numpy(), "sums": back})
+
+
+def _read_near(folder: str, part: int, rare: np.ndarray, buckets: int) -> np.ndarray:
+    """Tables and customers over all parts of a part's rare contexts, from the files that ``_next_state`` has written."""
+    out = np.zeros((2, len(rare)), np.int64)
+    if not len(rare):
+        return out
+    store, root = fs.FileSystem.from_uri(folder)
+    files = [f.path for f in store.get_file_info(fs.FileSelector(f"{root}/part={part}")) if f.path.endswith(".parquet")]
+    got = pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read() for f in files])
+    places, filled = dict(_by_bucket(rare, buckets)), 0
+    for chunk, sums in zip(got.column("chunk").to_pylist(), got.column("sums").to_pylist(), strict=True):
+        own = np.array(_unpack_all(sums, 6, 6)).astype(np.int64)
+        out[:, places[chunk]] = own
+        filled += own.shape[1]
+    if filled != len(rare):
+        raise RuntimeError(f"part {part} has {len(rare)} rare contexts and sums of {filled}")
+    return out
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -339,27 +425,35 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-def _next_state(cells: DataFrame, known: Known, state: State | None, seed: int) -> State:
-    shared = cells.sparkSession.sparkContext.broadcast((vars(known), None if state is None else vars(state)))
+def _next_state(cells: DataFrame, known: Known, state: State | None, seed: int, near: str | None, buckets: int) -> tuple[State, str]:
+    """What all parts know after a round, and the folder that has for each part the sums of its rare contexts."""
+    spark = cells.sparkSession
+    shared = spark.sparkContext.broadcast((vars(known), None if state is None else vars(state)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, before = shared.value
-        yield from _statistics(_rows(batches), Known(**own), None if before is None else State(**before))
+        yield from _statistics(_rows(batches), Known(**own), None if before is None else State(**before), near, buckets)
 
-    size = FREQUENT + 1 + SHARED
-    arrays = {0: np.zeros(size, np.int64), 1: np.zeros(size, np.int64), 2: np.zeros(max(len(known.words), 1), np.int64), 3: np.zeros(4, np.int64)}
-    columns = ["part", "words", "first", "contexts", "counts"]
-    sums = cells.select(columns).mapInArrow(work, _SUMS).groupBy("kind", "chunk").applyInPandas(_added, _SUMS)
-    for r in sums.collect():  # bounded by the number of restaurants
+    size = FREQUENT + 1
+    arrays = {0: np.zeros(size, np.int64), 1: np.zeros(size, np.int64), 2: np.zeros(max(len(known.words), 1), np.int64), 3: np.zeros(5, np.int64)}
+    columns = ["part", "words", "first", "contexts", "rare", "counts"]
+    sums = materialise(cells.select(columns).mapInArrow(work, _SUMS))
+    for r in sums.where(F.col("kind") != _RARE).groupBy("kind", "chunk").applyInPandas(_added, _SUMS).collect():  # bounded by FREQUENT
         part = np.frombuffer(r["sums"], "<i8")
         arrays[r["kind"]][r["chunk"] * _CHUNK : r["chunk"] * _CHUNK + len(part)] = part
-    one, two, top_one, top_two = arrays[3].tolist()
-    return State(
+    folder = scratch_folder(spark, "near")
+    if "://" not in folder and not folder.startswith("file:"):
+        folder = f"file://{folder}"
+    back = sums.where(F.col("kind") == _RARE).groupBy("chunk").applyInPandas(_added_near, _BACK)
+    back.repartition("part").write.partitionBy("part").parquet(folder)
+    one, two, top_one, top_two, tables = arrays[3].tolist()
+    after = State(
         arrays[0], arrays[1], arrays[2],
         discount=min(max(one / max(one + 2 * two, 1), 0.1), 0.95),
         top_discount=min(max(top_one / max(top_one + 2 * top_two, 1), 0.1), 0.95),
-        all_tables=int(arrays[0].sum()), distinct=known.distinct, seed=seed,
+        all_tables=tables, distinct=known.distinct, seed=seed,
     )
+    return after, folder
 
 
 _PARTIAL = "bucket int, sums binary, homes binary"
@@ -382,17 +476,17 @@ def _dealt(columns: list[np.ndarray], buckets: int) -> dict[int, list[np.ndarray
     }
 
 
-def _scores(batches: Iterator[pa.RecordBatch], known: Known, state: State, buckets: int) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], known: Known, state: State, buckets: int, near: str, near_buckets: int) -> Iterator[pa.RecordBatch]:
     """Sums over a part of the model for the texts it has tokens of, packed by buckets of portions."""
     for row in _rows(batches):
-        part = Part(row, known)
+        part = Part(row, known, near, near_buckets)
         total = np.zeros(len(part.counts))
-        customers = state.customers[part.contexts]
+        customers = part.customers(state)
         for draw in range(SAMPLES if len(part.counts) else 0):
             tables = part.seated(state, 1 + draw)
             below = part.word_tables(tables, state)
             base = np.where(part.word_counts > 0, state.parent(below), state.unseen())[part.word]
-            room = CONCENTRATION + state.discount * state.tables[part.contexts]
+            room = CONCENTRATION + state.discount * part.tables(state)
             total += (np.maximum(part.counts - state.discount * tables, 0) + room * base) / (CONCENTRATION + customers)
         log_p = np.log10(total / SAMPLES)
         rare = np.where(part.often, 0.0, known.base(part.word_counts))
@@ -501,9 +595,8 @@ def vocabulary(texts: DataFrame) -> Known:
 def score_texts(docs: DataFrame, seed: int = 0) -> DataFrame:
     """Scores of every row under the model and under the smoothed word counts.
 
-    Restaurants: one for each frequent context word, further ones that rare
-    context words share by hash, one for beginnings of texts; all have the same
-    parent. Every distinct word and pair of the training texts counts. Words
+    Restaurants: one for each context word, one for beginnings of texts; all
+    have the same parent. Every distinct word and pair of the training texts counts. Words
     are told apart by 64-bit hashes. A seating is sampled part by part; after
     each round the parts learn each other's tables.
 
@@ -530,13 +623,14 @@ def score_texts(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     packed = texts.select("_key", "_train", "_text").mapInArrow(pack, _PACKED)
     cells = materialise(packed.groupBy("part").applyInPandas(_cells, _CELLS))
-    state = _next_state(cells, known, None, seed)
+    near_buckets = max(8, parts // 4)
+    state, near = _next_state(cells, known, None, seed, None, near_buckets)
     for turn in range(ROUNDS):
-        state = _next_state(cells, known, state, seed + turn + 1)
+        state, near = _next_state(cells, known, state, seed + turn + 1, near, near_buckets)
     last = context.broadcast(vars(state))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _scores(batches, Known(**words.value), State(**last.value), parts)
+        return _scores(batches, Known(**words.value), State(**last.value), parts, near, near_buckets)
 
     sums = cells.mapInArrow(finish, _PARTIAL).groupBy("bucket").applyInPandas(_whole, _SCORES)
     # one row of sums for every row of the table; rows that repeat identifier and text share a key
