@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelanes.llm import bpe, chat, ctph, exact_dedup, hpy_lm, mixing, quality_crf, simhash, toxicity_svm, warc
+from tradelanes.llm import bpe, chat, ctph, exact_dedup, hpy_lm, line_dedup, mixing, quality_crf, simhash, toxicity_svm, warc
 from tradelanes.llm.common import table
 
 #: What the added conversation says in both of its turns.
@@ -63,11 +63,17 @@ def op10_piecewise_hash(spark: SparkSession, folder: str) -> DataFrame:
     return ctph.compare_with_edits(table(spark, folder, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.drop_shared_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_crf, op2_pitman_yor_lm, op3_exact_dedup, op4_byte_bpe, op5_toxicity_svm,
         op6_chat_format, op7_warc, op8_mixing, op9_simhash, op10_piecewise_hash,
+        op11_line_dedup,
     )
 }
 
@@ -139,5 +145,19 @@ SELECT doc_id, size, source_size, target,
         + greatest(0, least(a + size + 2 * source_size, goal) - a - 2 * source_size))::BIGINT AS taken,
        source
 FROM lines
+""",
+    "op11_line_dedup": r"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM rows),
+keys AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines
+), shared AS (
+  SELECT k, max(doc_id) AS keeper FROM keys WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), marked AS (SELECT keys.*, coalesce(keys.doc_id <> keeper, false) AS gone FROM keys LEFT JOIN shared USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r
 """,
 }
