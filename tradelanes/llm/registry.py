@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelanes.llm import bpe, chat, ctph, exact_dedup, hpy_lm, line_dedup, mixing, quality_crf, simhash, toxicity_svm, warc
+from tradelanes.llm import bpe, chat, collocations, ctph, exact_dedup, hpy_lm, line_dedup, mixing, quality_crf, simhash, toxicity_svm, warc
 from tradelanes.llm.common import table
 
 #: What the added conversation says in both of its turns.
@@ -68,12 +68,16 @@ def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_crf, op2_pitman_yor_lm, op3_exact_dedup, op4_byte_bpe, op5_toxicity_svm,
         op6_chat_format, op7_warc, op8_mixing, op9_simhash, op10_piecewise_hash,
-        op11_line_dedup,
+        op11_line_dedup, op12_collocations,
     )
 }
 
@@ -159,5 +163,33 @@ keys AS (
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY r
+""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), spelled AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM spelled GROUP BY lang),
+placed AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM spelled, range(1, 6) AS lengths(k)),
+f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM placed GROUP BY ALL HAVING count(*) >= 100
+), split AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+covered AS (
+  SELECT lang, array_to_string(w[1:k - 1], ' ') AS phrase, a FROM split WHERE k > 2
+  UNION SELECT lang, array_to_string(w[2:k], ' '), a FROM split WHERE k > 2
+), cuts AS (
+  SELECT s.*, unnest(range(1, s.k)) AS c FROM split s WHERE (s.lang, s.phrase, s.a) NOT IN (SELECT (lang, phrase, a) FROM covered)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, l.a AS l, r.a AS r, n, c,
+         ((1000::HUGEINT * cuts.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM cuts JOIN sizes USING (lang)
+  JOIN f l ON l.lang = cuts.lang AND l.phrase = array_to_string(cuts.w[1:c], ' ')
+  JOIN f r ON r.lang = cuts.lang AND r.phrase = array_to_string(cuts.w[c + 1:cuts.k], ' ')
+), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """,
 }
