@@ -64,7 +64,7 @@ def made_up(seed=3, n=400):
     return rows
 
 
-@pytest.mark.parametrize("sampled, lowered", [(8, 0.5), (1000, 0.5), (1, 1.0)])
+@pytest.mark.parametrize("sampled, lowered", [(8, 0.25), (1 << 20, 0.5), (1, 1.0)])
 def test_against_a_plain_count(spark, monkeypatch, sampled, lowered):
     monkeypatch.setattr(collocations, "SAMPLED", sampled)
     monkeypatch.setattr(collocations, "LOWERED", lowered)

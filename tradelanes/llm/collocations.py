@@ -18,24 +18,25 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradelanes.llm.common import lower_ascii, portions, utf8, whole_text
+from tradelanes.llm.common import arrow, lower_ascii, portions, span_hashes, utf8, whole_text
 from tradelanes.session import materialise
 
 #: Words of the longest phrase, occurrences that make a phrase frequent, phrases kept of each language.
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-#: One document in so many is in the sample; a phrase is proposed at this share of what its sample should have.
+#: One stretch of text in so many is in the sample, of so many bytes; a phrase is proposed at this share of what its sample should have.
 SAMPLED = 8
-LOWERED = 0.5
-#: Bits of a filter of proposed phrases: 16 MB, whatever the corpus. Where it is full it lets more be counted, never less.
+STRETCH = 512
+LOWERED = 0.25
+#: A filter of phrases has 32 bits for each, 2**27 bits (16 MB) at most. Where it is full it lets more be counted, never less.
 FILTER_BITS = 27
-
 #: Bytes of text taken at a time; a longer text is read in stretches of it.
-_PORTION = 4 << 20
-_COUNTED = "_lang string, _words int, _h1 bigint, _h2 bigint, _count bigint"
-_SPELLED = "_lang string, _words int, _h1 bigint, _h2 bigint, _phrase string"
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_PORTION = 2 << 20
+_COUNTED = "_h bigint, _count bigint"
+_SPELLED = "lang string, words int, phrase string, f bigint"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(7)
 _WORD = re.compile(rb"[^ \t\n\x0b\x0c\r.,;:!?]+")
 _NO_WORD = re.compile(rb"[ \t\n\x0b\x0c\r.,;:!?]")
 
@@ -68,159 +69,151 @@ def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.
             start = own
 
 
+def drawn(texts: pa.Array, languages: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """One stretch of bytes in ``SAMPLED``, each a text of its own; words cut at its ends are no harm in a sample."""
+    data, offsets = utf8(texts)
+    seed = np.frombuffer(data[:STRETCH].tobytes() + len(data).to_bytes(8, "little"), dtype=np.uint8)
+    pick = np.random.default_rng(seed).random(-(-len(data) // STRETCH)) < 1 / SAMPLED
+    keep = np.repeat(pick, STRETCH)[: len(data)]
+    edges = np.union1d(np.arange(0, len(data) + 1, STRETCH), offsets)
+    starts = edges[:-1][keep[edges[:-1]]] if len(data) else np.zeros(0, np.int64)
+    kept = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(keep, out=kept[1:])
+    cuts = np.append(kept[starts], kept[-1])
+    parts = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data[keep]))]
+    )
+    return parts, languages.take(pa.array(np.searchsorted(offsets, starts, side="right") - 1))
+
+
 class Words:
-    """The words of some texts in order: which each is, two hashes of its spelling, its language, text and piece."""
+    """The words of some texts in order: their bytes, language, text and piece."""
 
-    def __init__(self, texts: pa.Array, languages: pa.Array, own: int):
+    def __init__(self, texts: pa.Array, languages: pa.Array, own: int | None = None):
         data, offsets = utf8(texts)
-        data = lower_ascii(data)
-        blank = (data == 32) | (data == 9)
+        self.data = data = lower_ascii(data)
         breaks = (data >= 10) & (data <= 13)
         for mark in b".,;:!?":
             breaks |= data == mark
-        word = ~(blank | breaks)
-        fresh = np.zeros(len(data) + 1, dtype=bool)
-        fresh[offsets] = True
-        before = np.zeros(len(data), dtype=bool)
-        before[1:] = word[:-1]
-        starts = np.flatnonzero(word & (~before | fresh[:-1]))
-        self.own = starts < own
-        self.row = np.searchsorted(offsets, starts, side="right") - 1
-        self.piece = np.cumsum(breaks)[starts]
-        letters = np.zeros(len(data) + 1, dtype=np.int64)
-        np.cumsum(word, out=letters[1:])
-        ends = np.append(letters[starts], letters[-1])
-        spelled = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[word]))]
-        ).dictionary_encode()
-        self.which = spelled.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.spelled = spelled.dictionary.to_pylist()
-        digests = b"".join(xxhash.xxh3_128_digest(w) for w in self.spelled)
-        self.digests = np.frombuffer(digests, dtype=">u8").astype(np.uint64).reshape(-1, 2)
+        word = ~(breaks | (data == 32) | (data == 9))
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[offsets] = True
+        apart = np.append(True, ~word)
+        self.starts = np.flatnonzero(word & (apart[:-1] | edge[:-1]))
+        apart = np.append(~word[1:], True) if len(word) else word
+        self.ends = np.flatnonzero(word & (apart | edge[1:])) + 1
+        self.own = self.starts < (len(data) if own is None else own)
+        self.row = (np.searchsorted(offsets, self.starts, side="right") - 1).astype(np.int32)
+        self.piece = np.cumsum(breaks, dtype=np.int32)[self.starts]
         coded = languages.dictionary_encode()
         self.languages = coded.dictionary.to_pylist()
-        self.language = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[self.row]
+        self.language = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)[self.row]
+        self.spelled = span_hashes(data, self.starts, self.ends)
 
-    def first(self) -> list[np.ndarray]:
-        """Two hashes of each word in its language."""
+    def phrases(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length: where a phrase of so many words begins, and its hash, whose last three bits are the length."""
+        n = len(self.starts)
         seeds = np.array([xxhash.xxh64_intdigest(x.encode()) for x in self.languages], dtype=np.uint64)
-        return [_spread(self.digests[self.which, k] ^ seeds[self.language]) for k in (0, 1)]
-
-    def grown(self, hashes: list[np.ndarray], length: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Where phrases of ``length`` words begin and two hashes of each, from those of one word less."""
-        n, last = len(self.which), length - 1
-        whole = np.zeros(n, dtype=bool)
-        out = [h.copy() for h in hashes]
-        if n > last:
-            a, b = slice(0, n - last), slice(last, n)
+        whole, h = np.ones(n, dtype=bool), _spread(self.spelled ^ seeds[self.language])
+        yield 1, whole, (h & ~_LENGTH) | np.uint64(1)
+        for length in range(2, LONGEST + 1):
+            last = length - 1
+            whole, a, b = np.zeros(n, dtype=bool), slice(0, max(n - last, 0)), slice(last, n)
             whole[a] = (self.row[a] == self.row[b]) & (self.piece[a] == self.piece[b])
-            for k in (0, 1):
-                out[k][a] = _spread(hashes[k][a] * _MIX[k] + self.digests[self.which[b], k])
-        return whole, out
+            h = h.copy()
+            h[a] = _spread(h[a] * _MIX + self.spelled[b])
+            yield length, whole, (h & ~_LENGTH) | np.uint64(length)
 
-    def phrase(self, at: np.ndarray, length: int) -> list[bytes]:
-        rows = np.stack([self.which[at + k] for k in range(length)], axis=1).tolist()
-        return [b" ".join([self.spelled[w] for w in row]) for row in rows]
+    def text(self, at: int, length: int) -> str:
+        spans = zip(self.starts[at : at + length].tolist(), self.ends[at : at + length].tolist(), strict=True)
+        return b" ".join([self.data[s:e].tobytes() for s, e in spans]).decode("utf-8", "replace")
 
 
 def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which hashes a filter has."""
-    slot = h >> np.uint64(64 - FILTER_BITS)
+    slot = h >> np.uint64(64 - (len(bits).bit_length() + 5))
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
-def wanted(words: Words, filters: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """Length, places and hashes of the phrases to be counted in this pass.
+def wanted(words: Words, filters: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Hashes of the phrases to be counted in this pass, one array for each length.
 
     Without a filter all are. With one, every word is, and a phrase when the
     filter has both the phrase without its last word and that without its
     first. Further filters belong to further passes: what an earlier filter
     let through has been counted already.
     """
-    hashes, whole = words.first(), np.ones(len(words.which), dtype=bool)
-    for length in range(1, LONGEST + 1):
+    shorter: list[np.ndarray] = []
+    for length, whole, h in words.phrases():
+        whole = whole & words.own
         if length > 1:
-            shorter = [marked(bits, hashes[0]) for bits in filters]
-            whole, hashes = words.grown(hashes, length)
             both = [had & np.append(had[1:], False) for had in shorter]
             for k, had in enumerate(both):
                 whole &= had if k == len(both) - 1 else ~had
-        at = np.flatnonzero(whole & words.own) if length > 1 or len(filters) < 2 else np.zeros(0, np.int64)
-        yield length, at, [h[at] for h in hashes]
+        elif len(filters) > 1:
+            whole[:] = False
+        shorter = [marked(bits, h) for bits in filters]
+        yield h[whole]
 
 
-def _counting(filters: list):
+def _counting(filters: list, sample: bool):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [f.value for f in filters]
         for texts, languages, own in stretches(batches):
-            words = Words(texts, languages, own)
-            for length, at, (h1, h2) in wanted(words, bits):
-                if length == 1 and len(bits) < 2:
-                    sums = np.bincount(words.language[words.own], minlength=len(words.languages))
-                    yield _batch(_COUNTED, words.languages, [0] * len(sums), [0] * len(sums), [0] * len(sums), sums)
-                if len(at):
-                    order = np.lexsort((h2, h1))
-                    h1, h2 = h1[order], h2[order]
-                    edge = np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
-                    n = len(edge)
-                    yield _batch(
-                        _COUNTED, pa.nulls(n, pa.string()), np.full(n, length, np.int32),
-                        h1[edge].view(np.int64), h2[edge].view(np.int64), np.diff(np.append(edge, len(order))),
-                    )
+            words = Words(*drawn(texts, languages)) if sample else Words(texts, languages, own)
+            for hashes in wanted(words, bits):
+                if len(hashes):
+                    hashes, sums = np.unique(hashes, return_counts=True)
+                    yield arrow(_COUNTED.replace("bigint", "long"), {"_h": hashes.view(np.int64), "_count": sums})
 
     return count
 
 
 def _spelling(bits):
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _SPELLED.replace("bigint", "long")
         for texts, languages, own in stretches(batches):
             words = Words(texts, languages, own)
-            hashes, whole = words.first(), words.own
-            for length in range(1, LONGEST + 1):
-                if length > 1:
-                    whole, hashes = words.grown(hashes, length)
-                at = np.flatnonzero(whole & words.own & marked(bits.value, hashes[0]))
+            sums = np.bincount(words.language[words.own], minlength=len(words.languages))
+            zeros = [0] * len(sums)
+            yield arrow(schema, {"lang": words.languages, "words": zeros, "phrase": [""] * len(sums), "f": sums})
+            for length, whole, h in words.phrases():
+                at = np.flatnonzero(whole & words.own & marked(bits.value, h))
                 if len(at):
-                    h1, where = np.unique(hashes[0][at], return_index=True)
-                    at = at[where]
-                    yield _batch(
-                        _SPELLED, [words.languages[k] for k in words.language[at].tolist()], np.full(len(at), length, np.int32),
-                        h1.view(np.int64), hashes[1][at].view(np.int64), [p.decode("utf-8", "replace") for p in words.phrase(at, length)],
-                    )
+                    _, first, sums = np.unique(h[at], return_index=True, return_counts=True)
+                    at = at[first]
+                    yield arrow(schema, {
+                        "lang": [words.languages[k] for k in words.language[at].tolist()],
+                        "words": np.full(len(at), length),
+                        "phrase": [words.text(x, length) for x in at.tolist()],
+                        "f": sums,
+                    })
 
     return spell
 
 
-def _batch(schema: str, *columns) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
-    names, types = zip(*[part.split() for part in schema.split(",")], strict=True)
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c, pa.Array) else pa.array(c, type=kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names)
-    )
-
-
 def _filter(phrases: DataFrame):
-    """A broadcast set of bits, one for the first bits of each phrase's hash; its size is fixed by ``FILTER_BITS``."""
-    slot = f"shiftrightunsigned(_h1, {64 - FILTER_BITS})"
+    """A broadcast set of bits, one for the first bits of each phrase's hash."""
+    size = min(FILTER_BITS, max(6, (32 * phrases.count()).bit_length()))
+    slot = f"shiftrightunsigned(_h, {64 - size})"
     words = (
         phrases.select(F.expr(f"shiftright({slot}, 6) AS _place"), F.expr(f"shiftleft(1L, CAST({slot} & 63 AS INT)) AS _bit"))
         .groupBy("_place")
         .agg(F.bit_or("_bit").alias("_bits"))
         .toArrow()
     )
-    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    bits = np.zeros(1 << (size - 6), dtype=np.uint64)
     bits[words.column("_place").to_numpy()] = words.column("_bits").to_numpy().view(np.uint64)
     return phrases.sparkSession.sparkContext.broadcast(bits)
 
 
-def _pass(texts: DataFrame, filters: list, least: int) -> DataFrame:
-    counted = texts.mapInArrow(_counting(filters), _COUNTED).groupBy("_lang", "_words", "_h1", "_h2").agg(F.sum("_count").alias("_count"))
-    return materialise(counted.where((F.col("_count") >= least) | F.col("_lang").isNotNull()))
+def _pass(texts: DataFrame, filters: list, least: int, sample: bool = False) -> DataFrame:
+    """Hashes of phrases with at least ``least`` occurrences among those this pass counts."""
+    counted = texts.mapInArrow(_counting(filters, sample), _COUNTED).groupBy("_h").agg(F.sum("_count").alias("_count"))
+    return materialise(counted.where(F.col("_count") >= least).select("_h"))
 
 
-def frequent_phrases(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = LEAST
-) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Every phrase of up to five words with at least ``least`` occurrences, and all words of each language.
 
     The first frame has ``lang``, ``words``, ``phrase`` and ``f``, the second
@@ -230,28 +223,23 @@ def frequent_phrases(
     Each further pass looks at phrases at least a word longer, so there are as
     many passes as a phrase has words at most.
 
-    Only 128 bits of a phrase are shuffled while it is counted, after summing
-    in each task. The sets that tasks look phrases up in have a fixed size.
+    These passes shuffle a 64-bit hash and a sum for each phrase and task.
+    Phrases whose hashes agree are counted together, so that none is missed;
+    the last pass spells out what may be frequent and counts it by its words.
+    The sets that tasks look hashes up in have a fixed size.
     """
-    texts = docs.select(
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang"), whole_text(text_col).alias("_text"), F.col(id_col).alias("_id")
-    )
-    drawn = texts.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(SAMPLED)) == 0).drop("_id")
-    texts = texts.drop("_id")
-    proposed = _pass(drawn, [], max(int(least * LOWERED / SAMPLED), 2)).where("_words BETWEEN 1 AND 4")
+    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang"), whole_text(text_col).alias("_text"))
+    short = f"(_h & 7) < {LONGEST}"
+    proposed = _pass(texts, [], max(int(least * LOWERED / SAMPLED), 2), sample=True).where(short)
     filters = [_filter(proposed)]
     found = _pass(texts, filters, least)
-    while True:
-        short = found.where("_words BETWEEN 1 AND 4")
-        if short.join(proposed, ["_h1", "_h2"], "left_anti").isEmpty():
-            break
-        proposed = short
+    while not found.where(short).join(proposed, "_h", "left_anti").isEmpty():
+        proposed = found.where(short)
         filters.append(_filter(proposed))
         found = found.unionByName(_pass(texts, filters, least))
-    phrases = found.where("_words > 0").drop("_lang", "_words")
-    spelled = texts.mapInArrow(_spelling(_filter(phrases)), _SPELLED).distinct()
-    named = materialise(spelled.join(phrases, ["_h1", "_h2"]).drop("_h1", "_h2").toDF("lang", "words", "phrase", "f"))
-    return named, found.where("_words = 0 AND _count > 0").select(F.col("_lang").alias("lang"), F.col("_count").alias("n"))
+    spelled = texts.mapInArrow(_spelling(_filter(found)), _SPELLED).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    named = materialise(spelled.where((F.col("words") == 0) | (F.col("f") >= least)))
+    return named.where("words > 0"), named.where("words = 0 AND f > 0").select("lang", F.col("f").alias("n"))
 
 
 def scored_phrases(phrases: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -310,9 +298,7 @@ def top_phrases(scored: DataFrame, top: int = TOP) -> DataFrame:
     return share.select("lang", F.col("_rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-def collocations(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP
-) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
     """The phrases of each language whose words keep company most: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``.
 
     A-Z are made small, texts split at ``.,;:!?`` and line breaks into pieces,
@@ -321,9 +307,8 @@ def collocations(
 
     Defined cases: a missing text has no words; a missing language is ``und``.
     A language without words or without frequent phrases is not in the result.
-    Identifiers serve to draw the sample only, so missing or equal ones and
-    repeated rows are counted like any others. Ties are ordered by spelling, in
+    Identifiers aren't read; repeated rows are counted like any others. Ties are ordered by spelling, in
     the order of bytes. An empty table gives an empty result. Other columns,
     whatever their names, are neither read nor returned.
     """
-    return top_phrases(scored_phrases(*frequent_phrases(docs, id_col, text_col, lang_col, least)), top)
+    return top_phrases(scored_phrases(*frequent_phrases(docs, text_col, lang_col, least)), top)
