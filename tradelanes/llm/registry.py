@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelanes.llm import bpe, chat, collocations, ctph, exact_dedup, hpy_lm, line_dedup, mixing, quality_crf, simhash, toxicity_svm, warc
+from tradelanes.llm import bpe, chat, collocations, ctph, exact_dedup, hpy_lm, line_dedup, mixing, quality_crf, simhash, spelling, toxicity_svm, warc
 from tradelanes.llm.common import table
 
 #: What the added conversation says in both of its turns.
@@ -72,12 +72,16 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_crf, op2_pitman_yor_lm, op3_exact_dedup, op4_byte_bpe, op5_toxicity_svm,
         op6_chat_format, op7_warc, op8_mixing, op9_simhash, op10_piecewise_hash,
-        op11_line_dedup, op12_collocations,
+        op11_line_dedup, op12_collocations, op13_spelling_variants,
     )
 }
 
