@@ -124,9 +124,23 @@ class Words:
             h[a] = _spread(h[a] * _MIX + self.spelled[b])
             yield length, whole, (h & ~_LENGTH) | np.uint64(length)
 
-    def text(self, at: int, length: int) -> str:
-        spans = zip(self.starts[at : at + length].tolist(), self.ends[at : at + length].tolist(), strict=True)
-        return b" ".join([self.data[s:e].tobytes() for s, e in spans]).decode("utf-8", "replace")
+    def texts(self, at: np.ndarray, length: int) -> pa.Array:
+        """Phrases of ``length`` words, spelled with one blank between words."""
+        first, end = self.starts[at], self.ends[at + length - 1]
+        letters = sum(self.ends[at + k] - self.starts[at + k] for k in range(length))
+        plain = end - first == letters + length - 1  # one blank or tab between words: a slice of the text
+        size = np.where(plain, end - first, 0)
+        offsets = np.append(0, np.cumsum(size))
+        where = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) + np.repeat(first, size)
+        data = self.data[where]
+        data[data == 9] = 32
+        sliced = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        if plain.all():
+            return sliced.cast(pa.large_string())
+        out = sliced.to_pylist()
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = b" ".join(self.data[self.starts[at[i] + k] : self.ends[at[i] + k]].tobytes() for k in range(length))
+        return pa.array(out, type=pa.large_binary()).cast(pa.large_string())
 
 
 def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -183,9 +197,9 @@ def _spelling(bits):
                     _, first, sums = np.unique(h[at], return_index=True, return_counts=True)
                     at = at[first]
                     yield arrow(schema, {
-                        "lang": [words.languages[k] for k in words.language[at].tolist()],
+                        "lang": pa.array(words.languages).take(pa.array(words.language[at])),
                         "words": np.full(len(at), length),
-                        "phrase": [words.text(x, length) for x in at.tolist()],
+                        "phrase": words.texts(at, length),
                         "f": sums,
                     })
 
