@@ -9,7 +9,7 @@ from catalog.base import query
 from tradelanes.operators.alerts import CORRIDOR
 from tradelanes.plans.shared_tables import SharedTables
 from tradelanes.session import scratch_folder
-from tradelanes.streaming.hazard_stream import stream_hazard
+from tradelanes.streaming.hazard_stream import hazard_days, stream_hazard
 
 
 @query(
@@ -22,16 +22,15 @@ from tradelanes.streaming.hazard_stream import stream_hazard
          LEFT JOIN classes c ON c.spelling = lower(trim(e.classification))
          LEFT JOIN decisions d ON d.spelling = lower(trim(e.risk_decision)) WHERE e.commodity_hs <> '') q
        JOIN class_weights cw ON cw.kind = ck JOIN decision_weights dw ON dw.kind = dk
-       WHERE day + 1 <= (SELECT max(CAST(coalesce(date, notification_date) AS DATE)) FROM raw) - 30
-       GROUP BY 1, 2, 3, 4""",
+       WHERE day IS NOT NULL GROUP BY 1, 2, 3, 4""",
     "severity",
 )
-def hazard_days(t: SharedTables) -> DataFrame:
-    """The days that are final once every notification has arrived."""
+def streamed_days(t: SharedTables) -> DataFrame:
+    """All days, after notifications have arrived in four batches and in no order of time."""
     source, sink = scratch_folder(t.spark, "arrivals"), scratch_folder(t.spark, "days")
     dated = t.raw.withColumn("event_time", F.to_timestamp(F.concat(F.coalesce("date", "notification_date"), F.lit("T00:00:00Z"))))
-    dated.write.parquet(source)
-    arrivals = t.spark.readStream.schema(dated.schema).parquet(source)
+    dated.repartition(4, "row_id").write.parquet(source)
+    arrivals = t.spark.readStream.schema(dated.schema).option("maxFilesPerTrigger", 1).parquet(source)
     stream_hazard(arrivals, t.book, sink, scratch_folder(t.spark, "progress")).awaitTermination()
-    days = t.spark.read.parquet(sink)
+    days = hazard_days(t.spark, sink)
     return days.select(F.col("day").cast("string").alias("day"), *CORRIDOR, "severity", "events")
