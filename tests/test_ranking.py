@@ -90,3 +90,39 @@ def test_small_values_keep_their_order(spark):
     assert [r.p for r in got] == pytest.approx([0, 1 / 3, 2 / 3, 1, None])
     near = spark.range(1).select(ranking.stable(ranking.F.lit(0.1) + 0.2) == ranking.stable(ranking.F.lit(0.3)))
     assert near.first()[0]
+
+
+@pytest.mark.parametrize("few", [3, 10_000])
+def test_narrowed_quantiles_are_exact(spark, monkeypatch, few):
+    monkeypatch.setattr(ranking, "_FEW", few)
+    monkeypatch.setattr(ranking, "_ERROR", 100 if few == 3 else 10_000)
+    rng = np.random.default_rng(4)
+    columns = {
+        "distinct": rng.normal(size=5000),
+        "hot": np.where(rng.random(5000) < 0.4, 1.5, rng.normal(size=5000)),
+        "two": rng.choice([1.0, 2.0], 5000),
+        "same": np.full(5000, -3.25),
+        "gaps": np.where(rng.random(5000) < 0.999, np.nan, rng.random(5000)),
+        "none": np.full(5000, np.nan),
+    }
+    cells = zip(*[[None if np.isnan(x) else float(x) for x in c] for c in columns.values()], strict=True)
+    df = spark.createDataFrame(list(cells), ", ".join(f"{c} double" for c in columns)).repartition(7)
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = ranking.narrowed_quantiles(df, list(columns), probs)
+    for name, values in columns.items():
+        known = values[~np.isnan(values)]
+        want = np.quantile(known, probs).tolist() if len(known) else [None] * len(probs)
+        assert got[name] == (pytest.approx(want, rel=1e-12) if len(known) else want), name
+
+
+def test_narrowed_quantiles_leave_the_column_where_it_is(spark):
+    """What is grouped and ordered at the end is a few rows, of a column with no value twice."""
+    df = spark.range(0, 400_000, numPartitions=8).selectExpr("CAST(id * 7919 % 400009 AS DOUBLE) AS x")
+    got = ranking.narrowed_quantiles(df, ["x"], [0.25, 0.5, 0.75])
+    values = sorted(i * 7919 % 400_009 for i in range(400_000))
+    assert got["x"] == pytest.approx(np.quantile(values, [0.25, 0.5, 0.75]).tolist())
+
+
+def test_narrowed_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([], "x double")
+    assert ranking.narrowed_quantiles(df, ["x"], [0.5]) == {"x": [None]}

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tradelanes import schemas
 from tradelanes.functions.guards import ratio
-from tradelanes.operators.ranking import exact_quantiles
-from tradelanes.session import materialise
+from tradelanes.operators.ranking import narrowed_quantiles
 
 NULL_CHECKED = ["primaryValue", "netWgt", "reporterDesc", "partnerDesc", "cmdDesc"]
 
@@ -98,41 +97,27 @@ def validate_trade(trade: DataFrame) -> DataFrame:
 def describe_trade(trade: DataFrame) -> DataFrame:
     """Count, mean, deviation, extremes, exact quartiles, total and NULLs of value and weight.
 
-    One pass reduces the trade rows to counts of distinct values, with partial
-    sums before the shuffle; everything else is taken from those.
+    All but the quartiles come from one aggregation. Quartiles are narrowed
+    down by further aggregations, see :func:`ranking.narrowed_quantiles`; no
+    column is sorted or shuffled.
     """
     columns = ["primaryValue", "netWgt"]
-    laid = trade.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]))
-    )
-    counts = materialise(laid.groupBy("column", "value").agg(F.count("*").alias("count")))
-    value, count = F.col("value"), F.col("count")
-    known = F.when(value.isNotNull(), count)
-    sums = counts.groupBy("column").agg(
-        F.coalesce(F.sum(known), F.lit(0)).alias("count"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.coalesce(F.sum(value * count), F.lit(0.0)).alias("total"),
-        F.coalesce(F.sum(F.when(value.isNull(), count)), F.lit(0)).alias("null_count"),
-    )
-    means = materialise(sums.withColumn("mean", ratio(F.col("total"), F.col("count"))))
-    away = value - F.col("mean")
-    spread = counts.join(means.select("column", "mean"), "column").groupBy("column").agg(
-        F.sum(away * away * count).alias("_squares")
-    )
-    quartiles = [
-        exact_quantiles(counts.where(F.col("column") == c), "value", [0.25, 0.5, 0.75]).select(
-            F.lit(c).alias("column"),
-            F.col("q0").alias("q25"),
-            F.col("q1").alias("q50"),
-            F.col("q2").alias("q75"),
+    quartiles = narrowed_quantiles(trade, columns, [0.25, 0.5, 0.75])
+    facts = trade.agg(
+        F.inline(
+            F.array(*[
+                F.struct(
+                    F.lit(c).alias("column"),
+                    F.count(c).alias("count"),
+                    F.min(c).alias("min"),
+                    F.max(c).alias("max"),
+                    F.coalesce(F.sum(c), F.lit(0.0)).alias("total"),
+                    F.count_if(F.col(c).isNull()).alias("null_count"),
+                    F.stddev_samp(c).alias("std"),
+                    *[F.lit(q).cast("double").alias(f"q{p}") for p, q in zip((25, 50, 75), quartiles[c], strict=True)],
+                )
+                for c in columns
+            ])
         )
-        for c in columns
-    ]
-    std = F.when(F.col("count") > 1, F.sqrt(F.col("_squares") / (F.col("count") - 1)))
-    return (
-        means.join(spread, "column")
-        .join(quartiles[0].unionByName(quartiles[1]), "column")
-        .withColumn("std", std)
-        .drop("_squares")
-    )
+    )
+    return facts.withColumn("mean", ratio(F.col("total"), F.col("count")))
