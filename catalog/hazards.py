@@ -11,7 +11,7 @@ from tradelanes import dimensions
 from tradelanes.functions import formulas
 from tradelanes.functions.periods import to_period_yyyymm
 from tradelanes.functions.text import extract_hazard_categories
-from tradelanes.operators import alerts, consumption, dependency, explore, hazard, scoring
+from tradelanes.operators import alerts, calibration, consumption, dependency, explore, hazard, scoring
 from tradelanes.operators.alerts import CORRIDOR
 from tradelanes.plans import runs
 from tradelanes.plans.shared_tables import SharedTables
@@ -409,14 +409,14 @@ def score_hybrid(t: SharedTables) -> DataFrame:
     "scoring_config",
     f"""SELECT {_KEY}, sum(severity * pow(0.5, greatest((cur_period // 100) * 12 + cur_period % 100
         - (period // 100) * 12 - period % 100, 0))) AS his FROM touched JOIN corridor_base USING ({_KEY}) CROSS JOIN cur
-        WHERE commodity_hs = '100630' GROUP BY 1, 2, 3""",
+        GROUP BY 1, 2, 3""",
     "his",
 )
 def scoring_config(t: SharedTables) -> DataFrame:
     """The decay set in the configuration reaches the hazard intensity."""
     config = scoring.ScoringConfig(alpha=0.5)
     table = runs.run_hazard(t.raw, t.book, config.alpha).metrics
-    return table.where("commodity_hs = '100630' AND notification_count > 0").select(*CORRIDOR, "his")
+    return table.where("notification_count > 0").select(*CORRIDOR, "his")
 
 
 @query(
@@ -531,3 +531,22 @@ def convergent_signal(t: SharedTables) -> DataFrame:
 )
 def inspection_priority(t: SharedTables) -> DataFrame:
     return runs.inspection_priority(t.scored).select(*CORRIDOR, "priority", "cvs", "his")
+
+
+@query(
+    "weight_calibration",
+    """SELECT 'mixed' AS input, round(ln(with_both * neither / (only_mixed * only_high)), 4) AS coefficient,
+       CASE WHEN with_both * neither > only_mixed * only_high THEN 1.0::DOUBLE END AS weight,
+       round(ln(only_high / neither), 4) AS intercept FROM (
+         SELECT count(*) FILTER (hdi > 0 AND his >= level)::DOUBLE AS with_both, count(*) FILTER (hdi > 0 AND his < level)::DOUBLE AS only_mixed,
+                count(*) FILTER (NOT hdi > 0 AND his >= level)::DOUBLE AS only_high,
+                count(*) FILTER (NOT hdi > 0 AND his < level)::DOUBLE AS neither
+         FROM metrics, (SELECT avg(his) AS level FROM metrics))""",
+    "coefficient weight intercept",
+)
+def weight_calibration(t: SharedTables) -> DataFrame:
+    """Do hazards of several kinds tell an intensity above the mean? One 0/1 input has a closed form to compare with."""
+    level = t.metrics.agg(F.avg("his")).scalar()
+    rows = t.metrics.select((F.col("hdi") > 0).cast("int").alias("mixed"), (F.col("his") >= level).cast("int").alias("high"))
+    found = calibration.weight_calibration(rows, "high", ("mixed",))
+    return found.select("input", F.round("coefficient", 4).alias("coefficient"), "weight", F.round("intercept", 4).alias("intercept"))
