@@ -104,12 +104,13 @@ def top_corridors(t: SharedTables) -> DataFrame:
 
 @query(
     "commodity_corridors",
-    f"""SELECT {_SHORT}, names FROM metrics JOIN hs_names ON hs_code = commodity_hs WHERE commodity_hs = '190532'""",
+    f"""SELECT {_SHORT}, names, '090421' AS hs_code FROM metrics LEFT JOIN hs_names ON hs_code = '090421'
+        WHERE commodity_hs IN ('90421', '090421')""",
     _DOUBLES,
 )
 def commodity_corridors(t: SharedTables) -> DataFrame:
-    found = explore.commodity_corridors(t.metrics, explore.hs_code_names(t.commodities), "190532")
-    return found.select(*_SHORT_LIST, "names")
+    found = explore.commodity_corridors(t.metrics, explore.hs_code_names(t.commodities), "090421")
+    return found.select(*_SHORT_LIST, "names", "hs_code")
 
 
 @query(
@@ -135,14 +136,15 @@ def sort_page(t: SharedTables) -> DataFrame:
 
 @query(
     "list_countries",
-    """SELECT m49, min(name) AS name, bool_or(is_eu27) AS is_eu27, max(n) AS suppliers FROM book
-       JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = ord
-       WHERE is_eu27 GROUP BY 1""",
+    """SELECT m49, min(name) AS name, bool_or(is_eu27) AS is_eu27, coalesce(max(n), 0) AS suppliers FROM book
+       LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = ord
+       WHERE is_eu27 AND m49 <> 0 GROUP BY 1""",
 )
 def list_countries(t: SharedTables) -> DataFrame:
-    """Member states, with the suppliers each has."""
+    """All member states, with the suppliers each has, if any."""
     suppliers = t.table("supplier").groupBy((F.col("s_nationkey") + 1).alias("m49")).agg(F.count("*").alias("suppliers"))
-    return explore.list_countries(t.countries, eu_only=True).join(suppliers, "m49")
+    states = explore.list_countries(t.countries, eu_only=True).join(suppliers, "m49", "left")
+    return states.na.fill(0, ["suppliers"])
 
 
 @query(
@@ -187,10 +189,11 @@ def dashboard_kpis(t: SharedTables) -> DataFrame:
 
 @query(
     "hazard_heatmap",
-    """SELECT origin_country, substr(commodity_hs, 1, 2) AS chapter, max(his) AS max_his FROM metrics
-       WHERE origin_country IN (SELECT origin_country FROM metrics GROUP BY 1 ORDER BY stable(sum(his)) DESC, 1 LIMIT 15)
-       AND substr(commodity_hs, 1, 2) IN (SELECT substr(commodity_hs, 1, 2) FROM metrics GROUP BY 1
-                                          ORDER BY stable(sum(his)) DESC, 1 LIMIT 4) GROUP BY 1, 2""",
+    """WITH whole AS (SELECT *, substr(CASE WHEN length(commodity_hs) IN (3, 5) AND TRY_CAST(commodity_hs AS BIGINT) IS NOT NULL
+                                      THEN '0' ELSE '' END || commodity_hs, 1, 2) AS chapter FROM metrics)
+       SELECT origin_country, chapter, max(his) AS max_his FROM whole
+       WHERE origin_country IN (SELECT origin_country FROM whole GROUP BY 1 ORDER BY stable(sum(his)) DESC, 1 LIMIT 15)
+       AND chapter IN (SELECT chapter FROM whole GROUP BY 1 ORDER BY stable(sum(his)) DESC, 1 LIMIT 4) GROUP BY 1, 2""",
     "max_his",
 )
 def hazard_heatmap(t: SharedTables) -> DataFrame:
@@ -216,7 +219,7 @@ def hs_names_lookup(t: SharedTables) -> DataFrame:
        array_to_string(name_list[1:3], ', ') || CASE WHEN n > 3 THEN '...' ELSE '' END AS sample_commodities FROM hs_names""",
 )
 def hs_code_summary(t: SharedTables) -> DataFrame:
-    return explore.hs_code_summary(explore.hs_code_names(t.commodities))
+    return explore.hs_code_summary(t.commodities)
 
 
 @query("unique_hs_codes", "SELECT DISTINCT hs_code FROM commodities WHERE hs_code IS NOT NULL")

@@ -65,20 +65,17 @@ def list_input_files(t: SharedTables) -> DataFrame:
     return scans.list_input_files(t.spark, path).select("file_name", "length")
 
 
-@query(
-    "scan_notifications",
-    """SELECT classification, risk_decision, count(*) AS rows, count(origin) AS with_origin,
-       count(hs_code) AS with_code, count(date) AS with_date FROM raw GROUP BY 1, 2""",
-)
+_RAW = scans.schemas.NOTIFICATIONS_RAW.fieldNames()
+
+
+_WHOLE_RAW = ", ".join(f'{c} AS "{c}"' for c in _RAW)
+
+
+@query("scan_notifications", f"SELECT {_WHOLE_RAW} FROM raw")
 def scan_notifications(t: SharedTables) -> DataFrame:
-    columns = scans.schemas.NOTIFICATIONS_RAW.fieldNames()
-    path = sinks.write_csv(t.raw.select(columns), scratch_folder(t.spark, "alerts"))
-    return scans.scan_notifications(t.spark, path).groupBy("classification", "risk_decision").agg(
-        F.count("*").alias("rows"),
-        F.count("origin").alias("with_origin"),
-        F.count("hs_code").alias("with_code"),
-        F.count("date").alias("with_date"),
-    )
+    """Every row and text, written and read back."""
+    path = sinks.write_csv(t.raw.select(_RAW), scratch_folder(t.spark, "alerts"))
+    return scans.scan_notifications(t.spark, path).select(_RAW)
 
 
 @query("scan_commodities", "SELECT commodity, hs_code FROM commodities")
@@ -189,11 +186,11 @@ def pending_pairs(t: SharedTables) -> DataFrame:
     """SELECT c.from_code, c.to_code, CASE WHEN coalesce(n, 0) > 0 THEN 'completed' ELSE 'failed' END AS status,
        CAST(coalesce(n, 0) AS INTEGER) AS records
        FROM pair_codes c LEFT JOIN (SELECT "reporterCode" AS f, "partnerCode" AS o, count(*) AS n FROM trade
-       WHERE "flowCode" = 'X' AND period = 1996 AND "cmdCode" = '100630' GROUP BY 1, 2) ON f = c.from_code AND o = c.to_code""",
+       WHERE "flowCode" = 'X' GROUP BY 1, 2) ON f = c.from_code AND o = c.to_code""",
 )
 def record_progress(t: SharedTables) -> DataFrame:
     pairs = _pairs(t)
-    return resume.record_progress(pairs, flows.filter_flow(t.trade, "X", commodity="100630", period=1996))
+    return resume.record_progress(pairs, flows.filter_flow(t.trade, "X"))
 
 
 @query(

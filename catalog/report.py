@@ -24,6 +24,10 @@ def _pivot(names: list[str], column: str, value: str) -> str:
     return ", ".join(f"coalesce(sum(CASE WHEN {column} = '{n}' THEN {value} END), 0.0) AS \"{n}\"" for n in names)
 
 
+def _not_in(column: str, names: list[str]) -> str:
+    return f'"{column}" NOT IN ({", ".join(f"{chr(39)}{n}{chr(39)}" for n in names)})'
+
+
 def _names(names: list[str]) -> str:
     """Pivot columns for the double list; names with blanks cannot be listed and are money anyway."""
     return " ".join(names)
@@ -94,11 +98,12 @@ def yoy_movers_pct(t: SharedTables) -> DataFrame:
 
 @query(
     "reporter_partner_matrix",
-    f'SELECT "reporterDesc", {_pivot(COUNTRY_NAMES, "q.\"partnerDesc\"", "\"primaryValue\"")} FROM exports AS q GROUP BY 1',
-    _names(COUNTRY_NAMES),
+    f'SELECT "reporterDesc", {_pivot(COUNTRY_NAMES, "q.\"partnerDesc\"", "\"primaryValue\"")}, '
+    + f'coalesce(sum("primaryValue") FILTER ({_not_in("partnerDesc", COUNTRY_NAMES)}), 0.0) AS other FROM exports AS q GROUP BY 1',
+    _names([*COUNTRY_NAMES, "other"]),
 )
 def reporter_partner_matrix(t: SharedTables) -> DataFrame:
-    return reports.reporter_partner_matrix(t.exports, COUNTRY_NAMES)
+    return reports.reporter_partner_matrix(t.exports, COUNTRY_NAMES, "other")
 
 
 _PAIRS = 'SELECT "reporterDesc", "partnerDesc", sum("primaryValue") AS value_usd FROM exports GROUP BY 1, 2'
@@ -386,12 +391,14 @@ def market_share_by_commodity(t: SharedTables) -> DataFrame:
         f"coalesce(sum(CASE WHEN \"reporterDesc\" = '{n}' THEN \"primaryValue\" END), 0.0) / 1e6 AS musd_{i}"
         for i, n in enumerate(COUNTRY_NAMES)
     )
+    + f', coalesce(sum("primaryValue") FILTER ({_not_in("reporterDesc", COUNTRY_NAMES)}), 0.0) / 1e6 AS musd_other'
     + " FROM exports GROUP BY 1",
-    " ".join(f"musd_{i}" for i in range(25)),
+    " ".join(f"musd_{i}" for i in [*range(25), "other"]),
 )
 def market_share_matrix(t: SharedTables) -> DataFrame:
-    wide = reports.market_share_matrix(t.exports, COUNTRY_NAMES)
-    return wide.select("cmdDesc", *[F.col(n).alias(f"musd_{i}") for i, n in enumerate(COUNTRY_NAMES)])
+    wide = reports.market_share_matrix(t.exports, COUNTRY_NAMES, "other")
+    cells = [F.col(n).alias(f"musd_{i}") for i, n in enumerate(COUNTRY_NAMES)]
+    return wide.select("cmdDesc", *cells, F.col("other").alias("musd_other"))
 
 
 @query(

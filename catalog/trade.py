@@ -175,22 +175,16 @@ def unit_value_zscore(t: SharedTables) -> DataFrame:
 
 @query(
     "peer_unit_values",
-    """SELECT commodity_hs, destination_m49, period, count(*) AS peers, min(origin_m49) AS first_origin,
-       arg_min(z_uv, origin_m49) FILTER (WHERE true) AS first_z, max(unit_value) AS highest FROM uv GROUP BY 1, 2, 3""",
-    "first_z highest",
+    """SELECT commodity_hs, destination_m49, period, count(*) OVER (PARTITION BY commodity_hs, destination_m49, period) AS peers,
+       row_number() OVER (PARTITION BY commodity_hs, destination_m49, period ORDER BY origin_m49) - 1 AS position,
+       origin_m49, unit_value, z_uv FROM uv""",
+    "unit_value z_uv",
 )
 def peer_unit_values(t: SharedTables) -> DataFrame:
     gathered = trade_flow.peer_unit_values(_lanes(t))
-    first = F.get(F.filter("peers", lambda p: p["z_uv"].isNotNull()), 0)
-    return gathered.select(
-        "commodity_hs",
-        "destination_m49",
-        "period",
-        F.size("peers").alias("peers"),
-        F.get("peers", 0)["origin_m49"].alias("first_origin"),
-        first["z_uv"].alias("first_z"),
-        F.array_max(F.transform("peers", lambda p: p["unit_value"])).alias("highest"),
-    )
+    keys = ["commodity_hs", "destination_m49", "period"]
+    placed = gathered.select(*keys, F.size("peers").alias("peers"), F.posexplode("peers").alias("position", "peer"))
+    return placed.select(*keys, "peers", "position", "peer.*")
 
 
 @query("volume_anomaly", f"SELECT {_LANE}, bilateral_import_kg, z_volume FROM volume", "bilateral_import_kg z_volume")
@@ -440,11 +434,11 @@ def network_nodes(t: SharedTables) -> DataFrame:
 
 @query(
     "network_edges",
-    "SELECT origin_m49, destination_m49, commodity_hs, his, severity_total FROM metrics WHERE commodity_hs = '110220'",
+    "SELECT origin_m49, destination_m49, commodity_hs, his, severity_total FROM metrics",
     "his severity_total",
 )
 def network_edges(t: SharedTables) -> DataFrame:
-    return network.network_edges(t.metrics, "110220")
+    return network.network_edges(t.metrics)
 
 
 _SUMMARY = f"""

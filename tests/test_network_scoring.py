@@ -211,3 +211,25 @@ def test_follow_up_views(corridors):
     assert [r.priority for r in runs.inspection_priority(scored, 2).orderBy("priority").collect()] == [1, 2]
     flags = scored.withColumns({"trade_surge": F.lit(True), "price_drop": F.col("origin_m49") == 2, "rising_alerts": F.lit(True)})
     assert by_origin(runs.convergent_signal(flags), "convergent")[2] == (True,)
+
+
+@pytest.mark.parametrize("code", ["090421", "90421"])
+def test_codes_with_a_leading_zero_meet(spark, code):
+    corridors = spark.createDataFrame(
+        [("90421", 1, 2, 0.5, "A"), ("90421", 1, 3, 0.7, "B"), ("190421", 1, 2, 0.9, "A"), ("0904", 1, 2, 0.1, "A")],
+        "commodity_hs string, destination_m49 int, origin_m49 int, his double, origin_country string",
+    )
+    names = spark.createDataFrame([("090421", ["chilli", "paprika"]), ("190421", ["flakes"])], "hs_code string, names array<string>")
+    rows = explore.commodity_corridors(corridors, names, code).collect()
+    assert [(r.hs_code, r.commodity_hs, r.origin_m49, r.names) for r in rows] == [
+        ("090421", "90421", 3, ["chilli", "paprika"]), ("090421", "90421", 2, ["chilli", "paprika"]),
+    ]
+    cells = {(r.origin_country, r.chapter): r.max_his for r in explore.hazard_heatmap(corridors).collect()}
+    assert cells == {("A", "09"): 0.5, ("B", "09"): 0.7, ("A", "19"): 0.9}
+
+
+def test_summary_of_names_takes_the_first_three(spark):
+    rows = [(k, f"name {k}", "090421") for k in range(5)] + [(9, "b", "1001"), (8, "a", "1001"), (1, None, "1001"), (2, "x", None)]
+    df = spark.createDataFrame(rows, "pos long, commodity string, hs_code string").repartition(4)
+    got = [tuple(r) for r in explore.hs_code_summary(df).collect()]
+    assert got == [("090421", 5, "name 0, name 1, name 2..."), ("1001", 2, "a, b")]

@@ -171,6 +171,32 @@ def test_matrix_looks_columns_up(spark):
     assert got == {"A": {"reporterDesc": "A", "B": 2.0, "D": 0.0}, "C": {"reporterDesc": "C", "B": 0.0, "D": 1.0}}
 
 
+def test_matrix_drops_nothing(spark):
+    df = trade(spark, {"primaryValue": 2.0}, {"partnerDesc": "D", "primaryValue": 4.0}, {"partnerDesc": "D", "reporterDesc": "C"})
+    long = reports.reporter_partner_values(df).agg(F.sum("value_usd")).first()[0]
+    wide = reports.reporter_partner_matrix(df, ["B"], "other").collect()
+    assert {r.reporterDesc: (r.B, r.other) for r in wide} == {"A": (2.0, 4.0), "C": (0.0, 1.0)}
+    assert sum(r.B + r.other for r in wide) == long
+    with pytest.raises(Exception, match="partnerDesc without a column of its own: D"):
+        reports.reporter_partner_matrix(df, ["B"]).collect()
+    assert reports.reporter_partner_matrix(df, ["B", "D", "E"]).agg(F.sum("B"), F.sum("D"), F.sum("E")).first() == (2.0, 5.0, 0.0)
+    with pytest.raises(ValueError, match="is a column already"):
+        reports.reporter_partner_matrix(df, ["B", "other"], "other")
+    shares = reports.market_share_matrix(df, ["A"], "other").first()
+    assert (shares.A, shares.other) == pytest.approx((6e-6, 1e-6))
+    with pytest.raises(Exception, match="period without a column of its own: 2022"):
+        reports.unit_value_matrix(df, [2021]).collect()
+    missing = df.groupBy().agg(F.lit("r").alias("r"), F.lit(None).cast("string").alias("c"), F.lit(1.0).alias("v"))
+    assert reports.matrix(missing, "r", "c", "v", ["B"], "other").first().other == 1.0
+
+
+def test_csv_keeps_texts_as_they_are(spark, tmp_path):
+    rows = [(" leading", "trailing "), ("\ttab", 'a "quoted", text'), ("two\nlines", "plain")]
+    path = sinks.write_csv(spark.createDataFrame(rows, "a string, b string"), str(tmp_path / "t"))
+    found = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    assert sorted(map(tuple, found.collect())) == sorted(rows)
+
+
 def test_report_has_sixteen_tables(spark, tmp_path):
     df = trade(spark, {}, {"period": 2023})
     tables = reports.report_tables(df)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tradelanes.dimensions import CountryBook
 from tradelanes.functions.guards import stable, zero_if_null
-from tradelanes.functions.text import contains_text, hs_chapter
+from tradelanes.functions.text import contains_text, hs_chapter, six_digit_hs
 from tradelanes.operators.alerts import CORRIDOR
 
 TOP_METRICS = ("his", "severity_total", "notification_count", "hdi", "cvs")
@@ -154,11 +154,25 @@ def exposure_profile(corridors: DataFrame, limit: int = 50) -> DataFrame:
     return top.join(counts, "destination_m49")
 
 
+def code_forms(hs_code: str) -> list[str]:
+    """A commodity code as it is written and as a number, which has no leading zero."""
+    code = hs_code.strip()
+    number = code.lstrip("0") if code.isdecimal() else code
+    return sorted({code, number, *([f"0{code}"] if code.isdecimal() and len(code) in (3, 5) else [])} - {""})
+
+
 def commodity_corridors(corridors: DataFrame, names: DataFrame, hs_code: str) -> DataFrame:
-    """Corridors of one commodity by hazard, with the names the code stands for."""
-    mine = names.where(F.col("hs_code") == hs_code).select(F.col("hs_code").alias("commodity_hs"), "names")
-    rows = corridors.where(F.col("commodity_hs") == hs_code).join(mine, "commodity_hs", "left")
-    return rows.orderBy(*by_metric(F.col("his")))
+    """Corridors of one commodity by hazard, with the names the code stands for.
+
+    Corridors carry codes as numbers do, without leading zero, and the
+    commodity map has all six digits. ``090421`` and ``90421`` are one code;
+    the result has it in full as ``hs_code``.
+    """
+    forms = code_forms(hs_code)
+    full = six_digit_hs(F.lit(hs_code))
+    mine = names.where(F.col("hs_code").isin(forms)).select(six_digit_hs(F.col("hs_code")).alias("hs_code"), "names")
+    rows = corridors.where(F.col("commodity_hs").isin(forms)).withColumn("hs_code", full)
+    return rows.join(mine, "hs_code", "left").orderBy(*by_metric(F.col("his")))
 
 
 def country_detail(corridors: DataFrame, book: CountryBook) -> DataFrame:
@@ -258,8 +272,11 @@ def dashboard_kpis(corridors: DataFrame) -> DataFrame:
 
 
 def hazard_heatmap(corridors: DataFrame, rows: int = 15, columns: int = 12) -> DataFrame:
-    """Largest hazard per origin and chapter, for the origins and chapters with the most."""
-    cells = corridors.groupBy("origin_country", hs_chapter(F.col("commodity_hs")).alias("chapter")).agg(
+    """Largest hazard per origin and chapter, for the origins and chapters with the most.
+
+    Chapters are those of the whole code, with the leading zero that numbers lose.
+    """
+    cells = corridors.groupBy("origin_country", hs_chapter(six_digit_hs(F.col("commodity_hs"))).alias("chapter")).agg(
         F.max("his").alias("max_his"), F.sum("his").alias("sum_his")
     )
 
@@ -290,15 +307,25 @@ def hs_names_lookup(names: DataFrame, hs_code: str) -> DataFrame:
     return names.where(F.col("hs_code") == hs_code)
 
 
-def hs_code_summary(names: DataFrame) -> DataFrame:
-    """Names per code: how many, and the first three."""
-    sample = F.array_join(F.slice("names", 1, 3), ", ")
-    more = F.when(F.size("names") > 3, F.lit("...")).otherwise(F.lit(""))
-    return names.select(
-        "hs_code",
-        F.size("names").alias("commodity_count"),
-        F.concat(sample, more).alias("sample_commodities"),
-    ).orderBy(F.col("commodity_count").desc(), "hs_code")
+def hs_code_summary(commodities: DataFrame) -> DataFrame:
+    """Names per code: how many, and the first three in source order.
+
+    Both are bounded before they are shuffled: the count is a partial sum, and
+    of the names each task passes on three a code.
+    """
+    named = commodities.where(F.col("hs_code").isNotNull() & F.col("commodity").isNotNull())
+    counts = named.groupBy("hs_code").agg(F.count("*").cast("int").alias("commodity_count"))
+    order = Window.partitionBy("hs_code").orderBy("pos", "commodity")
+    first = named.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= 3)
+    sample = first.groupBy("hs_code").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_place", "commodity"))), lambda e: e["commodity"]), ", ").alias("_sample")
+    )
+    more = F.when(F.col("commodity_count") > 3, F.lit("...")).otherwise(F.lit(""))
+    return (
+        counts.join(sample, "hs_code")
+        .select("hs_code", "commodity_count", F.concat("_sample", more).alias("sample_commodities"))
+        .orderBy(F.col("commodity_count").desc(), "hs_code")
+    )
 
 
 def unique_hs_codes(commodities: DataFrame) -> DataFrame:

@@ -147,25 +147,39 @@ def yoy_movers(yoy: DataFrame, n: int = 10, by: str = "abs_change_usd") -> DataF
     return gains.union(losses).dropDuplicates(["route"])
 
 
+def _listed(column: str, names: list, rest: str | None) -> Column:
+    """The column's value if it is listed, else ``rest``, and without ``rest`` an error."""
+    value = F.col(column)
+    told = F.concat(F.lit(f"{column} without a column of its own: "), F.coalesce(value.cast("string"), F.lit("missing")))
+    return F.when(value.isin(names), value).otherwise(F.raise_error(told) if rest is None else F.lit(rest))
+
+
 def matrix(
-    df: DataFrame, row: str, column: str, value: str, columns: list[str] | None = None
+    df: DataFrame, row: str, column: str, value: str, columns: list[str] | None = None, rest: str | None = None
 ) -> DataFrame:
     """Rows by columns with the sum of a value, 0 where there is none.
 
     Give ``columns`` to fix the columns; otherwise their distinct values are
-    looked up first, which Spark limits in number.
+    looked up first, which Spark limits in number. Nothing is dropped: a value
+    outside ``columns``, or a missing one, goes to the column named ``rest``;
+    without that it ends the query with an error that names it. So the wide
+    table adds up to the long one.
     """
-    pivot = df.groupBy(row)
-    pivot = pivot.pivot(column, columns) if columns is not None else pivot.pivot(column)
-    return pivot.agg(F.sum(value)).na.fill(0.0)
+    if columns is None:
+        return df.groupBy(row).pivot(column).agg(F.sum(value)).na.fill(0.0)
+    if rest in columns:
+        raise ValueError(f"{rest} is a column already")
+    checked = df.withColumn("_column", _listed(column, columns, rest))
+    wide = checked.groupBy(row).pivot("_column", columns + ([] if rest is None else [rest]))
+    return wide.agg(F.sum(value)).na.fill(0.0)
 
 
 def reporter_partner_values(trade: DataFrame) -> DataFrame:
     return _sums(trade, "reporterDesc", "partnerDesc").select("reporterDesc", "partnerDesc", "value_usd")
 
 
-def reporter_partner_matrix(trade: DataFrame, partners: list[str] | None = None) -> DataFrame:
-    return matrix(reporter_partner_values(trade), "reporterDesc", "partnerDesc", "value_usd", partners)
+def reporter_partner_matrix(trade: DataFrame, partners: list[str] | None = None, rest: str | None = None) -> DataFrame:
+    return matrix(reporter_partner_values(trade), "reporterDesc", "partnerDesc", "value_usd", partners, rest)
 
 
 def _top_within(pairs: DataFrame, group: str, member: str, n: int, share: str) -> DataFrame:
@@ -253,24 +267,24 @@ def top_route_commodities(trade: DataFrame, n: int = 10) -> DataFrame:
 
 
 def commodity_summary_by_route(
-    trade: DataFrame, routes: int = TOP_ROUTES, commodities: int = 15, columns: list[str] | None = None
+    trade: DataFrame, routes: int = TOP_ROUTES, commodities: int = 15, columns: list[str] | None = None, rest: str | None = None
 ) -> DataFrame:
     trade = _cells(trade)
     sums = _route_commodities(trade)
     kept = _keep(sums, _top(sums, ["route"], routes), ["route"])
     kept = _keep(kept, _top(kept, ["cmdDesc"], commodities), ["cmdDesc"])
-    return matrix(kept, "route", "cmdDesc", "value_usd", columns)
+    return matrix(kept, "route", "cmdDesc", "value_usd", columns, rest)
 
 
 def route_commodity_mix(
-    trade: DataFrame, routes: int = 8, commodities: int = 8, columns: list[str] | None = None
+    trade: DataFrame, routes: int = 8, commodities: int = 8, columns: list[str] | None = None, rest: str | None = None
 ) -> DataFrame:
     """As the summary, over the commodities each route lists among its own largest ten."""
     trade = _cells(trade)
     sums = top_commodities_per_route(trade)
     kept = _keep(sums, _top(sums, ["route"], routes), ["route"])
     kept = _keep(kept, _top(kept, ["cmdDesc"], commodities), ["cmdDesc"])
-    return matrix(kept, "route", "cmdDesc", "value_usd", columns)
+    return matrix(kept, "route", "cmdDesc", "value_usd", columns, rest)
 
 
 def top_commodities_overall(trade: DataFrame, n: int = TOP_N) -> DataFrame:
@@ -313,12 +327,16 @@ def unit_values_by_route_year(trade: DataFrame) -> DataFrame:
 
 
 def unit_value_matrix(trade: DataFrame, periods: list[int] | None = None) -> DataFrame:
-    """Commodities by year; commodities without any weight are left out."""
+    """Commodities by year; commodities without any weight are left out.
+
+    A unit value outside ``periods`` is an error, as unit values do not add up.
+    """
     uv = unit_values_by_commodity_year(trade).where(F.col("unit_value_usd_per_kg").isNotNull())
     weighed = Window.partitionBy("cmdDesc")
     kept = uv.withColumn("_weight", F.sum("weight_kg").over(weighed)).where(F.col("_weight") > 0)
-    pivot = kept.groupBy("cmdDesc").pivot("period", periods) if periods else kept.groupBy("cmdDesc").pivot("period")
-    return pivot.agg(F.first("unit_value_usd_per_kg"))
+    if periods is not None:
+        kept = kept.withColumn("period", _listed("period", periods, None))
+    return kept.groupBy("cmdDesc").pivot("period", periods).agg(F.first("unit_value_usd_per_kg"))
 
 
 def unit_value_slope(trade: DataFrame) -> DataFrame:
@@ -416,10 +434,10 @@ def market_share_by_commodity(trade: DataFrame) -> DataFrame:
     return sums.withColumn("market_share_pct", _share_pct("value_usd", "cmdDesc"))
 
 
-def market_share_matrix(trade: DataFrame, reporters: list[str] | None = None) -> DataFrame:
+def market_share_matrix(trade: DataFrame, reporters: list[str] | None = None, rest: str | None = None) -> DataFrame:
     """Commodities by reporters in millions."""
     shares = market_share_by_commodity(trade).withColumn("musd", F.col("value_usd") / 1e6)
-    return matrix(shares, "cmdDesc", "reporterDesc", "musd", reporters)
+    return matrix(shares, "cmdDesc", "reporterDesc", "musd", reporters, rest)
 
 
 # ----------------------------------------------------------------- other folds

@@ -9,7 +9,10 @@ from tradelanes.functions.guards import null_out_nonfinite
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """Texts are written as they are: Spark would strip blanks at their ends."""
     writer = null_out_nonfinite(df).write.mode(mode).option("header", True).option("escape", '"')
+    for side in ("Leading", "Trailing"):
+        writer = writer.option(f"ignore{side}WhiteSpace", False)
     writer.option("emptyValue", "").csv(path)
     return path
 
