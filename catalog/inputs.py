@@ -59,10 +59,27 @@ def merge_trade_files(t: SharedTables) -> DataFrame:
     return _tally(scans.merge_trade_files(t.spark, folder))
 
 
-@query("list_input_files")
+def _by_reporter(t: SharedTables) -> str:
+    """Trade in a file for each reporter, each in a folder of its own."""
+    path = scratch_folder(t.spark, "trade")
+    rows = t.trade.withColumn("reporter", F.col("reporterCode")).repartition("reporter")
+    rows.write.option("header", True).option("escape", '"').partitionBy("reporter").csv(path)
+    return path
+
+
+@query("list_input_files", """SELECT "reporterCode" AS reporter, 1 AS files FROM trade GROUP BY 1""")
 def list_input_files(t: SharedTables) -> DataFrame:
-    path = sinks.write_csv(t.trade, scratch_folder(t.spark, "trade"))
-    return scans.list_input_files(t.spark, path).select("file_name", "length")
+    """Files by reporter; their names and sizes are the writer's choice."""
+    files = scans.list_input_files(t.spark, _by_reporter(t))
+    reporter = F.regexp_extract("path", "/reporter=([0-9]+)/", 1).cast("int").alias("reporter")
+    return files.groupBy(reporter).agg(F.count("*").alias("files"))
+
+
+@query("trade_file_report", """SELECT "reporterCode" AS reporter, 'merged' AS status, 13 AS names FROM trade GROUP BY 1""")
+def trade_file_report(t: SharedTables) -> DataFrame:
+    report = scans.trade_file_report(t.spark, _by_reporter(t))
+    reporter = F.regexp_extract("path", "/reporter=([0-9]+)/", 1).cast("int").alias("reporter")
+    return report.select(reporter, "status", F.size(F.split("header", ",")).alias("names"))
 
 
 _RAW = scans.schemas.NOTIFICATIONS_RAW.fieldNames()

@@ -326,7 +326,8 @@ _WEIGHTS = "trade_weight hazard_weight dep_weight"
 
 
 def _edges(t: SharedTables) -> DataFrame:
-    return network.exposure_edges(t.enriched)
+    """Edges need the dependency of a corridor, and nothing else of the trade side."""
+    return network.exposure_edges(runs.with_dependency(t.metrics, t.cube, t.renamed(t.production)))
 
 
 @query("exposure_edges", f"SELECT * FROM {_EDGES}", _WEIGHTS)

@@ -233,3 +233,24 @@ def test_summary_of_names_takes_the_first_three(spark):
     df = spark.createDataFrame(rows, "pos long, commodity string, hs_code string").repartition(4)
     got = [tuple(r) for r in explore.hs_code_summary(df).collect()]
     assert got == [("090421", 5, "name 0, name 1, name 2..."), ("1001", 2, "a, b")]
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_pages_far_down_are_those_of_one_sort(spark, monkeypatch, descending):
+    rows = [(i, [None, 1.0, float(i % 7), i / 3][i % 4]) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(6)
+    known = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1] if descending else r[1], r[0]))
+    want = [r[0] for r in known + sorted(r for r in rows if r[1] is None)]
+    monkeypatch.setattr(explore, "_SHALLOW", 50)
+    for page, size in ((0, 25), (1, 25), (2, 25), (30, 33), (3, 500), (199, 10), (200, 10), (9, 1)):
+        got = [r.k for r in explore.sort_page(df, "v", ["k"], descending, page, size).collect()]
+        assert got == want[page * size : (page + 1) * size], (page, size)
+
+
+def test_a_deep_page_needs_no_sort_in_one_task(spark):
+    df = spark.range(0, 300_000, numPartitions=8).selectExpr("id AS k", "CAST(id % 3 AS DOUBLE) AS v")
+    page = explore.sort_page(df, "v", ["k"], page=9_999)
+    # 249,975 rows before it: all with 2 and 1, and 49,975 of those with 0
+    assert [r.k for r in page.collect()] == [3 * i for i in range(49_975, 50_000)]
+    # what is left in the plan reads the rows of one page
+    assert "Exchange SinglePartition" not in page._jdf.queryExecution().toString()

@@ -45,6 +45,18 @@ def test_file_list(spark, folder):
     assert names == ["a.csv", "b.csv", "headonly.csv", "merged.csv"]
 
 
+def test_report_of_files(spark, folder):
+    (open(f"{folder}/bare.csv", "w")).write("2022,620,Portugal\n2022,621,Spain\n")
+    (open(f"{folder}/late.csv", "w")).write("# from reporterCode and cmdCode\n" + ROW + "\n")
+    (open(f"{folder}/twice.csv", "w")).write(f"{HEAD}\n{ROW}\ncmdCode,reporterCode\n")
+    got = {r.file_name: (r.status, r.header) for r in scans.trade_file_report(spark, folder, skip="merged.csv").collect()}
+    assert {name: status for name, (status, _) in got.items()} == {
+        "a.csv": "merged", "b.csv": "merged", "headonly.csv": "merged", "twice.csv": "merged", "merged.csv": "left out",
+        "bare.csv": "no header", "late.csv": "no header",
+    }
+    assert got["twice.csv"][1] == HEAD
+
+
 def test_missing_path_raises(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         scans.scan_trade(spark, str(tmp_path / "nowhere"))

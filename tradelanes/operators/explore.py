@@ -9,6 +9,7 @@ from tradelanes.dimensions import CountryBook
 from tradelanes.functions.guards import stable, zero_if_null
 from tradelanes.functions.text import contains_text, hs_chapter, six_digit_hs
 from tradelanes.operators.alerts import CORRIDOR
+from tradelanes.session import materialise
 
 TOP_METRICS = ("his", "severity_total", "notification_count", "hdi", "cvs")
 
@@ -21,6 +22,12 @@ PRESETS: dict[str, dict] = {
 }
 
 
+#: Rows up to which a page is taken from the largest rows of each task.
+_SHALLOW = 10_000
+#: A number made in order has the task in its upper bits, the row of the task in these.
+_PART_BITS = 33
+
+
 def by_metric(metric: Column) -> list[Column]:
     """Largest first; equal values in corridor order."""
     return [stable(metric).desc(), *[F.col(k) for k in CORRIDOR]]
@@ -135,11 +142,31 @@ def text_search(df: DataFrame, columns: list[str], query: str) -> DataFrame:
 def sort_page(
     df: DataFrame, column: str, keys: list[str], descending: bool = True, page: int = 0, size: int = 25
 ) -> DataFrame:
-    """One page in the order of a column, missing values last either way."""
+    """One page in the order of a column, missing values last either way.
+
+    The first pages are the largest rows of each task. A page further down is
+    cut out of a sort that many tasks share: the sorted rows are written with
+    a number that rises with the order, the rows of each part are counted, and
+    the page is a range of numbers.
+    """
     numeric = dict(df.dtypes)[column] in ("double", "float")
     value = stable(F.col(column)) if numeric else F.col(column)
-    first = value.desc_nulls_last() if descending else value.asc_nulls_last()
-    return df.orderBy(first, *keys).offset(page * size).limit(size)
+    order = [value.desc_nulls_last() if descending else value.asc_nulls_last(), *keys]
+    begin, end = page * size, (page + 1) * size
+    if end <= _SHALLOW:
+        return df.orderBy(*order).offset(begin).limit(size)
+    numbered = materialise(df.orderBy(*order).withColumn("_number", F.monotonically_increasing_id()))
+    part = F.shiftright("_number", _PART_BITS)
+    sizes = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("rows")).orderBy("part").collect()
+    low, high, before = None, None, 0
+    for part, rows in sizes:  # as many as the sort had tasks
+        if low is None and begin < before + rows:
+            low = (part << _PART_BITS) + begin - before
+        if before < end:
+            high = (part << _PART_BITS) + min(end - before, rows)
+        before += rows
+    found = F.lit(False) if low is None else (F.col("_number") >= low) & (F.col("_number") < high)
+    return numbered.where(found).orderBy("_number").drop("_number")
 
 
 def exposure_profile(corridors: DataFrame, limit: int = 50) -> DataFrame:

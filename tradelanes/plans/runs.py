@@ -55,6 +55,32 @@ def _latest(table: DataFrame, latest: Column) -> DataFrame:
     return table.where(F.col("period") == latest).drop("period")
 
 
+def with_dependency(metrics: DataFrame, cube: DataFrame, production: DataFrame | None = None) -> DataFrame:
+    """Attach what a corridor's destination takes from its origin and how much it depends on it, at the latest period."""
+    lanes = dependency.with_production(flows.lanes(cube), production)
+    dep = _latest(dependency.dependency_of(lanes), flows.last_period(cube)).select(
+        *CORRIDOR, "bilateral_import_kg", "total_imports_kg", "ds_prime", "idr", "ocs", "bdi", "ssr", "hhi",
+        "sci", "sci_half", "dq_flag",
+    )
+    return metrics.join(dep, CORRIDOR, "left")
+
+
+def with_anomalies(metrics: DataFrame, cube: DataFrame) -> DataFrame:
+    """Attach price, volume, mirror and concentration anomalies, at the latest period."""
+    return metrics.join(trade_flow.trade_anomalies(cube).drop("period"), CORRIDOR, "left")
+
+
+def with_demand(metrics: DataFrame, cube: DataFrame, balance: DataFrame | None) -> DataFrame:
+    """Attach consumption a head and its rank, at the latest period; NULL without ``balance``."""
+    if balance is None:
+        return metrics.withColumns({"pcc": F.lit(None).cast("double"), "crs": F.lit(None).cast("double")})
+    ranks = consumption.consumption_rank_score(consumption.per_capita_consumption(balance))
+    demand = _latest(ranks, flows.last_period(cube)).select(
+        "commodity_hs", F.col("country_m49").alias("destination_m49"), "pcc", "crs"
+    )
+    return metrics.join(demand, ["commodity_hs", "destination_m49"], "left")
+
+
 def corridor_enrich(
     metrics: DataFrame,
     cube: DataFrame,
@@ -65,24 +91,10 @@ def corridor_enrich(
 
     The trade side is taken at its latest period. ``cube`` uses the
     commodity codes of the notifications and is materialised by the caller.
+    An outer join stays in a plan even if nothing it brings is read, so a query
+    that needs one part only attaches just that.
     """
-    latest = flows.last_period(cube)
-    lanes = dependency.with_production(flows.lanes(cube), production)
-    dep = _latest(dependency.dependency_of(lanes), latest).select(
-        *CORRIDOR, "bilateral_import_kg", "total_imports_kg", "ds_prime", "idr", "ocs", "bdi", "ssr", "hhi",
-        "sci", "sci_half", "dq_flag",
-    )
-    anomalies = trade_flow.trade_anomalies(cube).drop("period")
-    joined = metrics.join(dep, CORRIDOR, "left").join(anomalies, CORRIDOR, "left")
-    if balance is None:
-        return joined.withColumns(
-            {"pcc": F.lit(None).cast("double"), "crs": F.lit(None).cast("double")}
-        )
-    ranks = consumption.consumption_rank_score(consumption.per_capita_consumption(balance))
-    demand = _latest(ranks, latest).select(
-        "commodity_hs", F.col("country_m49").alias("destination_m49"), "pcc", "crs"
-    )
-    return joined.join(demand, ["commodity_hs", "destination_m49"], "left")
+    return with_demand(with_anomalies(with_dependency(metrics, cube, production), cube), cube, balance)
 
 
 def with_detection_gap(enriched: DataFrame, notifications: DataFrame) -> DataFrame:

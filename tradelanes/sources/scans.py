@@ -66,30 +66,57 @@ def coerce_trade(rows: DataFrame) -> DataFrame:
 
 def list_input_files(spark: SparkSession, folder: str) -> DataFrame:
     """The non-empty ``*.csv`` files of a folder, by name, with their sizes. Contents are not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
-        .load(folder)
-        .select("path", "length")
-    )
+    return _files(spark, folder).where("length > 0").select("file_name", "path", "length").orderBy("file_name")
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file_name"), "path", "length").orderBy("file_name")
+    return files.select(name.alias("file_name"), "path", "length", _plain(F.col("_metadata.file_path")).alias("at"))
 
 
-def trade_layouts(spark: SparkSession, folder: str, skip: str | None = None) -> list[tuple[list[str], list[str]]]:
-    """Group a folder's CSV files by their header line.
+def _heads(spark: SparkSession, folder: str) -> DataFrame:
+    """The header line of each CSV file that has one, from the first block of the file.
 
-    Header lines are found by the column names they hold, so one distributed
-    scan serves every file. Empty and headerless files form no group.
+    A header is a line with cells named ``reporterCode`` and ``cmdCode``; of
+    several the first counts. Further blocks of a file are not read.
     """
     lines = spark.read.option("pathGlobFilter", "*.csv").text(folder)
-    path = _plain(F.col("_metadata.file_path"))
-    is_header = F.contains("value", F.lit("reporterCode")) & F.contains("value", F.lit("cmdCode"))
-    heads = lines.where(is_header).select("value", path.alias("path"))
-    if skip:
-        heads = heads.where(F.element_at(F.split("path", "/"), -1) != skip)
-    groups = heads.groupBy("value").agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    return [(r["value"].strip().split(","), r["paths"]) for r in groups.orderBy("value").collect()]
+    cells = F.split(F.replace("value", F.lit('"'), F.lit("")), r"\s*,\s*")
+    named = F.array_contains(cells, "reporterCode") & F.array_contains(cells, "cmdCode")
+    # a line is looked at as a whole before it is cut into cells
+    likely = F.contains("value", F.lit("reporterCode")) & F.contains("value", F.lit("cmdCode"))
+    found = lines.where(F.col("_metadata.file_block_start") == 0).where(likely).where(named)
+    line = F.struct(F.monotonically_increasing_id().alias("place"), F.trim(F.replace("value", F.lit('"'), F.lit(""))).alias("header"))
+    return found.select(_plain(F.col("_metadata.file_path")).alias("at"), line.alias("line")).groupBy("at").agg(
+        F.min("line")["header"].alias("header")
+    )
+
+
+def trade_file_report(spark: SparkSession, folder: str, skip: str | None = None) -> DataFrame:
+    """What becomes of each CSV file of a folder when they are merged: ``file_name``, ``length``, ``header``, ``status``.
+
+    The status is ``merged``, ``no header`` or ``left out``, which is the file
+    named by ``skip``. Spark's readers don't see files of no bytes.
+    """
+    files = _files(spark, folder)
+    status = (
+        F.when(F.col("file_name") == F.lit(skip), "left out")
+        .when(F.col("header").isNull(), "no header")
+        .otherwise("merged")
+    )
+    told = files.join(_heads(spark, folder), "at", "left")
+    return told.select("file_name", F.col("at").alias("path"), "length", "header", status.alias("status"))
+
+
+def trade_layouts(spark: SparkSession, folder: str, skip: str | None = None) -> list[tuple[list[str], list[str]]]:
+    """Group a folder's CSV files by their header line; files without one are in ``trade_file_report``.
+
+    The driver gets each path once, as the reader that is given them needs.
+    """
+    merged = trade_file_report(spark, folder, skip).where("status = 'merged'")
+    groups = merged.groupBy("header").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    return [(r["header"].split(","), r["paths"]) for r in groups.orderBy("header").collect()]
 
 
 def _plain(path: Column) -> Column:
