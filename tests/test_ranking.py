@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tradelanes.operators import ranking
 
@@ -108,7 +109,8 @@ def test_narrowed_quantiles_are_exact(spark, monkeypatch, few):
     cells = zip(*[[None if np.isnan(x) else float(x) for x in c] for c in columns.values()], strict=True)
     df = spark.createDataFrame(list(cells), ", ".join(f"{c} double" for c in columns)).repartition(7)
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = ranking.narrowed_quantiles(df, list(columns), probs)
+    got, row = ranking.narrowed_quantiles(df, list(columns), probs, (F.count("*").alias("rows"),))
+    assert row["rows"] == 5000
     for name, values in columns.items():
         known = values[~np.isnan(values)]
         want = np.quantile(known, probs).tolist() if len(known) else [None] * len(probs)
@@ -118,11 +120,11 @@ def test_narrowed_quantiles_are_exact(spark, monkeypatch, few):
 def test_narrowed_quantiles_leave_the_column_where_it_is(spark):
     """What is grouped and ordered at the end is a few rows, of a column with no value twice."""
     df = spark.range(0, 400_000, numPartitions=8).selectExpr("CAST(id * 7919 % 400009 AS DOUBLE) AS x")
-    got = ranking.narrowed_quantiles(df, ["x"], [0.25, 0.5, 0.75])
+    got, _ = ranking.narrowed_quantiles(df, ["x"], [0.25, 0.5, 0.75])
     values = sorted(i * 7919 % 400_009 for i in range(400_000))
     assert got["x"] == pytest.approx(np.quantile(values, [0.25, 0.5, 0.75]).tolist())
 
 
 def test_narrowed_quantiles_of_nothing(spark):
     df = spark.createDataFrame([], "x double")
-    assert ranking.narrowed_quantiles(df, ["x"], [0.5]) == {"x": [None]}
+    assert ranking.narrowed_quantiles(df, ["x"], [0.5])[0] == {"x": [None]}

@@ -97,27 +97,25 @@ def validate_trade(trade: DataFrame) -> DataFrame:
 def describe_trade(trade: DataFrame) -> DataFrame:
     """Count, mean, deviation, extremes, exact quartiles, total and NULLs of value and weight.
 
-    All but the quartiles come from one aggregation. Quartiles are narrowed
-    down by further aggregations, see :func:`ranking.narrowed_quantiles`; no
-    column is sorted or shuffled.
+    One aggregation gives all but the quartiles, and the first bounds of
+    these; they are narrowed down by two more, see
+    :func:`ranking.narrowed_quantiles`. No column is sorted or shuffled.
     """
     columns = ["primaryValue", "netWgt"]
-    quartiles = narrowed_quantiles(trade, columns, [0.25, 0.5, 0.75])
-    facts = trade.agg(
-        F.inline(
-            F.array(*[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.count(c).alias("count"),
-                    F.min(c).alias("min"),
-                    F.max(c).alias("max"),
-                    F.coalesce(F.sum(c), F.lit(0.0)).alias("total"),
-                    F.count_if(F.col(c).isNull()).alias("null_count"),
-                    F.stddev_samp(c).alias("std"),
-                    *[F.lit(q).cast("double").alias(f"q{p}") for p, q in zip((25, 50, 75), quartiles[c], strict=True)],
-                )
-                for c in columns
-            ])
-        )
-    )
-    return facts.withColumn("mean", ratio(F.col("total"), F.col("count")))
+    facts = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(c).alias("count"),
+            F.min(c).alias("min"),
+            F.max(c).alias("max"),
+            F.coalesce(F.sum(c), F.lit(0.0)).alias("total"),
+            F.count_if(F.col(c).isNull()).alias("null_count"),
+            F.stddev_samp(c).alias("std"),
+            ratio(F.sum(c), F.count(c)).alias("mean"),
+        ).alias(c)
+        for c in columns
+    ]
+    quartiles, row = narrowed_quantiles(trade, columns, [0.25, 0.5, 0.75], tuple(facts))
+    rows = [(*row[c], *quartiles[c]) for c in columns]
+    layout = "column string, count long, min double, max double, total double, null_count long, std double, mean double"
+    return trade.sparkSession.createDataFrame(rows, f"{layout}, q25 double, q50 double, q75 double")

@@ -11,7 +11,7 @@ not end up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tradelanes.functions.guards import stable
@@ -168,8 +168,10 @@ _ERROR = 10_000
 _FEW = 10_000
 
 
-def narrowed_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of some columns, exact, without moving the columns.
+def narrowed_quantiles(
+    df: DataFrame, columns: list[str], probs: list[float], facts: tuple[Column, ...] = ()
+) -> tuple[dict[str, list[float | None]], Row]:
+    """Linearly interpolated quantiles of some columns, exact, without moving the columns; and ``facts`` of one row.
 
     A quantile lies between two neighbouring ranks. Each is kept in a range of
     values that surely holds both ranks: approximate quantiles give the range,
@@ -178,37 +180,34 @@ def narrowed_quantiles(df: DataFrame, columns: list[str], probs: list[float]) ->
     values in them are then counted and put in order. Every step is one
     aggregation of all ranges together, and a step leaves at most a few ten
     thousandths of the rows, so there are two or three of them at any size.
+    ``facts`` are further aggregates, which the first step takes along.
     Missing values are left out; a column without values gives None.
     """
+    ends = (("n", F.count), ("lo", F.min), ("hi", F.max))
+    shares = [min(max(p + side * 3 / _ERROR, 0.0), 1.0) for p in probs for side in (-1, 1)]
     first = df.agg(
-        *[f(c).alias(f"{c}_{tag}") for c in columns for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+        *[f(c).alias(f"_{tag}_{c}") for c in columns for tag, f in ends],
+        *[F.percentile_approx(c, shares, _ERROR).alias(f"_cuts_{c}") for c in columns],
+        *facts,
     ).first()
-    ranges = []
+    ranges, wide, tried = [], [], []
     for c in columns:
-        n = first[f"{c}_n"]
-        for p in probs:
-            ranges.append({
-                "column": c, "place": p * (n - 1), "low": int(p * (n - 1)), "high": min(int(p * (n - 1)) + 1, max(n - 1, 0)),
-                "lo": first[f"{c}_lo"], "hi": first[f"{c}_hi"], "below": 0, "inside": n,
-            })
+        n, lo, hi, cuts = (first[f"_{tag}_{c}"] for tag in ("n", "lo", "hi", "cuts"))
+        for i, p in enumerate(probs):
+            place = p * (n - 1)
+            r = {
+                "column": c, "place": place, "low": int(place), "high": min(int(place) + 1, max(n - 1, 0)),
+                "lo": lo, "hi": hi, "below": 0, "inside": n,
+            }
+            ranges.append(r)
+            if n > _FEW and lo < hi:
+                wide.append(r)
+                tried.append(r | {"lo": cuts[2 * i], "hi": cuts[2 * i + 1]})
 
     def within(r: dict) -> Column:
         return F.col(r["column"]).between(F.lit(r["lo"]), F.lit(r["hi"]))
 
-    wide = [r for r in ranges if r["inside"] > _FEW and r["lo"] < r["hi"]]
     while wide:
-        bounds = df.agg(*[
-            F.percentile_approx(
-                F.when(within(r), F.col(r["column"])),
-                [
-                    max((r["low"] - r["below"]) / r["inside"] - 2 / _ERROR, 0.0),
-                    min((r["high"] - r["below"] + 1) / r["inside"] + 2 / _ERROR, 1.0),
-                ],
-                _ERROR,
-            ).alias(f"b{i}")
-            for i, r in enumerate(wide)
-        ]).first()
-        tried = [{**r, "lo": bounds[i][0], "hi": bounds[i][1]} for i, r in enumerate(wide)]
         counts = df.agg(*[
             count.alias(f"{tag}{i}")
             for i, r in enumerate(tried)
@@ -217,15 +216,28 @@ def narrowed_quantiles(df: DataFrame, columns: list[str], probs: list[float]) ->
         further = []
         for i, (r, new) in enumerate(zip(wide, tried, strict=True)):
             below, inside = counts[f"below{i}"], counts[f"inside{i}"]
-            if below <= r["low"] and r["high"] < below + inside < r["below"] + r["inside"] + 1 and inside < r["inside"]:
+            if below <= r["low"] and r["high"] < below + inside and inside < r["inside"]:
                 r.update(lo=new["lo"], hi=new["hi"], below=below, inside=inside)
                 if inside > _FEW and r["lo"] < r["hi"]:
                     further.append(r)
         wide = further
+        if wide:
+            cuts = df.agg(*[
+                F.percentile_approx(
+                    F.when(within(r), F.col(r["column"])),
+                    [
+                        max((r["low"] - r["below"]) / r["inside"] - 2 / _ERROR, 0.0),
+                        min((r["high"] - r["below"] + 1) / r["inside"] + 2 / _ERROR, 1.0),
+                    ],
+                    _ERROR,
+                )
+                for r in wide
+            ]).first()
+            tried = [r | {"lo": cut[0], "hi": cut[1]} for r, cut in zip(wide, cuts, strict=True)]
 
     known = [(i, r) for i, r in enumerate(ranges) if r["inside"]]
     if not known:
-        return {c: [None] * len(probs) for c in columns}
+        return {c: [None] * len(probs) for c in columns}, first
     held = F.array(*[
         F.when(within(r), F.struct(F.lit(i).alias("range"), F.lit(r["below"]).cast("long").alias("below"), F.col(r["column"]).alias("value")))
         for i, r in known
@@ -247,4 +259,4 @@ def narrowed_quantiles(df: DataFrame, columns: list[str], probs: list[float]) ->
             continue
         low, high = found[r["low"]], found[r["high"]]
         out[r["column"]].append(low + (high - low) * (r["place"] - r["low"]))
-    return out
+    return out, first
