@@ -186,6 +186,8 @@ def role_counts(t: SharedTables) -> DataFrame:
        (SELECT count(*) FROM raw WHERE row_id IN (SELECT row_id FROM origins)
         AND row_id NOT IN (SELECT row_id FROM destinations)) AS notifications_without_destination,
        (SELECT count(*) FROM origins o JOIN destinations d ON o.row_id = d.row_id AND o.origin_m49 = d.destination_m49) AS self_trade_pairs_skipped,
+       (SELECT count(*) FROM raw WHERE coalesce(nullif(trim(date), ''), nullif(trim(notification_date), '')) IS NOT NULL
+        AND TRY_CAST(coalesce(nullif(trim(date), ''), nullif(trim(notification_date), '')) AS DATE) IS NULL) AS unread_dates,
        count(*) FILTER (WHERE list_contains(roles, 'notifier')) AS role_notifier,
        count(*) FILTER (WHERE list_contains(roles, 'distribution')) AS role_distribution,
        count(*) FILTER (WHERE list_contains(roles, 'followUp')) AS "role_followUp",

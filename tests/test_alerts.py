@@ -55,6 +55,18 @@ def test_unknown_countries(spark, book):
     assert (s.unmapped_origins, s.unmapped_destinations) == (1, 1)
 
 
+def test_summary_counts_dates_not_read(spark, book):
+    df = raw(
+        spark,
+        {"origin": "France,Italy", "distribution": "Spain", "date": "the ides of March"},
+        {"origin": "France", "distribution": "Spain", "date": "45366"},
+        {"origin": "France", "distribution": "Spain", "date": "Fri, 15 Mar 2024 2:30 PM"},
+        {"origin": None, "distribution": "Spain", "date": None},
+    )
+    summary = alerts.hazard_summary(df, book).first()
+    assert (summary.total_notifications, summary.unread_dates) == (4, 2)
+
+
 def test_missing_period_drops_notification_but_keeps_roles(spark, book):
     df = raw(
         spark,

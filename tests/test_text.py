@@ -172,7 +172,22 @@ def test_labels(spark):
     [
         ("15-03-2024 10:11:12", 202403), ("15/03/2024", 202403), ("Mar 15, 2024", 202403), ("15 March 2024", 202403),
         ("03/04/2024", 202403), ("2024/3/15", 202403), ("2024-03-15T10:00:00", 202403), ("soon, maybe", 0),
+        ("15 Mar 2024 10:00 AM", 202403), ("03/15/2024 2:30 PM", 202403), ("03/15/2024, 2:30:05 p.m.", 202403),
+        ("Fri, 15 Mar 2024", 202403), ("Friday 15 March 2024 23:10", 202403), ("15-Mar-24", 202403), ("15.03.24", 202403),
+        ("3/4/24", 202403), ("March 2024", 202403), ("Mar 2024", 202403), ("03/2024", 202403), ("March 15 2024", 202403),
+        ("31/12/1999 23:59", 199912), ("15 Mar 2024 25:00", 0), ("Frigg, 15 Mar 2024", 0), ("March", 0), ("45366", 45366),
     ],
 )
 def test_period_of_other_layouts(spark, date, expected):
     assert apply(spark, periods.to_period_yyyymm, date) == expected
+
+
+@pytest.mark.parametrize(
+    "dates, unread",
+    [
+        (("2024-03-15", None), False), ((None, "March 2024"), False), ((None, None), False), ((" ", ""), False),
+        (("soon", None), True), (("soon", "2024-03-15"), True), (("45366", None), True), (("45312", None), True), (("202403", None), False),
+    ],
+)
+def test_dates_that_were_given_but_not_read(spark, dates, unread):
+    assert apply(spark, lambda *d: periods.is_unread(periods.to_period_yyyymm(*d), *d), *dates) == unread

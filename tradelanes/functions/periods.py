@@ -11,30 +11,57 @@ UNKNOWN_MONTHS = 65535
 DEFAULT_PERIOD = 202600
 
 
-#: Date layouts read besides ISO, in this order. Where day and month could both come
-#: first, the month does, unless ``day_first`` is asked for.
-_TIME = "[ H:mm[:ss]]"
-_MONTH_FIRST = [f"M{c}d{c}yyyy{_TIME}" for c in "-/."]
-_DAY_FIRST = [f"d{c}M{c}yyyy{_TIME}" for c in "-/."]
-_NAMED = [f"{text}{_TIME}" for text in ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "d-MMM-yyyy", "yyyy/M/d")]
+#: Date layouts read besides ISO, in this order, once weekday and time of day are cut
+#: off. Where day and month could both come first, the month does, unless ``day_first``
+#: is asked for. Years of two digits are those from 2000 on.
+_MONTH_FIRST = [f"M{c}d{c}yyyy" for c in "-/."]
+_DAY_FIRST = [f"d{c}M{c}yyyy" for c in "-/."]
+_NAMED = ["MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "d-MMM-yyyy", "yyyy/M/d"]
+_SHORT_YEAR = ["d-MMM-yy", "d MMM yy", "MMM d, yy"]
+_MONTH_ONLY = ["MMM yyyy", "MMMM yyyy", "MMM-yyyy", "MMM yy", "MMM-yy", "M/yyyy", "M-yyyy", "M.yyyy", "yyyy/M"]
+_WEEKDAY = r"(?i)^(mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun|monday|tuesday|wednesday|thursday|friday|saturday|sunday)[.,]?\s+"
+_CLOCK = r"(?i)(,|\s)\s*([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(\s*[ap]\.?m\.?)?(\s*(utc|gmt|z))?$"
+
+
+def _filled(date: Column) -> Column:
+    """A date's text without blanks around it; NULL for none."""
+    text = F.trim(date.cast("string"))
+    return F.when(F.length(text) > 0, text)
 
 
 def to_period_yyyymm(*dates: Column, day_first: bool = False) -> Column:
-    """First date given as text, as ``year * 100 + month``; 0 when there is none or it can't be read."""
-    filled = [F.when(F.length(F.trim(d.cast("string"))) > 0, F.trim(d.cast("string"))) for d in dates]
-    text = F.coalesce(*filled)
+    """First date given as text, as ``year * 100 + month``; 0 when there is none or it can't be read.
+
+    Numbers of five digits or more are taken as they stand, but for those of
+    eight, which are a day; see :func:`is_unread` for those that aren't a month.
+    """
+    text = F.coalesce(*[_filled(d) for d in dates])
     digits = F.when(text.rlike("^[0-9]{5,}$") & ~text.rlike("^[0-9]{8}$"), text.try_cast("int"))
     compact = F.when(text.rlike("^[0-9]{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
-    layouts = (_DAY_FIRST + _MONTH_FIRST if day_first else _MONTH_FIRST + _DAY_FIRST) + _NAMED
+    first, second = (_DAY_FIRST, _MONTH_FIRST) if day_first else (_MONTH_FIRST, _DAY_FIRST)
+    short = [k.replace("yyyy", "yy") for k in first + second]
+    layouts = first + second + _NAMED + short + _SHORT_YEAR + _MONTH_ONLY
     iso = F.when(~text.rlike("^[0-9]{5,}$"), F.try_to_timestamp(text))
     # few texts need these
+    bare = F.regexp_replace(F.regexp_replace(text, _CLOCK, ""), _WEEKDAY, "")
     other = F.when(
-        iso.isNull() & text.rlike("[-/., ]"), F.coalesce(*[F.try_to_timestamp(text, F.lit(k)) for k in layouts])
+        iso.isNull() & text.rlike("[-/., ]"),
+        F.coalesce(F.try_to_timestamp(bare), *[F.try_to_timestamp(bare, F.lit(k)) for k in layouts]),
     )
     moment = F.coalesce(compact, iso, other)
     return F.coalesce(digits, F.year(moment) * 100 + F.month(moment), text.try_cast("int"), F.lit(0))
 
 
+def is_unread(period: Column, *dates: Column) -> Column:
+    """Whether a date was given but its ``period`` isn't a month of a year of four digits.
+
+    That is an unreadable text, or a number that isn't a date, such as a
+    spreadsheet's number of a day.
+    """
+    month = period % 100
+    return F.coalesce(*[_filled(d) for d in dates]).isNotNull() & ~(period.between(100001, 999912) & month.between(1, 12))
+
+
 def month_index(period: Column) -> Column:
     return F.floor(period / 100).cast("int") * 12 + period % 100
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tradelanes.dimensions import CountryBook, lookup_key
 from tradelanes.functions import text
-from tradelanes.functions.periods import DEFAULT_PERIOD, to_period_yyyymm
+from tradelanes.functions.periods import DEFAULT_PERIOD, is_unread, to_period_yyyymm
 from tradelanes.session import materialise
 from tradelanes.sources.scans import with_row_id
 
@@ -58,6 +58,15 @@ def _merge_mentions(known: Column) -> Column:
     return F.transform(codes, entry)
 
 
+def _date_columns(raw: DataFrame) -> list[str]:
+    return [c for c in ("date", "notification_date", "Date") if c in raw.columns]
+
+
+def _dates(raw: DataFrame) -> list[Column]:
+    """What a notification may be dated by, in order of preference."""
+    return [F.col(c) for c in _date_columns(raw)] or [F.lit(None).cast("string")]
+
+
 def parse_notifications(raw: DataFrame, book: CountryBook, keep: list[str] | None = None) -> DataFrame:
     """Cleaned notifications, one row each, with mapped origins and destinations.
 
@@ -78,10 +87,7 @@ def parse_notifications(raw: DataFrame, book: CountryBook, keep: list[str] | Non
         F.coalesce("classification", F.lit("")).alias("classification"),
         F.coalesce("risk_decision", F.lit("")).alias("risk_decision"),
         text.extract_hazard_categories(hazards).alias("hazard_category"),
-        to_period_yyyymm(
-            *[_optional(rows, c) for c in ("date", "notification_date", "Date") if c in raw.columns]
-            or [F.lit(None).cast("string")]
-        ).alias("period"),
+        to_period_yyyymm(*_dates(raw)).alias("period"),
         F.filter("_origins", lambda o: o["m49"].isNotNull()).alias("origins"),
         F.transform(
             F.filter("_origins", lambda o: o["m49"].isNull()), lambda o: o["name"]
@@ -297,9 +303,10 @@ def hazard_summary(raw: DataFrame, book: CountryBook) -> DataFrame:
     One pass reduces the notifications to the distinct (origin, destination,
     commodity) triples and the distinct unmapped names, with partial sums;
     the counters are taken from those. :func:`unmapped_countries` lists the
-    names.
+    names. ``unread_dates`` counts the notifications with a date that isn't
+    understood: their alerts have no month and don't weigh anywhere.
     """
-    parsed = parse_notifications(raw, book).withColumn("_pairs", _pairs())
+    parsed = parse_notifications(raw, book, _date_columns(raw)).withColumn("_pairs", _pairs())
     has_origin = F.size("origins") > 0
     has_both = has_origin & (F.size("destinations") > 0)
 
@@ -320,6 +327,7 @@ def hazard_summary(raw: DataFrame, book: CountryBook) -> DataFrame:
         "commodity_hs",
         has_origin.alias("has_origin"),
         has_both.alias("has_both"),
+        is_unread(F.col("period"), *_dates(raw)).alias("unread"),
         (F.size("origins") * F.size("destinations") - F.size("_pairs")).alias("self_pairs"),
         F.posexplode_outer(F.concat(pairs, strangers)).alias("pos", "item"),
     )
@@ -336,6 +344,7 @@ def hazard_summary(raw: DataFrame, book: CountryBook) -> DataFrame:
         "notifications_without_origin": tally(first & ~F.col("has_origin")),
         "notifications_without_destination": tally(first & F.col("has_origin") & ~F.col("has_both")),
         "self_trade_pairs_skipped": F.sum(F.when(first, F.col("self_pairs"))),
+        "unread_dates": tally(first & F.col("unread")),
     }
     for role in text.ROLES:
         counters[f"role_{role}"] = tally(F.coalesce(F.array_contains(roles, role), F.lit(False)))
