@@ -205,3 +205,66 @@ def test_piecewise_small_things(empty):
     moved = b"something new at the start " + whole
     assert ctph.likeness(ctph.signatures(whole), ctph.signatures(moved)) > 0.9
     assert len(MESSY) == 12
+
+
+def plain_signatures(text):
+    """Signatures by whole numbers, byte by byte; ends and symbols as the docstrings state them."""
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+        return x ^ x >> 31
+
+    roll = []
+    for i in range(len(text)):
+        x = sum((text[i - k] + 1) * pow(0x01000193, k + 1, 1 << 32) for k in range(min(7, i + 1))) % (1 << 32)
+        x = (x ^ x >> 15) * 0x2C1B3C6D % (1 << 32)
+        roll.append(x ^ x >> 12)
+
+    def chunks(block):
+        ends = [i + 1 for i, x in enumerate(roll) if x % block == block - 1]
+        return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True) if b > a]
+
+    def symbols(block):
+        parts = chunks(block)
+        if len(parts) > 256:
+            parts = [*parts[:255], b"".join(parts[255:])]
+        out = []
+        for part in parts:
+            value = sum(mixed((x + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) * pow(0x9E3779B97F4A7C1B, k, 1 << 64) for k, x in enumerate(part))
+            out.append(mixed((value + mixed(len(part))) % (1 << 64)) >> 52)
+        return tuple(out)
+
+    block = 3
+    while block * 64 < len(text):
+        block *= 2
+    while block > 3 and len(chunks(block)) < 32:
+        block //= 2
+    while len(chunks(block)) > 256 and len(chunks(2 * block)) >= 32:
+        block *= 2
+    return block, symbols(block), symbols(2 * block)
+
+
+@pytest.mark.parametrize("kind", ["letters", "words", "one letter", "two letters", "period"])
+@pytest.mark.parametrize("size", [1, 6, 7, 190, 800, 6000])
+def test_signatures_by_another_program(kind, size):
+    rng = np.random.default_rng(size)
+    whole = {
+        "letters": lambda: rng.integers(0, 256, size, dtype=np.uint8).tobytes(),
+        "words": lambda: b" ".join([b"alpha", b"beta", b"gamma"][i] for i in rng.integers(0, 3, size)),
+        "one letter": lambda: b"!" * size,
+        "two letters": lambda: b"ab" * size,
+        "period": lambda: (b"A longer line that comes back.\n" * size),
+    }[kind]()[:size]
+    assert ctph.signatures(whole) == plain_signatures(whole)
+
+
+def test_signatures_of_repeating_texts_are_bounded():
+    for letter in range(33, 127):
+        text = bytes([letter]) * 50_000
+        own, longer = ctph.signatures(text), ctph.signatures(text + b"tail" * 500)
+        assert max(map(len, own[1:] + longer[1:])) <= ctph.MOST_CHUNKS
+        assert own[1] and own != longer
+    many = next(bytes([x]) for x in range(33, 127) if len(ctph.signatures(bytes([x]) * 50_000)[1]) == ctph.MOST_CHUNKS)
+    long = ctph.signatures(many * 10_000_000)
+    assert len(long[1]) == ctph.MOST_CHUNKS
+    assert 0.9 < ctph.likeness(ctph.signatures(many * 50_000), ctph.signatures(many * 60_000)) < 1

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from tradelanes.llm.common import arrow, hashes_between, running_hash, whole_text
 from tradelanes.session import materialise
 
-#: Bytes the rolling hash sees, the smallest block, the chunks a signature aims at.
+#: Bytes the rolling hash sees, the smallest block, the chunks a signature aims at and those it has at most.
 WINDOW = 7
 LEAST_BLOCK = 3
 CHUNKS = 64
+MOST_CHUNKS = 256
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
@@ -34,11 +35,22 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signature(roll: np.ndarray, running: np.ndarray, block: int) -> tuple[int, ...]:
-    """One symbol of 12 bits for each chunk; a chunk ends where the rolling hash is full modulo the block size."""
-    ends = np.flatnonzero(roll % np.uint32(block) == block - 1) + 1
-    if not len(ends) or ends[-1] != len(roll):
-        ends = np.append(ends, len(roll))
+def _ends(roll: np.ndarray, block: int) -> np.ndarray:
+    """Where chunks end: after bytes whose rolling hash is full modulo the block size. Twice the size keeps a part of them."""
+    if block >= 1 << 32:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(roll % np.uint32(block) == block - 1) + 1
+
+
+def _chunks(ends: np.ndarray, size: int) -> int:
+    """The chunks that these ends cut, what follows the last end included."""
+    return len(ends) + (not len(ends) or ends[-1] != size)
+
+
+def _signature(ends: np.ndarray, running: np.ndarray) -> tuple[int, ...]:
+    """One symbol of 12 bits for each chunk; the last of ``MOST_CHUNKS`` takes all that is left."""
+    ends = np.append(ends[: MOST_CHUNKS - 1], len(running) - 1)
+    ends = ends[: len(ends) - (len(ends) > 1 and ends[-1] == ends[-2])]
     starts = np.concatenate([[0], ends[:-1]])
     return tuple((hashes_between(running, starts, ends) >> np.uint64(52)).tolist())
 
@@ -48,21 +60,28 @@ def signatures(text: bytes) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
 
     The block size is the smallest ``LEAST_BLOCK * 2**k`` that would give
     ``CHUNKS`` chunks or fewer on average, halved while the text turns out to
-    have fewer than half of them.
+    have fewer than half of them, doubled while it has more than
+    ``MOST_CHUNKS`` and at least ``CHUNKS / 2`` stay. A text that repeats
+    itself may have very many chunks at one size and hardly any at the next;
+    there the last chunk of a signature takes the rest of the text. So a
+    signature has ``MOST_CHUNKS`` symbols at most and sees every byte.
     """
     data = np.frombuffer(text, dtype=np.uint8)
-    if not len(data):
+    size = len(data)
+    if not size:
         return LEAST_BLOCK, (), ()
     block = LEAST_BLOCK
-    while block * CHUNKS < len(data):
+    while block * CHUNKS < size:
         block *= 2
     roll, running = rolling(data), running_hash(data)
-    first = _signature(roll, running, block)
-    second = _signature(roll, running, block * 2)
-    while block > LEAST_BLOCK and len(first) < CHUNKS // 2:
+    first, second = _ends(roll, block), _ends(roll, block * 2)
+    while block > LEAST_BLOCK and _chunks(first, size) < CHUNKS // 2:
         block, second = block // 2, first
-        first = _signature(roll, running, block)
-    return block, first, second
+        first = _ends(roll, block)
+    while _chunks(first, size) > MOST_CHUNKS and _chunks(second, size) >= CHUNKS // 2:
+        block, first = block * 2, second
+        second = _ends(roll, block * 2)
+    return block, _signature(first, running), _signature(second, running)
 
 
 def written(parts: tuple[int, tuple[int, ...], tuple[int, ...]]) -> str:
