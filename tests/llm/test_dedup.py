@@ -1,5 +1,6 @@
 """Exact duplicates and SimHash groups."""
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -34,6 +35,37 @@ def test_exact_messy(messy):
     assert got == want
 
 
+@pytest.mark.parametrize("run_rows, bits", [(1 << 20, 4), (40, 2), (10, 1)])
+def test_runs_merge_into_one_row_a_text(spark, run_rows, bits):
+    rng = np.random.default_rng(bits)
+    # a third of all rows is one text, and a third has no identifier
+    rows = [(None if i % 3 == 1 else i, "hot" if i % 3 == 0 else f"text {rng.integers(0, 60)}") for i in rng.permutation(600).tolist()]
+    members = exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("*", "1L AS _rows")
+    got = exact_dedup.merged_runs(members, run_rows, bits)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "HashAggregate" not in plan
+    want = defaultdict(list)
+    for doc_id, text in rows:
+        want[hashlib.sha256(text.encode()).hexdigest()].append(doc_id)
+    assert {r["text_sha256"]: (r["keep_id"], r["group_size"]) for r in got.collect()} == {
+        key: (min((i for i in ids if i is not None), default=None), len(ids)) for key, ids in want.items()
+    }
+    assert got.count() == len(want)
+
+
+def test_rows_repeated_very_often(spark):
+    frame = spark.range(25_000).selectExpr("CAST(NULL AS long) AS doc_id", "'' AS text").union(
+        spark.range(2001).selectExpr("5L AS doc_id", "'' AS text")
+    )
+    got = exact_dedup.exact_dedup(frame).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(None, 5, 27_001, False, 25_000), (5, 5, 27_001, False, 2000), (5, 5, 27_001, True, 1)}
+
+
+def test_exact_stage_with_columns_that_have_no_order(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, 'a' AS text, map('k', v) AS tags FROM VALUES (2), (1) AS t(v)")
+    assert [tuple(r) for r in exact_dedup.keep_first(docs).collect()] == [(1, "a", {"k": 1})]
+
+
 def test_exact_stage_keeps_columns_and_one_row_each(messy):
     kept = exact_dedup.keep_first(messy)
     assert kept.columns == messy.columns
