@@ -11,7 +11,7 @@ import tiktoken
 pytest.importorskip("tradelanes.llm")
 
 from tests.llm.conftest import MESSY  # noqa: E402
-from tradelanes.llm import bpe, chat, ctph, warc  # noqa: E402
+from tradelanes.llm import bpe, chat, common, ctph, warc  # noqa: E402
 
 import public_tokenizers  # noqa: E402
 
@@ -268,3 +268,21 @@ def test_signatures_of_repeating_texts_are_bounded():
     long = ctph.signatures(many * 10_000_000)
     assert len(long[1]) == ctph.MOST_CHUNKS
     assert 0.9 < ctph.likeness(ctph.signatures(many * 50_000), ctph.signatures(many * 60_000)) < 1
+
+
+def test_folders_that_tasks_open_themselves(spark):
+    assert common.shared_address(spark, "/some/folder") == "file:///some/folder"
+    assert common.shared_address(spark, "file:///some/folder") == "file:///some/folder"
+    with pytest.raises(RuntimeError, match="no file system"):
+        common.shared_address(spark, "unheard://of/folder")
+    # a scheme that Spark knows and tasks don't
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.default.link./data", "file:///tmp")
+    with pytest.raises(RuntimeError, match="tasks cannot open"):
+        common.shared_address(spark, "viewfs://default/data/folder")
+
+
+def test_long_member_of_an_archive(tmp_path):
+    payload = np.random.default_rng(1).integers(0, 256, 12 << 20, dtype=np.uint8).tobytes()
+    data = warc.record(1, "http://x", payload) + warc.record(2, "http://y", b"short")
+    got = [warc.parsed(c) for _, c in warc.members(io.BytesIO(data), 0, len(data))]
+    assert [(r["page_id"], r["payload"]) for r in got] == [(1, payload), (2, b"short")]

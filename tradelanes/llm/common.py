@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,28 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def shared_address(spark: SparkSession, folder: str) -> str:
+    """The full address of ``folder``, which tasks open by themselves.
+
+    A path without scheme lies in the file system that Spark takes for it, so
+    tasks and Spark see the same files. Where tasks can't open that kind of
+    file system, this raises before anything is written.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    try:
+        path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+    except Exception as error:
+        raise RuntimeError(f"Spark has no file system for spark.checkpoint.dir ({folder})") from error
+    scheme, _, rest = path.toUri().toString().partition(":")
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    address = f"{scheme}://{rest}" if not rest.startswith("//") else f"{scheme}:{rest}"
+    try:
+        fs.FileSystem.from_uri(address)
+    except (pa.ArrowException, OSError) as error:
+        raise RuntimeError(f"tasks cannot open files below {address}; set spark.checkpoint.dir to a folder they can") from error
+    return address
+
+
 def fold(modulus: int, column: str = "doc_id") -> Column:
     """The remainder of the identifier's CRC-32; rows without identifier count as ``""``."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

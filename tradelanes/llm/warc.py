@@ -13,13 +13,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradelanes.llm.common import arrow
+from tradelanes.llm.common import arrow, shared_address
 from tradelanes.session import materialise, scratch_folder
 
 #: Payloads below this size are never written as revisits.
 LEAST_SHARED = 100
 _MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 20
+#: Bytes of a member that are unpacked in one go.
+_PIECE = 1 << 16
 _FLUSH = 8 << 20
 #: Archive bytes that a task reads where there are more than four tasks a core.
 _TASK = 256 << 20
@@ -142,7 +144,7 @@ class _Range:
     """Bytes of a file from a position on, read as they are asked for."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.data = file, at, b""
+        self.file, self.at, self.data = file, at, bytearray()
 
     def more(self) -> bool:
         self.file.seek(self.at + len(self.data))
@@ -152,7 +154,7 @@ class _Range:
 
     def skip(self, n: int) -> None:
         self.at += n
-        self.data = self.data[n:]
+        del self.data[:n]
 
 
 def _is_member(span: _Range, offset: int) -> bool:
@@ -204,7 +206,7 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         while not unpack.eof:
             if used >= len(span.data) and not span.more():
                 raise EOFError(f"the member at {offset} is cut off")
-            piece = span.data[used : used + _READ]
+            piece = span.data[used : used + _PIECE]
             content.append(unpack.decompress(piece))
             used += len(piece)
         span.skip(used - len(unpack.unused_data))
@@ -278,9 +280,7 @@ def archived_pages(pages: DataFrame, split: int = 4 << 20) -> DataFrame:
     written is an error.
     """
     spark = pages.sparkSession
-    folder = scratch_folder(spark, "warc")
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    folder = shared_address(spark, scratch_folder(spark, "warc"))
     files = write_archives(pages, folder)
     records = read_archives(spark, files, split)
     response = F.col("record_type") == "response"
