@@ -163,7 +163,7 @@ def test_language_model_refuses_mixed_reads():
     home = hpy_lm._pack_all(*zip([one(7), one(2), one(11, 12), one(1, 2), one(1, 1), np.zeros(2).view(np.uint64)], hpy_lm._HOMES, strict=True))
 
     def sums(portion, tokens):
-        score = np.array([-1.0, -2.0], "<f4").view(np.uint32)
+        score = np.array([1.0, 2.0]) / hpy_lm._UNIT
         return hpy_lm._pack_all(
             *zip([one(portion), one(2), one(0, 1), one(*tokens), one(0, 1), np.zeros(2).view(np.uint64), score], hpy_lm._SUMMED, strict=True)
         )
@@ -222,21 +222,46 @@ def test_language_model_is_a_distribution():
         assert math.isclose(p.sum() + room * state.unseen() / (hpy_lm.CONCENTRATION + counts[c].sum()), 1, rel_tol=1e-9)
 
 
-def test_seating_against_the_exact_distribution():
-    """Tables of a cell follow the weights of all seatings of its customers."""
-    n, discount, pull = 5, 0.4, 0.8
-    weight = {1: pull}
+def _table_weights(n, discount, pull):
+    """How likely each number of tables is among all seatings of n customers, one customer after the other."""
+    likely = np.zeros(n + 1)
+    likely[1] = 1.0
     for seated in range(1, n):
-        new = Counter()
-        for t, w in weight.items():
-            new[t] += w * (seated - discount * t)
-            new[t + 1] += w * pull
-        weight = new
-    total = sum(weight.values())
-    rng = np.random.default_rng(0)
-    got = Counter(hpy_lm.seat(np.full(40_000, n), np.full(40_000, pull), discount, rng, 30).tolist())
-    for t, w in weight.items():
-        assert abs(got[t] / 40_000 - w / total) < 0.015
+        grown = likely * np.maximum(seated - discount * np.arange(n + 1), 0)
+        grown[1:] += pull * likely[:-1]
+        likely = grown / grown.sum()
+    return likely
+
+
+def test_seating_against_the_exact_distribution():
+    """Tables of a cell follow the weights of all seatings of its customers, with the sweeps that are used."""
+    for n, discount, pull in ((2, 0.75, 0.01), (5, 0.4, 0.8), (32, 0.75, 3.0), (33, 0.75, 3.0), (60, 0.2, 8.0)):
+        likely = _table_weights(n, discount, pull)
+        got = hpy_lm.seat(np.full(40_000, n), np.full(40_000, pull), discount, np.random.default_rng(0), hpy_lm.SWEEPS)
+        assert np.abs(np.bincount(got, minlength=n + 1) / 40_000 - likely).max() < 0.02
+
+
+def test_tables_of_large_cells():
+    """Cells of few and of many customers have as many tables as they should, within a twentieth."""
+    for n in (5, 20, 100, 500, 2_000, 20_000):
+        for pull in (0.05, 1.0, 10.0, 100.0):
+            for discount in (0.4, 0.75):
+                mean = float(_table_weights(min(n, 5_000), discount, pull) @ np.arange(min(n, 5_000) + 1))
+                got = hpy_lm.seat(np.full(2_000, n), np.full(2_000, pull), discount, np.random.default_rng(1), hpy_lm.SWEEPS)
+                assert got.min() >= 1 and got.max() <= n
+                assert abs(got.mean() / mean - 1) < 0.05
+
+
+def test_seating_of_mixed_cells():
+    """Cells of all sizes at once, none and one customer among them; huge and tiny weights of new tables."""
+    counts = np.array([0, 1, 2, 33, 0, 1_000_000, 5, 40, 2, 700])
+    rng = np.random.default_rng(2)
+    for pull in (0.0, 1e-12, 1.0, 1e12):
+        got = hpy_lm.seat(counts, np.full(len(counts), pull), 0.75, rng, hpy_lm.SWEEPS)
+        assert (got[counts > 0] >= 1).all() and (got <= counts).all()
+        if pull < 1e-9:
+            assert (got == np.minimum(counts, 1)).all()
+    assert len(hpy_lm.seat(np.zeros(0, np.int64), np.zeros(0), 0.5, rng, 3)) == 0
 
 
 def test_mix_messy(messy, empty, documents):

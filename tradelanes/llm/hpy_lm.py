@@ -23,15 +23,17 @@ FOLDS, HELD_OUT = 7, 2
 #: Words whose counts and restaurants every task knows; those of other words are looked up part by part.
 FREQUENT = 1 << 17
 #: Rounds of Gibbs sampling that bring all parts up to date with each other, and seatings averaged at the end.
-ROUNDS, SAMPLES, SWEEPS = 2, 3, 2
+ROUNDS, SAMPLES, SWEEPS = 2, 3, 3
 #: Tokens a part of the model should have, and text bytes packed at a time.
 PART_TOKENS = 1_500_000
 _PORTION = 4 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
 _CHUNK = 1 << 16
 CONCENTRATION = 1.0
-#: Customers seated at a time, as a share of those that sit already; below 1 / _PACE one by one.
-_PACE = 1 / 32
+#: Customers seated at a time, as a share of those that sit already; below 2 / _PACE one by one.
+_PACE = 1 / 128
+#: Customers of a cell up to which all numbers of tables are weighed against each other.
+_WEIGHED = 32
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,39 +251,85 @@ class State:
         return (CONCENTRATION + self.top_discount * self.distinct) / (CONCENTRATION + self.all_tables)
 
 
+def _drawn(n: int, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of cells of ``n`` customers each, drawn from the weights of all their seatings."""
+    seatings = np.zeros(n + 1)  # weight of all seatings at k tables, without the new tables' own
+    seatings[1] = 1.0
+    k = np.arange(n + 1)
+    for seated in range(1, n):
+        grown = seatings * np.maximum(seated - discount * k, 0)
+        grown[1:] += seatings[:-1]
+        seatings = grown
+    total = np.zeros(len(pull))
+    weights = np.empty((n, len(pull)))
+    power = np.ones(len(pull))
+    for tables in range(1, n + 1):
+        total += seatings[tables] * power
+        weights[tables - 1] = total
+        power *= np.minimum(pull, 1e9)
+    return 1 + (weights[:-1] < rng.random(len(pull)) * total).sum(axis=0)
+
+
+def _outlook(counts: np.ndarray, pull: np.ndarray, discount: float) -> np.ndarray:
+    """For each cell the x in 0..1 with ``pull * x == counts * (1 - x) ** (1 - discount)``, by bisection.
+
+    Tables of a cell are a Poisson number of sizes that follow Sibuya's law;
+    at this x, sizes weighing x to their power add up to the cell's customers.
+    """
+    low, high = np.zeros(len(counts)), np.ones(len(counts))  # of 1 - x
+    for _ in range(40):
+        rest = (low + high) / 2
+        more = counts * rest ** (1 - discount) > pull * (1 - rest)
+        high, low = np.where(more, rest, high), np.where(more, low, rest)
+    return 1 - high
+
+
 def seat(counts: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator, sweeps: int) -> np.ndarray:
     """Tables of each cell with that many customers, where a new table weighs ``pull``.
 
-    A sweep seats the customers of every cell anew, one after the other: at a
-    table taken, with weight of its customers less the discount, or at a new
-    one. Together with the tables their total weights are kept; the new seating
-    replaces the old with the probability that makes the old and new weights
-    balance. Of many customers a small share sits down at a time.
+    Gibbs sampling by blocks: given all other cells, a cell's whole seating is
+    drawn anew. Its probability is the product of the weights with which
+    customers sit down, a table's customers less the discount or the new
+    table's, so a customer's choice depends on those that come after. For few
+    customers these weights are added up. More of them
+    are seated one after the other by weights that foresee the rest: a table
+    opened after i of n customers counts ``(1 - x + x * i / n) ** discount``
+    times its weight, which is right on average for all n and ``pull``. What is
+    left between these and the true weights is made up for by Metropolis' rule
+    over ``sweeps`` seatings. Of many customers a small share, ``_PACE``, sits
+    down at a time.
     """
     tables = np.minimum(counts, 1).astype(np.int64)
-    many = np.flatnonzero(counts > 1)
+    few = np.flatnonzero((counts > 1) & (counts <= _WEIGHED))
+    few = few[np.argsort(counts[few], kind="stable")]
+    for own in np.split(few, np.flatnonzero(np.diff(counts[few])) + 1):
+        if len(own):
+            tables[own] = _drawn(int(counts[own[0]]), pull[own], discount, rng)
+    many = np.flatnonzero(counts > _WEIGHED)
     if not len(many):
         return tables
     many = many[np.argsort(-counts[many], kind="stable")]
     n_all, a_all = counts[many].astype(np.float64), pull[many]
+    x_all = _outlook(n_all, a_all, discount)
     kept, kept_weight = None, None
     for _ in range(sweeps):
-        t, seated, weight = np.ones(len(many)), np.ones(len(many)), np.zeros(len(many))
-        live = len(many)
+        t, weight = np.ones(len(many)), np.zeros(len(many))
+        live, s = len(many), 1
         while live:
-            n, s, a = n_all[:live], seated[:live], a_all[:live]
-            step = np.minimum(np.maximum(1.0, np.floor(s * _PACE)), n - s)
-            full = s - discount * t[:live] + a
-            chance = np.minimum(a / full, 1.0)
-            single = step == 1
-            fresh = (rng.random(live) < chance).astype(np.float64)
-            if not single.all():
-                bulk = np.flatnonzero(~single)
-                fresh[bulk] = rng.binomial(step[bulk].astype(np.int64), chance[bulk])
+            n, a, x = n_all[:live], a_all[:live], x_all[:live]
+            step = np.minimum(max(1, int(s * _PACE)), n - s)  # all cells have as many seated
+            middle = s + (step - 1) / 2
+            ahead = (1 - x * (1 - middle / n)) ** discount
+            full = middle - discount * t[:live] + a * ahead
+            chance = np.minimum(a * ahead / full, 1.0)
+            if s * _PACE < 2:
+                fresh = (rng.random(live) < chance).astype(np.float64)
+            else:
+                fresh = rng.binomial(step.astype(np.int64), chance).astype(np.float64)
             t[:live] += fresh
-            weight[:live] += step * np.log(full)
-            seated[:live] += step
-            live = int((seated[:live] < n_all[:live]).sum())  # the largest come first
+            weight[:live] += step * np.log(full) - fresh * np.log(ahead)
+            s += max(1, int(s * _PACE))
+            live = int(np.searchsorted(-n, -s, side="left"))  # the largest come first
         if kept is None:
             kept, kept_weight = t, weight
         else:
@@ -458,8 +506,9 @@ def _next_state(cells: DataFrame, known: Known, state: State | None, seed: int,
 
 _PARTIAL = "bucket int, sums binary, homes binary"
 _SCORES = "_key long, n_tokens long, n_known long, base_score double, score double"
-#: Bytes of: portions, rows in use of each, those rows; their tokens, rare words known, base score of rare words, and score.
-_SUMMED = (*_USED, 5, 5, 8, 4)
+#: Bytes of: portions, rows in use of each, those rows; their tokens, rare words known, base score of rare words, and score in units of ``_UNIT`` below zero.
+_SUMMED = (*_USED, 5, 5, 8, 6)
+_UNIT = 2.0**-20
 
 
 def _dealt(columns: list[np.ndarray], buckets: int) -> dict[int, list[np.ndarray]]:
@@ -497,7 +546,7 @@ def _scores(batches: Iterator[pa.RecordBatch], known: Known, state: State, bucke
         own = lambda value: np.bincount(rows, weights=value[cell], minlength=len(texts[2]))  # noqa: B023, E731
         columns = [*texts, np.bincount(rows, minlength=len(texts[2])), own(seen[part.word]), own(rare[part.word]), own(log_p)]
         columns[5] = columns[5].view(np.uint64)
-        columns[6] = columns[6].astype("<f4").view(np.uint32)
+        columns[6] = np.rint(np.maximum(-columns[6], 0) / _UNIT).astype(np.uint64)
         sums = _dealt(columns, buckets)
         homes = _dealt(_unpack_all(row["homes"], *_HOMES), buckets)
         filled = sorted(sums.keys() | homes.keys())
@@ -532,7 +581,7 @@ def _whole(frame: pd.DataFrame) -> pd.DataFrame:
             "n_tokens": n.astype(np.int64),
             "n_known": often.astype(np.int64) + np.rint(add(rare)).astype(np.int64),
             "base_score": base.view("<f8") + add(rare_base.view("<f8")),
-            "score": add(score.astype("<u4").view("<f4")),
+            "score": -_UNIT * add(score),
         }
     )
 
