@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -157,6 +158,45 @@ def test_language_model_beats_counts_on_held_out_rows(spark):
     assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)
 
 
+def _lined_text(rng, lines):
+    words = [b"the", b"The", b"!!", "\u00c9t\u00e9".encode(), b"12", b"cat.", b"$x$", b""]
+    return b"\n".join(b" ".join(words[k] for k in rng.integers(0, 8, rng.integers(0, 6))) for _ in range(lines))
+
+
+def test_quality_of_texts_cut_by_lines(monkeypatch):
+    """Texts cut into stretches of lines, with messages carried between them, score as whole ones do."""
+    rng = np.random.default_rng(0)
+    field = quality_crf.Field(rng.normal(size=36), rng.normal(size=(2, 2)), 1.3, -0.2)
+    texts = [_lined_text(rng, n) for n in (1, 300, 3, 0, 1, 101, 2, 100)] + [b"", b"\n", b"\n\n\n"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    want = field.score(*quality_crf.line_features(data, offsets))
+    for stretch in (1, 2, 50, 2048):
+        monkeypatch.setattr(quality_crf, "_STRETCH", stretch)
+        for most in (1, 3, 64, 10_000):
+            assert np.abs(field.score_texts(data, offsets, most) - want).max() < 1e-5
+
+
+def test_quality_does_not_depend_on_the_texts_beside():
+    rng = np.random.default_rng(1)
+    field = quality_crf.Field(rng.normal(size=36), rng.normal(size=(2, 2)))
+    texts = [b"cat cat", b"cat", b"cat\ncat", b"cat"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    together = field.score(*quality_crf.line_features(data, offsets))
+    alone = [field.score(*quality_crf.line_features(np.frombuffer(t, np.uint8), np.array([0, len(t)])))[0] for t in texts]
+    assert np.allclose(together, alone, atol=1e-12)
+
+
+def test_quality_of_millions_of_empty_lines():
+    """A text of line breaks takes some fifty bytes of memory a line."""
+    field = quality_crf.Field(np.full(36, 0.1), np.zeros((2, 2)))
+    data = np.full(2_000_000, 10, np.uint8)
+    tracemalloc.start()
+    score = field.score_texts(data, np.array([0, len(data)]), quality_crf.LINES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < score[0] < 1 and peak < 200 << 20
+
+
 def test_language_model_refuses_mixed_reads():
     """A part made from another reading of the texts than the one that holds their keys isn't added up."""
     one = lambda *values: np.array(values, np.uint64)

@@ -17,6 +17,9 @@ from tradelanes.llm.labelled import FOLDS, platt, sample, sigmoid
 PER_CLASS = 800
 MOST_BYTES = 40_000
 _ROUNDS = 80
+#: Lines whose features are held at a time, and lines of a long text that follow one another step by step.
+LINES = 1 << 16
+_STRETCH = 1 << 11
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -46,9 +49,22 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.maximum(ends, starts), first
 
 
-def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines, own ones and their neighbours', the lines' lengths, and the lines before each text."""
-    starts, ends, first = lines_of(data, offsets)
+def repeats(hashes: np.ndarray) -> np.ndarray:
+    """Hashes that occur more than once, in order."""
+    ordered = np.sort(hashes)
+    return np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+
+
+def _among(hashes: np.ndarray, found: np.ndarray) -> np.ndarray:
+    if not len(found):
+        return np.zeros(len(hashes), bool)
+    return found[np.minimum(np.searchsorted(found, hashes), len(found) - 1)] == hashes
+
+
+def own_features(
+    data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, repeated: np.ndarray, last: np.uint64 | None = None
+) -> tuple[np.ndarray, np.uint64 | None]:
+    """Features of lines without their neighbours', and the hash of the last word; ``last`` is that of the word before."""
     length = (ends - starts).astype(np.float64)
     before = np.zeros(len(data), np.uint8)
     before[1:] = data[:-1]
@@ -57,7 +73,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     upper = sums(_UPPER[data] | accented, starts, ends)
     lower = sums(_LOWER[data] | ((before == 0xC3) & (data >= 0x9F)), starts, ends)
     marks = sums(_MARK[data], starts, ends)
-    w_start, w_end, _ = word_spans(data, offsets)
+    w_start, w_end, w_first = word_spans(data, offsets)
     lo, hi = np.searchsorted(w_start, starts), np.searchsorted(w_start, ends)
     words = hi - lo
     mark_end = _MARK[data[w_end - 1]] if len(w_end) else np.zeros(0, bool)
@@ -65,9 +81,11 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     hashes = span_hashes(data, w_start, w_end)
     same = np.zeros(len(hashes), bool)
     same[1:] = hashes[1:] == hashes[:-1]
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    whole = span_hashes(data, starts, ends) + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    _, where, count = np.unique(whole, return_inverse=True, return_counts=True)
+    same[w_first[:-1][w_first[:-1] < len(hashes)]] = False  # a text's first word follows none
+    if len(hashes):
+        if last is not None:
+            same[0] = hashes[0] == last
+        last = hashes[-1]
     safe = np.maximum(words, 1)
     own = np.stack(
         [
@@ -81,10 +99,19 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
             np.log1p(length) / 5,
             np.log1p(words) / 3,
             (length == 0).astype(float),
-            (count[where] > 1).astype(float),
+            repeated.astype(float),
         ],
         axis=1,
     )
+    return own, last
+
+
+def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines, own ones and their neighbours', the lines' lengths, and the lines before each text."""
+    starts, ends, first = lines_of(data, offsets)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    whole = span_hashes(data, starts, ends) + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own, _ = own_features(data, offsets, starts, ends, _among(whole, repeats(whole)))
     here = np.arange(len(starts))
     is_first, is_last = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
     is_first[first[:-1]] = True
@@ -92,7 +119,34 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     previous = np.where(is_first[:, None], 0, own[np.maximum(here - 1, 0)])
     following = np.where(is_last[:, None], 0, own[np.minimum(here + 1, len(here) - 1)])
     edges = np.stack([is_first, is_last, np.ones(len(here))], axis=1)
-    return np.concatenate([own, previous, following, edges], axis=1), length, first
+    return np.concatenate([own, previous, following, edges], axis=1), (ends - starts).astype(np.float64), first
+
+
+def _stretches(data: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Bounds of a text's lines, line k from bound k to bound k + 1 less one, and stretches of ``most`` lines at most."""
+    bounds = np.concatenate([[0], np.flatnonzero(data == 10) + 1, [len(data) + 1]])
+    lines = len(bounds) - 1
+    return bounds, [(k, min(k + most, lines)) for k in range(0, lines, most)]
+
+
+def long_text(data: np.ndarray, weights: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the lines of one text for the state good, and their lengths, ``most`` lines at a time."""
+    bounds, stretches = _stretches(data, most)
+    cut = lambda a, b: (data[bounds[a] : bounds[b] - 1], bounds[a:b] - bounds[a], bounds[a + 1 : b + 1] - 1 - bounds[a])
+    hashes = np.concatenate([span_hashes(*cut(a, b)) for a, b in stretches])
+    found = repeats(hashes)
+    score = np.zeros(len(hashes), np.float32)
+    size, last = (len(weights) - 3) // 3, None
+    for a, b in stretches:
+        piece, starts, ends = cut(a, b)
+        own, last = own_features(piece, np.array([0, len(piece)]), starts, ends, _among(hashes[a:b], found), last)
+        score[a:b] += own @ weights[:size] + weights[-1]
+        after = (own @ weights[size : 2 * size])[: len(score) - a - 1]
+        score[a + 1 : b + 1] += after
+        score[max(a - 1, 0) : b - 1] += (own @ weights[2 * size : 3 * size])[0 if a else 1 :]
+    score[0] += weights[-3]
+    score[-1] += weights[-2]
+    return score, np.diff(bounds).astype(np.int32) - 1
 
 
 @dataclass
@@ -142,14 +196,81 @@ class Field:
         good = both[:, 1] / both.sum(axis=1)
         return (good, moved, log_z) if pairs else good
 
+    def mean_of_chain(self, score: np.ndarray, length: np.ndarray) -> float:
+        """Mean probability of good over one text's lines, weighing by length, without a step for each line.
+
+        The text is cut into stretches of ``_STRETCH`` lines, which advance
+        together: once to find what each does to any message that enters it,
+        then, with the messages carried from stretch to stretch, forward and
+        backward as in ``marginals``.
+        """
+        move = np.exp(self.moves)
+        begin = np.arange(0, len(score), _STRETCH)
+        steps, rest = min(_STRETCH, len(score)), len(score) - begin[-1]
+
+        def local(at: np.ndarray) -> np.ndarray:
+            return np.stack([np.ones(len(at)), np.exp(np.clip(score[at].astype(np.float64), -30, 30))], axis=1)
+
+        through = np.tile(np.eye(2), (len(begin), 1, 1))
+        for t in range(steps):
+            live = len(begin) - (t >= rest)
+            here = (through[:live] @ move) * local(begin[:live] + t)[:, None, :]
+            through[:live] = here / here.sum(axis=(1, 2), keepdims=True)
+            if t == 0:
+                through[0] = local(begin[:1])  # nothing comes before the first line
+        enter, leave = np.empty((len(begin), 2)), np.ones((len(begin), 2))
+        enter[0] = 0.5
+        for k in range(1, len(begin)):
+            enter[k] = through[0, 0] if k == 1 else enter[k - 1] @ through[k - 1]
+            enter[k] /= enter[k].sum()
+            leave[-k - 1] = through[-k] @ leave[-k]
+            leave[-k - 1] /= leave[-k - 1].sum()
+        ahead = np.empty(len(score), np.float32)
+        state = enter
+        for t in range(steps):
+            at = begin[: len(begin) - (t >= rest)] + t
+            here = (state[: len(at)] @ move) * local(at)
+            if t == 0:
+                here[0] = local(begin[:1])[0]
+            state = here / here.sum(axis=1, keepdims=True)
+            ahead[at] = state[:, 1] / state[:, 0]
+        total, back = 0.0, leave
+        for t in range(steps - 1, -1, -1):
+            at = begin[: len(begin) - (t >= rest)] + t
+            odds = ahead[at].astype(np.float64) * back[: len(at), 1]
+            total += float((odds / (odds + back[: len(at), 0]) * (length[at] + 1)).sum())
+            before = (local(at) * back[: len(at)]) @ move.T
+            back[: len(at)] = before / before.sum(axis=1, keepdims=True)
+        return total / float(length.sum(dtype=np.float64) + len(length))
+
     def raw(self, features: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log odds of the mean probability of good, lines weighing by their length."""
         good = self.marginals(features, first)
         weight = length + 1
         mean = np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
+        return self.odds(mean)
+
+    @staticmethod
+    def odds(mean):
         mean = np.clip(mean, 1e-6, 1 - 1e-6)
         return np.log(mean / (1 - mean))
 
+    def score_texts(self, data: np.ndarray, offsets: np.ndarray, most: int) -> np.ndarray:
+        """Scores of texts, ``most`` lines at a time; a text of more is cut itself."""
+        breaks = np.searchsorted(np.flatnonzero(data == 10), offsets)
+        lines = breaks + np.arange(len(offsets))
+        out, start = np.empty(len(offsets) - 1), 0
+        while start < len(out):
+            end = max(int(np.searchsorted(lines, lines[start] + most, side="right")) - 1, start + 1)
+            own = data[offsets[start] : offsets[end]]
+            if lines[end] - lines[start] > most:
+                mean = self.mean_of_chain(*long_text(own, self.weights, most))
+                out[start] = sigmoid(self.slope * self.odds(mean) + self.offset)
+            else:
+                out[start:end] = self.score(*line_features(own, offsets[start : end + 1] - offsets[start]))
+            start = end
+        return out
+
     def score(self, features: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * self.raw(features, length, first) + self.offset)
 
@@ -187,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "_text"):
+        for batch in portions(batches, "_text", LINES):  # a byte may be a line
             features, length, first = line_features(*utf8(batch.column("_text")))
             cells = [features[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             sizes = [length[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -215,7 +336,7 @@ def score_quality(docs: DataFrame, field: Field) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "_text", 4 << 20):
-            score = field.score(*line_features(*utf8(batch.column("_text"))))
+            score = field.score_texts(*utf8(batch.column("_text")), LINES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score)], names=["doc_id", "held_out", "score"])
 
     scored = docs.select("doc_id", (fold(FOLDS) == 0).alias("held_out"), whole_text().alias("_text")).mapInArrow(
