@@ -53,9 +53,10 @@ def merge_trade_files(t: SharedTables) -> DataFrame:
     folder = scratch_folder(t.spark, "files")
     trade = materialise(t.trade)
     imports, exports = flows.filter_flow(trade, "M"), flows.filter_flow(trade, "X")
-    sinks.write_csv(imports, folder)
-    sinks.write_csv(imports, folder, mode="append")
-    sinks.write_csv(exports.withColumn("source_from_country", F.col("reporterDesc")), folder, mode="append")
+    sinks.write_csv(imports, folder, compression="gzip")
+    sinks.write_csv(imports, folder, mode="append", compression="gzip")
+    tagged = exports.withColumn("source_from_country", F.col("reporterDesc"))
+    sinks.write_csv(tagged, folder, mode="append", compression="gzip")
     return _tally(scans.merge_trade_files(t.spark, folder))
 
 

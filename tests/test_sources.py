@@ -259,3 +259,13 @@ def test_indented_payload(spark, tmp_path):
     assert scans.json_payload_to_rows(spark, str(tmp_path / "j"), whole=True).count() == 2
     with pytest.raises(Exception, match="(?i)malformed"):
         scans.json_payload_to_rows(spark, str(tmp_path / "j")).collect()
+
+
+def test_packed_files_are_listed_and_merged(spark, tmp_path):
+    folder = str(tmp_path / "packed")
+    rows = spark.read.schema(schemas.TRADE).csv(spark.sparkContext.parallelize([ROW, ROW.replace("2022", "2023")]))
+    sinks.write_csv(rows.coalesce(1), folder, compression="gzip")
+    sinks.write_csv(rows.coalesce(1), folder, mode="append", compression="gzip")
+    names = [r.file_name for r in scans.list_input_files(spark, folder).collect()]
+    assert len(names) == 2 and all(name.endswith(".csv.gz") for name in names)
+    assert sorted(map(tuple, scans.merge_trade_files(spark, folder).collect())) == sorted(map(tuple, rows.collect()))

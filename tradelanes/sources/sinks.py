@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from tradelanes.functions.guards import null_out_nonfinite
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> str:
     """Texts are written as they are: Spark would strip blanks at their ends."""
     writer = null_out_nonfinite(df).write.mode(mode).option("header", True).option("escape", '"')
     for side in ("Leading", "Trailing"):
         writer = writer.option(f"ignore{side}WhiteSpace", False)
-    writer.option("emptyValue", "").csv(path)
+    writer.option("emptyValue", "").option("compression", compression).csv(path)
     return path
 
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    null_out_nonfinite(df).write.mode(mode).json(path)
+def write_json(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> str:
+    null_out_nonfinite(df).write.mode(mode).option("compression", compression).json(path)
     return path
 
 
