@@ -134,7 +134,8 @@ def json_payload_to_rows(t: SharedTables) -> DataFrame:
     """One document per row; rows without weight become documents with an empty list."""
     row = F.struct(*[F.col(c) for c in t.trade.columns])
     data = F.filter(F.array(row), lambda r: r["netWgt"].isNotNull())
-    path = sinks.write_json(t.trade.select(data.alias("data")), scratch_folder(t.spark, "payload"))
+    documents = t.trade.select(data.alias("data"))
+    path = sinks.write_json(documents, scratch_folder(t.spark, "payload"), compression="gzip")
     return _tally(scans.json_payload_to_rows(t.spark, path))
 
 

@@ -269,3 +269,12 @@ def test_packed_files_are_listed_and_merged(spark, tmp_path):
     names = [r.file_name for r in scans.list_input_files(spark, folder).collect()]
     assert len(names) == 2 and all(name.endswith(".csv.gz") for name in names)
     assert sorted(map(tuple, scans.merge_trade_files(spark, folder).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_payload_is_read_from_packed_files(spark, tmp_path):
+    folder = str(tmp_path / "payload")
+    rows = spark.read.schema(schemas.TRADE).csv(spark.sparkContext.parallelize([ROW]))
+    document = F.array(F.struct(*rows.columns)).alias("data")
+    sinks.write_json(rows.select(document), folder, compression="gzip")
+    assert {p.suffix for p in (tmp_path / "payload").glob("part-*")} == {".gz"}
+    assert scans.json_payload_to_rows(spark, folder).collect() == rows.collect()
