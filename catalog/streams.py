@@ -26,11 +26,15 @@ from tradelanes.streaming.hazard_stream import hazard_days, stream_hazard
     "severity",
 )
 def streamed_days(t: SharedTables) -> DataFrame:
-    """All days, after notifications have arrived in four batches and in no order of time."""
+    """All days, after notifications have arrived in four batches and in no order of time.
+
+    A batch has a file for every core, so that none waits for another's part.
+    """
     source, sink = scratch_folder(t.spark, "arrivals"), scratch_folder(t.spark, "days")
     dated = t.raw.withColumn("event_time", F.to_timestamp(F.concat(F.coalesce("date", "notification_date"), F.lit("T00:00:00Z"))))
-    dated.repartition(4, "row_id").write.parquet(source)
-    arrivals = t.spark.readStream.schema(dated.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    files = t.spark.sparkContext.defaultParallelism
+    dated.repartition(4 * files, "row_id").write.parquet(source)
+    arrivals = t.spark.readStream.schema(dated.schema).option("maxFilesPerTrigger", files).parquet(source)
     stream_hazard(arrivals, t.book, sink, scratch_folder(t.spark, "progress")).awaitTermination()
     days = hazard_days(t.spark, sink)
     return days.select(F.col("day").cast("string").alias("day"), *CORRIDOR, "severity", "events")

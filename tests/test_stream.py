@@ -111,3 +111,19 @@ def test_stream_of_the_declared_layout(spark, book, places, tmp_path):
     df.write.parquet(source)
     stream_hazard(spark.readStream.schema(df.schema).parquet(source), book, sink, progress).awaitTermination()
     assert [(d, n) for d, _, _, n in days(hazard_days(spark, sink))] == [("2025-01-01", 1), ("2025-06-01", 1)]
+
+
+def test_a_batch_has_a_part_for_every_core(spark, shared, monkeypatch):
+    from catalog import streams
+
+    parts = []
+
+    def look(arrivals, *rest):
+        stream = arrivals.writeStream.foreachBatch(lambda batch, _: parts.append(batch.select("_metadata.file_path").distinct().count()))
+        return stream.option("checkpointLocation", rest[-1]).trigger(availableNow=True).start()
+
+    monkeypatch.setattr(streams, "stream_hazard", look)
+    monkeypatch.setattr(streams, "hazard_days", lambda session, path: session.createDataFrame([], "day date, commodity_hs string, destination_m49 int, origin_m49 int, severity double, events bigint"))
+    streams.streamed_days(shared)
+    cores = spark.sparkContext.defaultParallelism
+    assert 1 < max(parts) <= cores and sum(parts) > cores

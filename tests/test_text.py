@@ -191,3 +191,13 @@ def test_period_of_other_layouts(spark, date, expected):
 )
 def test_dates_that_were_given_but_not_read(spark, dates, unread):
     assert apply(spark, lambda *d: periods.is_unread(periods.to_period_yyyymm(*d), *d), *dates) == unread
+
+
+@pytest.mark.parametrize(
+    "build",
+    [text.parse_hazard_type, text.parse_classification, text.parse_risk_decision, periods.to_period_yyyymm],
+)
+def test_a_text_is_cleaned_once(spark, build):
+    given = spark.createDataFrame([(" Alert ",)], "a string")
+    plan = given.select(build(F.concat("a", F.lit("!"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(") <= 2

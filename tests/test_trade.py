@@ -158,3 +158,17 @@ def test_demand_inelasticity(spark, numbers, dis):
     rows = [("h", 1, 2000 + i, v) for i, v in enumerate(numbers)]
     got = consumption.demand_inelasticity(pcc(spark, rows)).first().dis
     assert got == (None if dis is None else pytest.approx(dis, abs=1e-3))
+
+
+def test_codes_are_read_after_the_sums(spark):
+    row = {"period": 2022, "reporterCode": 1, "partnerCode": 2, "flowCode": "M", "netWgt": 1.0, "primaryValue": 2.0}
+    codes = ["110220", "110220.0", " 110220", None, "", "ex 1"]
+    trade = spark.createDataFrame(
+        [(*row.values(), code) for code in codes],
+        "period int, reporterCode int, partnerCode int, flowCode string, netWgt double, primaryValue double, cmdCode string",
+    )
+    cube = flows.trade_cube(trade, normalise=True)
+    got = {r.commodity_hs: (r.import_rows, r.import_kg, r.import_usd, r.export_rows, r.export_kg) for r in cube.collect()}
+    assert got == {"110220": (3, 3.0, 6.0, 0, 0.0), "": (2, 2.0, 4.0, 0, 0.0), "ex 1": (1, 1.0, 2.0, 0, 0.0)}
+    plan = cube._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.rindex("Aggregate")
