@@ -119,7 +119,7 @@ def test_a_batch_has_a_part_for_every_core(spark, shared, monkeypatch):
     parts = []
 
     def look(arrivals, *rest):
-        stream = arrivals.writeStream.foreachBatch(lambda batch, _: parts.append(batch.select("_metadata.file_path").distinct().count()))
+        stream = arrivals.writeStream.foreachBatch(lambda batch, _: parts.append(batch.select(F.input_file_name().alias("f")).distinct().count()))
         return stream.option("checkpointLocation", rest[-1]).trigger(availableNow=True).start()
 
     monkeypatch.setattr(streams, "stream_hazard", look)
