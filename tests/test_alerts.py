@@ -1,5 +1,7 @@
 """From raw notifications to hazard metrics, on hand-made cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +188,45 @@ def test_alerts_without_reference_stay_apart(spark, book):
     )
     got = alerts.build_notifications(alerts.extract_corridors(df, book)).orderBy("commodity_hs").collect()
     assert [r.commodity_hs for r in got] == ["100630", "110220"]
+
+
+def test_events_are_paired_from_written_notifications(spark, book):
+    df = raw(
+        spark,
+        {"origin": "UK,France,United Kingdom,UK", "notifying_country": "Spain", "distribution": "France,Atlantis,spain"},
+        {"origin": "United Kingdom", "for_attention": "Spain", "commodities": "later"},
+        {"origin": "Spain", "notifying_country": "Spain", "reference": "self", "hazards": "none"},
+        {"origin": "Spain,France", "notifying_country": "Spain", "reference": "some", "hazards": "{x}"},
+    )
+    run = runs.run_hazard(df, book)
+    order = ["row_id", "pos"]
+    shown = ["row_id", "origin_country", "destination_country", "destination_roles"]
+    got = [tuple(r) for r in run.events.orderBy(order).select(shown).collect()]
+    both = ["distribution", "notifier"]
+    assert got == [
+        (0, "UK", "Spain", both), (0, "UK", "France", ["distribution"]), (0, "France", "Spain", both),
+        (0, "United Kingdom", "Spain", both), (0, "United Kingdom", "France", ["distribution"]),
+        (0, "UK", "Spain", both), (0, "UK", "France", ["distribution"]),
+        (1, "United Kingdom", "Spain", ["attention"]), (3, "France", "Spain", ["notifier"]),
+    ]
+    assert got == [tuple(r) for r in alerts.extract_corridors(df, book).orderBy(order).select(shown).collect()]
+    parsed = alerts.parse_notifications(df, book)
+    texts = sorted(map(tuple, alerts.hazard_category_map(alerts.eventful(parsed)).collect()))
+    assert texts == [("R0", ""), ("R1", ""), ("some", "x")]
+    assert texts == sorted(map(tuple, alerts.hazard_category_map(run.events).collect()))
+
+
+def test_corridor_names_are_summed_in_hash_tables(spark, book):
+    df = raw(
+        spark,
+        {"row_id": 7, "origin": "United Kingdom", "notifying_country": "Spain", "commodities": "later"},
+        {"row_id": 3, "origin": "UK,United Kingdom,UK", "notifying_country": "Spain", "commodities": "flour"},
+        {"row_id": None, "origin": "Italy", "notifying_country": "spain", "commodities": "unnumbered"},
+        {"row_id": -9, "origin": "italy", "notifying_country": "Spain", "commodities": "negative"},
+    )
+    base = alerts.corridor_base(alerts.extract_corridors(df, book))
+    got = {r.origin_m49: r for r in base.collect()}
+    assert (got[826].commodity_name, got[826].origin_country, got[826].event_count, got[826].role_notifier) == ("flour", "UK", 4, 4)
+    assert (got[380].commodity_name, got[380].destination_country, got[380].event_count) == ("unnumbered", "spain", 2)
+    plan = base._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"HashAggregate\(keys=\[[^]]*commodity_name[^]]*\], functions=\[partial_min", plan)
