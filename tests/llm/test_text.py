@@ -286,3 +286,14 @@ def test_long_member_of_an_archive(tmp_path):
     data = warc.record(1, "http://x", payload) + warc.record(2, "http://y", b"short")
     got = [warc.parsed(c) for _, c in warc.members(io.BytesIO(data), 0, len(data))]
     assert [(r["page_id"], r["payload"]) for r in got] == [(1, payload), (2, b"short")]
+
+
+def test_short_pieces_are_merged_without_the_table(vocabulary, monkeypatch):
+    rng = random.Random(5)
+    pieces = ["".join(rng.choice("abeinrst é漢") for _ in range(rng.randrange(1, 17))) for _ in range(300)]
+    expected = [[vocabulary.ranks[p] for p in bpe.merge_by_rank(piece.encode(), vocabulary.ranks)] for piece in pieces]
+    monkeypatch.setattr(bpe, "PrefixTable", None)
+    codes = bpe.PieceCodes(vocabulary)
+    whole = [vocabulary.ranks.get(piece.encode()) for piece in pieces]
+    for piece, ids, one in zip(pieces, expected, whole, strict=True):
+        assert np.frombuffer(codes[piece], dtype="<u4").tolist() == ([one] if one is not None else ids)

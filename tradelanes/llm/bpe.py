@@ -1,4 +1,4 @@
-"""Byte-level BPE: encoding by a table of every prefix's last token, and decoding."""
+"""Byte-level BPE: short pieces merged pair by pair, long ones by a table of every prefix's last token; and decoding."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from tradelanes.llm.common import arrow, whole_text
 
 #: Pieces and token pairs a task remembers; a full memory is emptied, which changes no result.
 _REMEMBERED = 1_000_000
+#: Pieces of so many bytes are merged pair by pair, which takes fewer look-ups there; longer ones by the table.
+_SHORT = 48
 #: Texts longer than this are cut into pieces a stretch at a time.
 _STRETCH = 4_000_000
 
@@ -36,6 +38,22 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], below: int | None = Non
     return parts
 
 
+def merged_ids(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of the parts :func:`merge_by_rank` leaves; a merge looks up its two new pairs only."""
+    get, none = ranks.get, 1 << 62
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (best := min(pairs)) != none:
+        at = pairs.index(best)
+        parts[at] += parts.pop(at + 1)
+        del pairs[at]
+        if at:
+            pairs[at - 1] = get(parts[at - 1] + parts[at], none)
+        if at < len(pairs):
+            pairs[at] = get(parts[at] + parts[at + 1], none)
+    return [ranks[p] for p in parts]
+
+
 class Vocabulary:
     """Ranks, and for each token the two tokens that its last merge joins."""
 
@@ -163,8 +181,14 @@ class PieceCodes(dict):
         if len(self) >= _REMEMBERED:
             self.clear()
         raw = piece.encode("utf-8", "surrogatepass")
-        whole = self.vocabulary.ranks.get(raw)
-        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, raw, self.known).tokens()
+        ranks = self.vocabulary.ranks
+        whole = ranks.get(raw)
+        if whole is not None:
+            ids = [whole]
+        elif len(raw) <= _SHORT:
+            ids = merged_ids(raw, ranks)
+        else:
+            ids = PrefixTable(self.vocabulary, raw, self.known).tokens()
         code = self[piece] = np.array(ids, dtype="<u4").tobytes()
         return code
 
