@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tradelanes.llm")
@@ -105,3 +106,24 @@ def test_scores_beyond_64_bits(spark):
 
 def test_empty(empty):
     assert collocations.collocations(empty).collect() == []
+
+
+def test_earlier_filters_see_what_the_last_lets_through(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e"], 40)) + ". one" for _ in range(50)]
+    words = collocations.Words(pa.array([t.encode() for t in texts], pa.binary()), pa.array(["en"] * 50))
+    filters = [rng.integers(0, 2**63, 64, dtype=np.uint64) for _ in range(3)]
+    phrases = list(words.phrases())
+    for known in (filters[:1], filters[:2], filters):
+        got = list(collocations.wanted(words, known))
+        for k, (length, whole, h) in enumerate(phrases):
+            passed = np.full(len(h), length > 1 or len(known) == 1)
+            if length > 1:
+                both = [collocations.marked(bits, phrases[k - 1][2]) for bits in known]
+                both = [had & np.append(had[1:], False) for had in both]
+                passed = both[-1] & ~np.any([*both[:-1], np.zeros(len(h), bool)], axis=0)
+            assert np.array_equal(got[k], h[whole & words.own & passed])
+    asked, plain = [], collocations.marked
+    monkeypatch.setattr(collocations, "marked", lambda bits, h: asked.append(len(h)) or plain(bits, h))
+    assert not any(map(len, collocations.wanted(words, [*filters, np.zeros(64, dtype=np.uint64)])))
+    assert sum(asked) == (collocations.LONGEST - 1) * len(words.starts)

@@ -157,17 +157,20 @@ def wanted(words: Words, filters: list[np.ndarray]) -> Iterator[np.ndarray]:
     first. Further filters belong to further passes: what an earlier filter
     let through has been counted already.
     """
-    shorter: list[np.ndarray] = []
+    had = before = None
     for length, whole, h in words.phrases():
         whole = whole & words.own
-        if length > 1:
-            both = [had & np.append(had[1:], False) for had in shorter]
-            for k, had in enumerate(both):
-                whole &= had if k == len(both) - 1 else ~had
+        if length > 1 and filters:
+            whole &= had & np.append(had[1:], False)
         elif len(filters) > 1:
             whole[:] = False
-        shorter = [marked(bits, h) for bits in filters]
-        yield h[whole]
+        at = np.flatnonzero(whole)
+        if length > 1:
+            for bits in filters[:-1]:  # these see only what the last lets through
+                at = at[~(marked(bits, before[at]) & marked(bits, before[at + 1]))]
+        if filters and length < LONGEST:
+            had, before = marked(filters[-1], h), h
+        yield h[at]
 
 
 def _counting(filters: list, sample: bool):
