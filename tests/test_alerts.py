@@ -230,3 +230,44 @@ def test_corridor_names_are_summed_in_hash_tables(spark, book):
     assert (got[380].commodity_name, got[380].destination_country, got[380].event_count) == ("unnumbered", "spain", 2)
     plan = base._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"HashAggregate\(keys=\[[^]]*commodity_name[^]]*\], functions=\[partial_min", plan)
+
+
+def test_notifications_are_grouped_without_their_events(spark, book):
+    df = raw(
+        spark,
+        {"reference": "A", "row_id": 5, "origin": "UK,France,United Kingdom", "notifying_country": "France", "distribution": "Yemen,Austria",
+         "hazards": "{metals},{mycotoxins}", "classification": "Border Rejection"},
+        {"reference": "A", "row_id": 2, "origin": "France", "notifying_country": "France", "hazards": "{metals}"},
+        {"reference": "A", "row_id": 9, "origin": "Spain,France", "notifying_country": "Spain", "for_attention": "World,Ghana", "hs_code": "100630"},
+        {"reference": "B", "origin": "France", "notifying_country": "Spain", "hs_code": None},
+        {"reference": None, "origin": "France", "notifying_country": "Spain", "hazards": "{mycotoxins},{mycotoxins},{metals}"},
+        {"reference": None, "origin": "France", "notifying_country": "Italy", "row_id": None},
+    )
+    parsed = alerts.parse_notifications(df, book)
+    groups = alerts.notifications_with_credit(parsed, book)
+    paired = alerts.build_notifications(alerts.events_of(parsed))
+    found = lambda rows: sorted((str(tuple(r)) for r in rows.select(paired.columns).collect()))
+    assert found(alerts.usable(groups)) == found(paired)
+    assert groups.count() == paired.count() + 1
+    places = {(r.reference, r.origin_m49): tuple(r.first) for r in groups.where("reference <> ''").collect()}
+    assert places == {("A", 826): (5, 0), ("A", 251): (5, 4), ("A", 724): (9, 1), ("B", 251): (3, 0)}
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(origins" in plan and "explode(destinations" not in plan
+    # what a reference lists first counts for all its origins; blank ones have a single type
+    credited = hazard.with_listed_credit(groups).where("affected[0] <> 380")
+    got = {(r.reference, r.origin_m49): (r.chem_heavy_metals, r.chem_mycotoxins, r.chem_other) for r in credited.collect()}
+    assert got == {
+        ("A", 826): (0.5, 0.5, 0.0), ("A", 251): (0.5, 0.5, 0.0), ("A", 724): (0.5, 0.5, 0.0), ("B", 251): (0.0, 0.0, 1.0),
+        ("", 251): (1.0, 0.0, 0.0),
+    }
+
+
+def test_rows_of_files_reach_the_corridors(spark, book):
+    rows = raw(
+        spark,
+        {"origin": "UK", "notifying_country": "Spain", "commodities": "later"},
+        {"origin": "United Kingdom", "notifying_country": "Spain", "commodities": "flour"},
+    )
+    place = F.struct(F.lit("a.csv").alias("file"), F.lit(0).alias("block"), (-F.col("row_id")).alias("row"))
+    row = runs.run_hazard(rows.withColumn("row_id", place), book).metrics.first()
+    assert (row.commodity_name, row.origin_country, row.event_count, row.notification_count) == ("flour", "United Kingdom", 2, 2)
