@@ -1,5 +1,7 @@
 """Parsing rules."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,30 @@ def test_a_text_is_cleaned_once(spark, build):
     given = spark.createDataFrame([(" Alert ",)], "a string")
     plan = given.select(build(F.concat("a", F.lit("!"))).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("concat(") <= 2
+
+
+def test_lists_tokens_and_dates_read_the_same_compiled_and_by_lambda(spark):
+    texts = [
+        "a, b", " a ,b", "a,  b", "a,b ,", ",, a", " , ", "", "nan", None, "a,b,c,d", "a,b,c,d, e,f", "a b,c", "a\t, b",
+        "x {a}", "{ a },{b }", "{a{ b }", "{ } {c}", "{}", "{ ", "{a , b}, { c }", "heavy metals, Metals,mystery,gmo ,allergens,labelling x",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(
+        "t",
+        text.split_country_list(F.col("t")).alias("names"),
+        text.each(text.split_tokens(F.col("t")), F.upper).alias("upper"),
+        text.extract_hazard_categories(F.col("t")).alias("categories"),
+    ).collect()
+    for row in rows:
+        parts = [p.strip(" ") for p in (row.t or "").split(",")]
+        parts = [p for p in parts if p]
+        assert row["names"] == ([] if row.t == "nan" else parts)
+        assert row.upper == [p.upper() for p in parts]
+        found = [p.strip(" ") for p in re.findall(r"\{([^}]+)\}", (row.t or "").strip(" "))]
+        assert row.categories == (",".join(found) if found else (row.t or "").strip(" "))
+    dates = {"2024-03-15": 202403, " 2024-12-01 ": 202412, "2024-02-30": 0, "2024-13-01": 0, "2024-03-15 10:00": 202403, "15.03.2024": 202403}
+    read = spark.createDataFrame([(d,) for d in dates], "d string").select("d", periods.to_period_yyyymm(F.col("d")).alias("p"))
+    assert {r.d: r.p for r in read.collect()} == dates
+    # short lists are written out beside the lambda
+    plan = df.select(text.each(F.split("t", ","), F.upper))._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(array(" in plan
