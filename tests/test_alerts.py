@@ -42,6 +42,29 @@ def test_roles_are_united(spark, book):
     assert got == {724: ("Spain", ["attention", "notifier"], True), 380: ("Italy", ["attention"], False)}
 
 
+def test_destinations_are_worked_out_once(spark, book):
+    df = raw(
+        spark,
+        {"notifying_country": "spain", "distribution": "Mu,UK,Spain", "for_followUp": "United Kingdom,UK", "for_attention": "Italy,Spain"},
+        {"notifying_country": "Lemuria", "distribution": "nan"},
+        {},
+        {"row_id": None, "reference": None, "for_followUp": "Ghana,Mali,Italy,Malta,Ghana"},
+    )
+    found = alerts.collect_destinations(df, book)
+    got = {(r.row_id, r.destination_m49): tuple(r)[1:3] + (r.destination_roles,) for r in found.collect()}
+    assert got == {
+        (0, 724): ("R0", "spain", ["attention", "distribution", "notifier"]),
+        (0, 826): ("R0", "UK", ["distribution", "followUp"]),
+        (0, 380): ("R0", "Italy", ["attention"]),
+        (None, 288): ("", "Ghana", ["followUp"]), (None, 466): ("", "Mali", ["followUp"]),
+        (None, 380): ("", "Italy", ["followUp"]), (None, 470): ("", "Malta", ["followUp"]),
+    }
+    assert found.count() == len(got)
+    # a filter pushed below the lists would name all of them anew
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_except(") == 1
+
+
 def test_unknown_countries(spark, book):
     df = raw(
         spark,
